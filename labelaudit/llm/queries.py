@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from labelaudit.llm import exact_dedup, mixing, sharding
+from labelaudit.llm import exact_dedup, mixing, packing, sharding, token_files
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op10_token_files": token_files.op10_token_files,
 }
 SQL = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
