@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelaudit.llm import exact_dedup, mixing, packing, sharding, token_files
+from labelaudit.llm import exact_dedup, mixing, packing, quality, sharding, token_files
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_sharding": sharding.op2_sharding,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
