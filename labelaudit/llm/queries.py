@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelaudit.llm import exact_dedup, mixing, packing, quality, sharding, simhash, substring_dedup, token_files
+from labelaudit.llm import exact_dedup, mixing, neighbours, packing, quality, sharding, simhash, substring_dedup, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_token_files": token_files.op10_token_files,
 }
 SQL = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
