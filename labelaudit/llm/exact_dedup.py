@@ -71,7 +71,7 @@ def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         best, keyed["__digest"].eqNullSafe(best["__digest"]) & (keyed["__second"] == best["__second"]) & keyed["doc_id"].eqNullSafe(best["__keep"]), "left_semi"
     )
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
-    return (kept.dropDuplicates(["doc_id", "__digest"]) if repeated else kept).select(*cols)
+    return (kept.dropDuplicates(["doc_id", "__digest"]) if repeated else kept).select(*[F.col(f"`{c}`") for c in cols])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

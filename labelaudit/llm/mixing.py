@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from labelaudit.llm.common import bounded, durable, null_safe_key, read, text_or_empty
 
 WEIGHTS = (3, 1, 2)
+SHARE_PCT = 150
+SEED = 29
 #: Hash bits kept by each level of histograms, of 32.
 LEVELS = (12, 22, 32)
 
@@ -92,19 +94,37 @@ def thresholds(units: DataFrame, goals: DataFrame) -> DataFrame:
     return last.select("src", F.col("cell").alias("h_end"), F.when(nearer, F.col("cell")).otherwise(F.lit(-1)).alias("h_last"))
 
 
-def mix(docs: DataFrame, seed: int = 29, share_pct: int = 150, weights: tuple = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken: words the mix takes of each document, repeats counted."""
+def planned(docs: DataFrame, seed: int, share_pct: int, weights: tuple) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and hashes, and for each source its target, copies and thresholds."""
     units = durable(
         docs.select("doc_id", null_safe_key("source").alias("src"), word_count(text_or_empty()).alias("size"), hashed(F.col("doc_id"), seed).alias("h"))
     )
     goals = durable(targets(units.groupBy("src").agg(F.sum("size").alias("source_size")), share_pct, weights))
-    ends = thresholds(units, goals)
-    plan = goals.join(ends, "src", "left")
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    extra = F.coalesce((F.col("h") < F.col("h_end")) | (F.col("h") == F.col("h_last")), F.lit(False)).cast("long")
-    return units.join(bounded(plan), "src").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (copies + extra)).cast("long").alias("taken"), (copies + extra).cast("int").alias("copies")
-    )
+    return units, goals.join(thresholds(units, goals), "src", "left")
+
+
+def copies_of(plan: str | None, h: Column) -> Column:
+    """How often the mix takes a row: what all rows of its source are taken, and once more below the threshold."""
+    of = lambda c: F.col(f"{plan}.{c}" if plan else c)
+    whole = F.when(of("source_size") > 0, F.floor(of("target") / of("source_size"))).otherwise(F.lit(0))
+    return whole + F.coalesce((h < of("h_end")) | (h == of("h_last")), F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, seed: int = SEED, share_pct: int = SHARE_PCT, weights: tuple = WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken: words the mix takes of each document, repeats counted."""
+    units, plan = planned(docs, seed, share_pct, weights)
+    n = copies_of(None, F.col("h"))
+    return units.join(bounded(plan), "src").select("doc_id", "size", "source_size", "target", (F.col("size") * n).cast("long").alias("taken"), n.cast("int").alias("copies"))
+
+
+def take(docs: DataFrame, seed: int = SEED, share_pct: int = SHARE_PCT, weights: tuple = WEIGHTS) -> DataFrame:
+    """The rows of `docs` the mix takes, with all their columns, as often as it takes them."""
+    _, plan = planned(docs, seed, share_pct, weights)
+    ends = plan.select(F.col("src").alias("__src"), F.struct("source_size", "target", "h_end", "h_last").alias("__plan"))
+    joined = docs.withColumn("__src", null_safe_key("source")).join(bounded(ends), "__src")
+    plan_copies = copies_of("__plan", hashed(F.col("doc_id"), seed))
+    repeated = joined.withColumn("__n", F.explode(F.array_repeat(F.lit(0), plan_copies.cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

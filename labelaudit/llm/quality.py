@@ -206,7 +206,7 @@ def score(docs: DataFrame, net: Net, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(values, pa.float64())], names=[*keep, "__score"])
 
     schema = T.StructType([*fields, T.StructField("__score", T.DoubleType())])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

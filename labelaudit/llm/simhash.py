@@ -32,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelaudit.llm.common import bounded, durable, partitions, read
@@ -79,15 +79,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, bits: int = 64) -> str
     return "".join(out)
 
 
+def text_tag() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64) -> DataFrame:
-    """doc_id, fp for each row."""
+    """doc_id, tag, fp for each row; the tag tells rows of one doc_id apart by their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, shingle, bits) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.string())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tag"), pa.array(fps, pa.string())], names=["doc_id", "tag", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp string")
+    return docs.select("doc_id", text_tag().alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, fp string")
 
 
 def parsed(fps: list[str]) -> np.ndarray:
@@ -291,17 +295,23 @@ def connect(links: DataFrame) -> DataFrame:
             return label
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, miss: float | None = None) -> DataFrame:
-    """doc_id, fingerprint, component_id; `miss` None finds every link, else all but that share at the radius."""
+def classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, miss: float | None = None) -> DataFrame:
+    """doc_id, tag, fp, first: each row and the row (`none`, doc_id, tag) that stands for its component."""
     rows = durable(fingerprints(docs, shingle, bits))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    distinct = durable(rows.groupBy("fp").agg(F.min(row).alias("first")))
     n = distinct.count()
     masks = exact_masks(n, radius, bits) if miss is None else sampled_keys(n, radius, bits, miss)
     roots = connect(link(distinct, masks, radius))
     known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    smallest = known.groupBy("root").agg(F.min("first").alias("smallest"))
+    named = known.join(smallest, "root").select("fp", F.col("smallest").alias("first"))
+    return rows.join(named, "fp")
+
+
+def components(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, miss: float | None = None) -> DataFrame:
+    """doc_id, fingerprint, component_id; `miss` None finds every link, else all but that share at the radius."""
+    return classes(docs, shingle, bits, radius, miss).select("doc_id", F.col("fp").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 #: The pipeline's stage: five-word shingles; a Jaccard similarity of 0.8 is an angle of acos(0.889), 15 % of the bits.
@@ -309,10 +319,12 @@ NEAR = {"shingle": 5, "bits": 256, "radius": 40, "miss": 0.02}
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component, with all their columns."""
-    found = components(docs, **(NEAR | how))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """One row of each component of `docs`, that with the smallest doc_id, with all its columns."""
+    found = classes(docs, **(NEAR | how))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
+    gone = found.where(~stays).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).distinct()
+    tagged = docs.withColumn("__own", text_tag())
+    return tagged.join(gone, tagged["doc_id"].eqNullSafe(gone["__doc"]) & (tagged["__own"] == gone["__tag"]), "left_anti").drop("__own")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
