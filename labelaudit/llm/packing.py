@@ -145,8 +145,8 @@ def pack(
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(texts, path), strict=True):
-                ids.append(end_id)
-                for pieces in packer.place(doc_id, np.array(ids, np.uint32)):
+                ids = np.append(ids, np.uint32(end_id))
+                for pieces in packer.place(doc_id, ids):
                     rows.window(pieces, (part << 32) | n, -1 - ((part << 20) + n))
                     n += 1
                 yield from rows.take(5000)

@@ -141,9 +141,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(texts, path), strict=True):
-                ids.append(end_id)
+                ids = np.append(ids, np.uint32(end_id))
                 names.append(doc_id)
-                held.append(np.array(ids, np.uint32))
+                held.append(ids)
                 n += len(ids)
                 if n >= file_ids:
                     yield flush()
