@@ -403,3 +403,32 @@ def detect_category(text: Column) -> Column:
     for c, n in counts.items():
         out = out.when(n == best, F.lit(c))
     return out
+
+
+# --- region dialect ---------------------------------------------------------------------------------------
+
+
+def alternatives(text: Column, pattern: str) -> Column:
+    """The first group of the first match that took part."""
+    import re
+
+    return F.coalesce(*[capture(text, pattern, g) for g in range(1, re.compile(pattern).groups + 1)])
+
+
+def region_fields(text: Column, category: Column) -> dict[str, Column]:
+    """Twelve fields of a picture's text; without keyed dates the first two bare ones, or the only one, are
+    taken (for food as the expiry). Licences are read for food or unknown, certificates for electronics or unknown."""
+    got = {n: alternatives(text, p) for n, p in P.REGION.items()}
+    bare = F.regexp_extract_all(text, F.lit("(?i)" + P.REGION_DATES), F.lit(0))
+    none = got["manufacture_date"].isNull() & got["expiry_date"].isNull()
+    food, only = F.coalesce(category == "food", F.lit(False)), F.size(bare) == 1
+    made = F.when(none & ~(only & food), F.get(bare, F.lit(0)))
+    expires = F.when(none & only & food, F.get(bare, F.lit(0))).when(none, F.get(bare, F.lit(1)))
+    got["manufacture_date"], got["expiry_date"] = F.coalesce(got["manufacture_date"], made), F.coalesce(got["expiry_date"], expires)
+    got["mrp"] = F.concat(F.lit("₹"), F.replace(got["mrp"], F.lit(","), F.lit("")))
+    for n in ("country_of_origin", "manufacturer", "importer", "consumer_care"):
+        got[n] = strip(got[n])
+    got["fssai_license"] = F.when(category.isNull() | (category == "food"), got["fssai_license"])
+    bis = F.coalesce(got["bis_certification"], capture(text, P.REGION["bis_certification"], 0))
+    got["bis_certification"] = F.when(category.isNull() | (category == "electronics"), bis)
+    return got

@@ -94,10 +94,10 @@ _W = D.first("label_text", [p for p, _ in P.SERVICE_WEIGHT])
 _on("ee_weight", f"{_W}::DOUBLE AS value, lower({D.first('label_text', [p for p, _ in P.SERVICE_WEIGHT], 2)}) AS unit", lambda t: E.weight(t)["value"].alias("value"), lambda t: E.weight(t)["unit"].alias("unit"))
 _on(
     "ee_dates",
-    f"{D.first_date('label_text', P.SERVICE_MADE)} AS made, {D.first_date('label_text', P.SERVICE_EXPIRES)} AS expires, {D.months('label_text')} AS months",
+    f"{D.first_date('label_text', P.SERVICE_MADE)} AS made, {D.first_date('label_text', P.SERVICE_EXPIRES)} AS expires, coalesce({D.months('label_text')}, 0) AS months",
     lambda t: E.dates(t)["manufacturing_date"]["parsed"].alias("made"),
     lambda t: E.dates(t)["expiry_date"]["parsed"].alias("expires"),
-    lambda t: E.dates(t)["best_before_months"].alias("months"),
+    lambda t: F.coalesce(E.dates(t)["best_before_months"], F.lit(0)).alias("months"),
 )
 _on("ee_batch", f"{D.batch('label_text')} AS batch", lambda t: E.batch(t).alias("batch"))
 _on("ee_country", f"{D.country('label_text')} AS country", lambda t: E.country(t).alias("country"))
