@@ -9,10 +9,10 @@ digit found in one document only ends there. Runs that are equal as a whole are
 every document but the smallest loses the bytes of the run.
 
 Second digit: where a digit has several different runs, each position of them is dealt by the digest
-of its whole string (128 bits). Groups that are equal now are exactly the repeated strings.
+of its whole string (96 bits). Groups that are equal now are exactly the repeated strings.
 
 Each task combines its own entries before it deals them, so of a passage that a third of all documents
-hold, a task sends one entry, not one for each document; a first digit that already meets different
+hold, a task sends one entry, not one for each document; a first digit that already meets SENT different
 runs inside one task needs no comparison elsewhere and travels as two entries. Results of a pass are
 written to the shared folder, and the pass's shuffle files go with it.
 
@@ -35,11 +35,15 @@ from pyspark.sql import functions as F
 from labelaudit.llm.common import new_folder, partitions, read
 
 LENGTH = 50
-GRAM = 18
+GRAM = 26
 #: Entries combined at a time in a task.
 FLUSH = 1_500_000
 LAST = np.iinfo(np.int64).max
-_COLUMNS = (("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<u4"), ("n", "<u4"), ("known", "u1"))
+_COLUMNS = (("k1", "<u8"), ("k2", "<u4"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<u4"), ("n", "<u4"), ("known", "<u1"))
+#: Columns written as differences, whose high bytes are mostly zero.
+_DIFFERENCES = ("doc", "tag", "pos")
+#: Different runs of one first digit that a task sends on; with more it knows enough by itself.
+SENT = 16
 Entries = dict[str, np.ndarray]
 
 
@@ -116,7 +120,15 @@ def windows(data: np.ndarray, length: int, start: np.ndarray, n: np.ndarray) ->
 
 def entries(k1, k2, doc: int, tag: int, pos, n) -> Entries:
     size = len(pos)
-    return {"k1": k1, "k2": k2, "doc": np.full(size, doc, np.int64), "tag": np.full(size, tag, np.int64), "pos": pos.astype(np.uint32), "n": np.broadcast_to(n, size).astype(np.uint32), "known": np.zeros(size, np.uint8)}
+    return {
+        "k1": k1,
+        "k2": (k2 >> np.uint64(32)).astype(np.uint32),
+        "doc": np.full(size, doc, np.int64),
+        "tag": np.full(size, tag, np.int64),
+        "pos": pos.astype(np.uint32),
+        "n": np.broadcast_to(n, size).astype(np.uint32),
+        "known": np.zeros(size, np.uint8),
+    }
 
 
 def joined(parts: list[Entries]) -> Entries:
@@ -128,13 +140,15 @@ def taken(e: Entries, where) -> Entries:
 
 
 def dumped(e: Entries) -> bytes:
-    return b"".join(e[c].astype(t).tobytes() for c, t in _COLUMNS)
+    return b"".join((np.diff(e[c], prepend=e[c].dtype.type(0)) if c in _DIFFERENCES else e[c]).astype(t).tobytes() for c, t in _COLUMNS)
 
 
 def loaded(data: bytes) -> Entries:
     n, at, out = len(data) // sum(np.dtype(t).itemsize for _, t in _COLUMNS), 0, {}
     for c, t in _COLUMNS:
         out[c] = np.frombuffer(data, t, n, at)
+        if c in _DIFFERENCES:
+            out[c] = np.cumsum(out[c], dtype=t)
         at += n * np.dtype(t).itemsize
     return out
 
@@ -148,9 +162,10 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def settle(e: Entries) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray]:
+def settle(e: Entries) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Entries sorted by both digits and document; whether a smaller document has the equal run; whether
-    the first digit has different runs; and each run's number within its first digit."""
+    the first digit has different runs of different documents; each run's number within its first digit,
+    and how many that has."""
     e = taken(e, np.lexsort((e["doc"], e["k2"], e["k1"])))
     outer, inner = _edges(e["k1"]), _edges(e["k1"], e["k2"])
     group = np.cumsum(inner) - 1
@@ -159,26 +174,31 @@ def settle(e: Entries) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray]:
     per_digit = np.bincount(digit[inner])
     number = group - group[np.flatnonzero(outer)][digit]
     low, high = np.minimum.reduceat(e["doc"], np.flatnonzero(outer)), np.maximum.reduceat(e["doc"], np.flatnonzero(outer))
-    return e, later, ((per_digit > 1) & (low < high))[digit], number
+    return e, later, ((per_digit > 1) & (low < high))[digit], number, per_digit[digit]
 
 
-def by_document(e: Entries, length: int) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """doc, tag, starts and numbers of positions, touching runs merged."""
+def by_document(e: Entries, kind: int) -> Iterator[pa.RecordBatch]:
+    """kind, doc, tag, starts and numbers of positions, touching runs merged."""
     if not len(e["pos"]):
         return
     e = taken(e, np.lexsort((e["pos"], e["tag"], e["doc"])))
     owner = _edges(e["doc"], e["tag"])
-    pos, end = e["pos"].astype(np.int64), e["pos"].astype(np.int64) + e["n"]
     lift = (np.cumsum(owner) - 1) << 33
-    reach = np.maximum.accumulate(end + lift)
+    pos = e["pos"].astype(np.int64) + lift
+    reach = np.maximum.accumulate(pos + e["n"])
     fresh = owner.copy()
-    fresh[1:] |= (pos + lift)[1:] > reach[:-1]
+    fresh[1:] |= pos[1:] > reach[:-1]
     starts = np.flatnonzero(fresh)
     last = np.append(starts[1:], len(pos)) - 1
-    first, size = pos[starts], (reach - lift)[last] - pos[starts]
-    at = np.append(np.flatnonzero(owner[starts]), len(starts))
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield int(e["doc"][starts[a]]), int(e["tag"][starts[a]]), first[a:b].tolist(), size[a:b].tolist()
+    first, size = (pos - lift)[starts], reach[last] - pos[starts]
+    docs = np.flatnonzero(owner[starts])
+    ends = np.append(docs[1:], len(starts))
+    for lo in range(0, len(docs), 4096):
+        part, stop = docs[lo : lo + 4096], int(ends[min(lo + 4096, len(docs)) - 1])
+        offsets = pa.array(np.append(part, stop) - part[0], pa.int32())
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(x[part[0] : stop], pa.int64())) for x in (first, size))
+        rows = starts[part]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind), pa.int32()), pa.array(e["doc"][rows]), pa.array(e["tag"][rows]), *lists], schema=_FOUND_ARROW)
 
 
 _DEALT = "route int, kind int, data binary"
@@ -190,11 +210,12 @@ _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.
 
 def deal(parts: list[Entries], routes: int, first_pass: bool) -> pa.RecordBatch:
     """Combine a task's entries; what is settled here, what stays open, and what must meet others."""
-    e, later, several, number = settle(joined(parts))
+    e, later, several, number, most = settle(joined(parts))
     if first_pass:
-        undecided = several & ~later
+        crowded = several & (most >= SENT)
+        undecided = crowded & ~later
         e["known"] = undecided.astype(np.uint8)
-        send = ~later & (~several | (number < 2))
+        send = ~later & (~crowded | (number < 2))
         split = ((ENTRY, send), (COVERED, later), (OPEN, undecided))
     else:
         split = ((ENTRY, ~later), (COVERED, later))
@@ -210,7 +231,7 @@ def deal(parts: list[Entries], routes: int, first_pass: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(_DEALT_ARROW.names, r, strict=True)) for r in rows], schema=_DEALT_ARROW)
 
 
-def meet(length: int, first_pass: bool):
+def meet(first_pass: bool):
     """The reducing side: settle the entries of a route, pass on what was settled before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,16 +240,15 @@ def meet(length: int, first_pass: bool):
             for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 held[kind].append(loaded(data))
         if held[ENTRY]:
-            e, later, several, _ = settle(joined(held[ENTRY]))
+            together = joined(held.pop(ENTRY))
+            e, later, several, _, _ = settle(together)
             held[COVERED].append(taken(e, later))
             if first_pass:
                 held[OPEN].append(taken(e, several & ~later & (e["known"] == 0)))
         for kind in (COVERED, OPEN):
-            if held[kind]:
-                rows = [(kind, *r) for r in by_document(joined(held[kind]), length)]
-                for lo in range(0, len(rows), 5000):
-                    columns = zip(*rows[lo : lo + 5000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_ARROW.types, strict=True)], schema=_FOUND_ARROW)
+            parts, held[kind] = held[kind], []
+            if parts:
+                yield from by_document(joined(parts), kind)
 
     return run
 
@@ -285,10 +305,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, flush: int
         if held:
             yield deal(held, routes, False)
 
-    first = written(texts.mapInArrow(sampled, _DEALT).repartition(routes, "route").mapInArrow(meet(length, True), _FOUND), "first-digit")
+    first = written(texts.mapInArrow(sampled, _DEALT).repartition(routes, "route").mapInArrow(meet(True), _FOUND), "first-digit")
     undecided = per_document(first.where(F.col("kind") == OPEN))
     dealt = texts.join(undecided, ["doc", "tag"]).mapInArrow(ordered, _DEALT)
-    second = written(dealt.repartition(routes, "route").mapInArrow(meet(length, False), _FOUND), "second-digit")
+    second = written(dealt.repartition(routes, "route").mapInArrow(meet(False), _FOUND), "second-digit")
     return per_document(first.where(F.col("kind") == COVERED).unionByName(second))
 
 

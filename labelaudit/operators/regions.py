@@ -88,7 +88,7 @@ def region_text(words: DataFrame, least: float = 60.0) -> DataFrame:
 
 def confidence(regions: DataFrame, low: float = 0.65) -> DataFrame:
     mean = F.avg("confidence")
-    return regions.groupBy("image_id").agg(F.round(mean, 4).alias("confidence"), ocr_level(mean).alias("level"), F.count_if(F.col("confidence") < low).alias("low_confidence"))
+    return regions.groupBy("image_id").agg(F.round(mean, 4).alias("confidence"), ocr_level(F.round(mean, 4)).alias("level"), F.count_if(F.col("confidence") < low).alias("low_confidence"))
 
 
 def word_confidence(x: Column) -> Column:
