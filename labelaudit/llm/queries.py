@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from labelaudit.llm import exact_dedup, mixing, neighbours, packing, quality, sharding, simhash, substring_dedup, token_files
+from labelaudit.llm import exact_dedup, language, mixing, neighbours, packing, quality, sharding, simhash, substring_dedup, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
+    "op4_language_id": language.op4_language_id,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
