@@ -52,3 +52,13 @@ def text_or_empty(name: str = "text") -> Column:
 def null_safe_key(name: str) -> Column:
     """A non-null join key that keeps null apart from every string, the empty one included."""
     return F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("~"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where `df` has such a column already."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import read
+from labelaudit.llm.common import fresh, read
 
 SALTS = 16
 
@@ -63,15 +63,13 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; one where rows repeat a doc_id and text."""
-    cols = docs.columns
-    best = winners(docs, salts).select(F.col("digest").alias("__digest"), F.col("second").alias("__second"), F.col("keep_id").alias("__keep"))
+    digest, second, win, keep = fresh(docs, "__digest", "__second", "__win", "__keep")
+    best = winners(docs, salts).select(F.col("digest").alias(win), F.col("second").alias("__s"), F.col("keep_id").alias(keep))
     folded = fold_case(F.col("text"))
-    keyed = docs.withColumns({"__digest": F.sha2(folded, 256), "__second": F.xxhash64(folded)})
-    kept = keyed.join(
-        best, keyed["__digest"].eqNullSafe(best["__digest"]) & (keyed["__second"] == best["__second"]) & keyed["doc_id"].eqNullSafe(best["__keep"]), "left_semi"
-    )
+    keyed = docs.withColumns({digest: F.sha2(folded, 256), second: F.xxhash64(folded)})
+    kept = keyed.join(best, (keyed[digest] == best[win]) & (keyed[second] == best["__s"]) & keyed["doc_id"].eqNullSafe(best[keep]), "left_semi")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
-    return (kept.dropDuplicates(["doc_id", "__digest"]) if repeated else kept).select(*[F.col(f"`{c}`") for c in cols])
+    return (kept.dropDuplicates(["doc_id", digest]) if repeated else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import bounded, durable, null_safe_key, read, text_or_empty
+from labelaudit.llm.common import bounded, durable, fresh, null_safe_key, read, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 SHARE_PCT = 150
@@ -120,10 +120,11 @@ def mix(docs: DataFrame, seed: int = SEED, share_pct: int = SHARE_PCT, weights:
 def take(docs: DataFrame, seed: int = SEED, share_pct: int = SHARE_PCT, weights: tuple = WEIGHTS) -> DataFrame:
     """The rows of `docs` the mix takes, with all their columns, as often as it takes them."""
     _, plan = planned(docs, seed, share_pct, weights)
-    ends = plan.select(F.col("src").alias("__src"), F.struct("source_size", "target", "h_end", "h_last").alias("__plan"))
-    joined = docs.withColumn("__src", null_safe_key("source")).join(bounded(ends), "__src")
-    plan_copies = copies_of("__plan", hashed(F.col("doc_id"), seed))
-    repeated = joined.withColumn("__n", F.explode(F.array_repeat(F.lit(0), plan_copies.cast("int"))))
+    src, of, n = fresh(docs, "__src", "__plan", "__n")
+    ends = plan.select(F.col("src").alias(src), F.struct("source_size", "target", "h_end", "h_last").alias(of))
+    joined = docs.withColumn(src, null_safe_key("source")).join(bounded(ends), src)
+    copies = copies_of(of, hashed(F.col("doc_id"), seed))
+    repeated = joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

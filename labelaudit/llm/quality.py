@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelaudit.llm.common import read
+from labelaudit.llm.common import fresh, read
 
 WIDTH = 6
 FILTERS = 24
@@ -194,24 +194,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Net:
     return fit(chunks, owner, np.array([r[1] for r in sample], np.float32))
 
 
-def score(docs: DataFrame, net: Net, keep: list[str]) -> DataFrame:
-    """The columns in `keep` and score."""
-    fields = [docs.schema[c] for c in keep]
+def score(docs: DataFrame, net: Net, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns in `keep` and the score."""
+    inner = [f"c{i}" for i in range(len(keep))]  # whatever the columns are called
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                values = scores(net, part.column(part.schema.names.index("__text")).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(values, pa.float64())], names=[*keep, "__score"])
+                values = scores(net, part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(values, pa.float64())], names=[*inner, "score"])
 
-    schema = T.StructType([*fields, T.StructField("__score", T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
+    schema = T.StructType([*(T.StructField(i, docs.schema[c].dataType) for i, c in zip(inner, keep, strict=True)), T.StructField("score", T.DoubleType())])
+    return docs.select(*[F.col(f"`{c}`") for c in keep], "text").toDF(*inner, "text").mapInArrow(run, schema).toDF(*keep, name)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` whose score reaches the threshold, with all their columns."""
-    return score(docs, train(docs, labels), docs.columns).where(F.col("__score") >= threshold).drop("__score")
+    (name,) = fresh(docs, "__score")
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= threshold).drop(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +220,6 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, labels), ["doc_id"]).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import bounded, durable, partitions, read
+from labelaudit.llm.common import bounded, durable, fresh, partitions, read
 
 SHINGLE = 4
 RADIUS = 4
@@ -322,9 +322,10 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """One row of each component of `docs`, that with the smallest doc_id, with all its columns."""
     found = classes(docs, **(NEAR | how))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
-    gone = found.where(~stays).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).distinct()
-    tagged = docs.withColumn("__own", text_tag())
-    return tagged.join(gone, tagged["doc_id"].eqNullSafe(gone["__doc"]) & (tagged["__own"] == gone["__tag"]), "left_anti").drop("__own")
+    own, doc, tag = fresh(docs, "__own", "__doc", "__tag")
+    gone = found.where(~stays).select(F.col("doc_id").alias(doc), F.col("tag").alias(tag)).distinct()
+    tagged = docs.withColumn(own, text_tag())
+    return tagged.join(gone, tagged["doc_id"].eqNullSafe(gone[doc]) & (tagged[own] == gone[tag]), "left_anti").drop(own)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
