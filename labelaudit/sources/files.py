@@ -10,7 +10,7 @@ CSV = {"seller_id": "unknown", "product_name": "Unnamed Product", "description":
 
 def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded listings; a column that is missing takes its default, a blank cell is the empty text."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path)
+    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").option("escape", "\"").csv(path)
     return raw.select(*[(F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit(v)).alias(c) for c, v in CSV.items()])
 
 
