@@ -4,10 +4,8 @@ A text's fingerprint has a bit for each bit of its word shingles' XXH64 digests
 set. Distinct fingerprints are dealt into shards such that any two within the radius meet in at least
 one: the bits are cut into blocks, and two fingerprints that differ in `radius` bits agree on
 `blocks - radius` of them, so each choice of that many blocks is a key. The number of blocks grows with
-the number of fingerprints, which keeps shards small. For the wide radius of the pipeline's stage, the
-keys are `tables` seeded samples of bits instead, and the chance to miss a link at the radius is in
-`sampled_keys`. A shard of more than CHUNK fingerprints is cut into chunks, and each pair of chunks
-meets in a task of its own, so no task holds more than two chunks of a shard.
+the number of fingerprints, which keeps shards small. A shard of more than CHUNK fingerprints is cut into
+chunks, and each pair of chunks meets in a task of its own, so no task holds more than two chunks of a shard.
 
 Each shard is a BK-tree, its children keyed by the integer Hamming distance to their parent; a search
 follows only edges within the radius. All trees of a task are built and searched level by level in
@@ -17,10 +15,17 @@ shard, never all pairs; subtrees already joined to the searching fingerprint are
 Links of all shards are joined into components by hooking to the smallest label and jumping, in
 DataFrame steps with checkpoints.
 
+The pipeline's stage links by the Jaccard similarity of the sets of shingles, and the trees only name
+candidates. Shards are dealt by bands of minima: sets similar to s agree on a band of k with chance s**k,
+whatever their size. Each candidate is held against the exact sets before it links. First every set is
+checked with a few of its candidates, which joins large groups at little cost; then all candidates that
+are not in one component yet are checked, so no candidate goes unchecked that could join two.
+
 Defined cases: null text is empty; texts without words have fingerprint zero and link like any other;
 fewer words than a shingle make one shingle of all; rows that repeat share a fingerprint and a
 component; null doc_id is never the smallest unless its component has no other; an empty table gives
-no rows; other columns are ignored by `components` and kept by `drop_near_copies`.
+no rows; other columns are ignored by `components` and kept by `drop_near_copies`, for which texts
+without words have equal sets and are similar to no other.
 """
 
 from __future__ import annotations
@@ -64,7 +69,10 @@ def shingle_digests(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, bits: int = 64) -> str:
     """Lowercase hex; 64 bits from the digests themselves, further ones from digests mixed anew."""
-    h = shingle_digests(text, shingle)
+    return digest_bits(shingle_digests(text, shingle), bits)
+
+
+def digest_bits(h: np.ndarray, bits: int) -> str:
     out = []
     for lane in range(bits // 64):
         x = h
@@ -132,8 +140,9 @@ class Forest:
         sort = np.argsort(key, kind="stable")
         self.keys, self.children = key[sort], child[sort]
 
-    def links(self, radius: int) -> np.ndarray:
-        """A label for each item: items within the radius of each other in a shard share it."""
+    def links(self, radius: int, partner: np.ndarray | None = None) -> np.ndarray:
+        """A label for each item: items within the radius of each other in a shard share it. `partner` is
+        given some item within the radius for each that has one."""
         label = np.arange(len(self.items))
         done, top = 0, int(self.order.max(initial=-1)) + 1
         step = 64
@@ -142,9 +151,19 @@ class Forest:
             low, high = self._uniform(label)
             for a, b in self._search(asking, radius, label, low, high):
                 label = merged(label, a, b)
+                if partner is not None:
+                    partner[a], partner[b] = b, a
             done, step = done + step, step * 2
         return label
 
+    def apart(self, radius: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every pair within the radius in a shard whose labels differ."""
+        low, high = self._uniform(label)
+        for lo in range(0, len(label), 4096):
+            for a, b in self._search(np.arange(lo, min(lo + 4096, len(label))), radius, label, low, high):
+                keep = (a < b) & (label[a] != label[b])
+                yield a[keep], b[keep]
+
     def _uniform(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, high = label.copy(), label.copy()
         for nodes in reversed(self.levels[1:]):
@@ -208,14 +227,27 @@ def exact_masks(n: int, radius: int, bits: int = 64, shard: int = SHARD) -> list
     return block_masks(blocks, radius, bits)
 
 
-def sampled_keys(n: int, radius: int, bits: int, miss: float = 0.01, shard: int = SHARD, seed: int = 3) -> list[int]:
-    """Masks of k random bits each, k such that even shards hold `shard` at most; as many masks as leave a
-    chance of `miss` that two fingerprints `radius` bits apart agree on none."""
-    k = max(4, int(np.ceil(np.log2(max(2, n) / shard))) + 2)
-    agree = (1 - radius / bits) ** k
-    tables = int(np.ceil(np.log(miss) / np.log(1 - agree)))
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(i) for i in rng.choice(bits, k, replace=False)) for _ in range(tables)]
+def cut_hot(keyed: DataFrame, name: str, chunk: int) -> DataFrame:
+    """`keyed` with the keys of more than `chunk` rows replaced by one for each pair of their chunks."""
+    columns = [c for c in keyed.columns if c != "key"]
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    hot = durable(sizes.where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).drop("n"))
+    if not hot.limit(1).count():
+        return keyed
+    mine = F.pmod(F.xxhash64(name), F.col("chunks")).cast("int")
+    split = keyed.join(bounded(hot), "key", "left").withColumn("mine", F.when(F.col("chunks").isNotNull(), mine).otherwise(0))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.least(x, F.col("mine")) * 65536 + F.greatest(x, F.col("mine")))
+    split = split.withColumn("pair", F.explode(F.when(F.col("chunks").isNotNull(), pairs).otherwise(F.array(F.lit(-1)))))
+    return split.select(F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), *columns)
+
+
+def by_shard(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows of shards of two rows or more, sorted by shard, and the number of each row's shard."""
+    key = table.column("key").to_numpy()
+    order = np.argsort(key, kind="stable")
+    shard = key_numbers(key[order])
+    order = order[(np.bincount(shard) > 1)[shard]]
+    return table.take(pa.array(order)), key_numbers(key[order])
 
 
 def link(fps: DataFrame, masks: list[int], radius: int, chunk: int = CHUNK) -> DataFrame:
@@ -242,30 +274,17 @@ def link(fps: DataFrame, masks: list[int], radius: int, chunk: int = CHUNK) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(out[at]), batch.column("fp")], names=["key", "fp"])
 
     keyed = fps.select("fp").mapInArrow(keys, "key long, fp string")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    hot = durable(sizes.where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).drop("n"))
-    if hot.limit(1).count():
-        mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        split = keyed.join(bounded(hot), "key", "left").withColumn("mine", F.when(F.col("chunks").isNotNull(), mine).otherwise(0))
-        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.least(x, F.col("mine")) * 65536 + F.greatest(x, F.col("mine")))
-        keyed = split.withColumn("pair", F.explode(F.when(F.col("chunks").isNotNull(), pairs).otherwise(F.array(F.lit(-1)))))
-        keyed = keyed.select(F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), "fp")
+    keyed = cut_hot(keyed, "fp", chunk)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        key, fps = table.column("key").to_numpy(), table.column("fp").to_pylist()
-        order = np.argsort(key, kind="stable")
-        edge = np.ones(len(order), bool)
-        edge[1:] = key[order][1:] != key[order][:-1]
-        shard = np.cumsum(edge)
-        order = order[(np.bincount(shard) > 1)[shard]]
-        if not len(order):
+        table, shard = by_shard(pa.Table.from_batches(held))
+        if not len(shard):
             return
-        names = [fps[i] for i in order]
-        label = Forest(parsed(names), key_numbers(key[order])).links(radius)
+        names = table.column("fp").to_pylist()
+        label = Forest(parsed(names), shard).links(radius)
         linked = np.flatnonzero(label != np.arange(len(label)))
         for lo in range(0, len(linked), 20_000):
             part = linked[lo : lo + 20_000]
@@ -295,32 +314,133 @@ def connect(links: DataFrame) -> DataFrame:
             return label
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, miss: float | None = None) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS) -> DataFrame:
     """doc_id, tag, fp, first: each row and the row (`none`, doc_id, tag) that stands for its component."""
     rows = durable(fingerprints(docs, shingle, bits))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     distinct = durable(rows.groupBy("fp").agg(F.min(row).alias("first")))
     n = distinct.count()
-    masks = exact_masks(n, radius, bits) if miss is None else sampled_keys(n, radius, bits, miss)
-    roots = connect(link(distinct, masks, radius))
+    return named(rows, distinct, connect(link(distinct, exact_masks(n, radius, bits), radius)))
+
+
+def named(rows: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """`rows` with the row that stands for the component of each fp."""
     known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = known.groupBy("root").agg(F.min("first").alias("smallest"))
-    named = known.join(smallest, "root").select("fp", F.col("smallest").alias("first"))
-    return rows.join(named, "fp")
+    return rows.join(known.join(smallest, "root").select("fp", F.col("smallest").alias("first")), "fp")
+
+
+def components(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    return classes(docs, shingle, bits, radius).select("doc_id", F.col("fp").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+#: The pipeline's stage: sets of five-word shingles whose Jaccard similarity is at least 4/5. At just that, a
+#: chance of (1 - 0.8**4)**16 = 0.0002 to share no band. The bits that differ are at most 3/16 in the mean
+#: (five shingles and four of them), beyond 72 of 256 with a chance of 0.0001 there and far less for longer texts.
+NEAR = {"shingle": 5, "bits": 256, "radius": 72, "band": 4, "tables": 16}
+SIMILAR = (4, 5)
+#: Candidates of a set that are checked first.
+FIRST = 4
+
 
+def bands(h: np.ndarray, band: int, tables: int, seed: int = 3) -> list[int]:
+    """A key for each table: digest of the minima of a set under `band` seeded orders."""
+    if not len(h):
+        return []
+    odd, flip = np.random.default_rng(seed).integers(0, 2**64, (2, band * tables), np.uint64)
+    least = np.full(band * tables, np.iinfo(np.uint64).max)
+    for lo in range(0, len(h), 2048):
+        x = (h[lo : lo + 2048, None] ^ flip) * (odd | np.uint64(1))
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    return [xxhash.xxh64_intdigest(m.tobytes(), t) - 2**63 for t, m in enumerate(least.reshape(tables, band))]
 
-def components(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, miss: float | None = None) -> DataFrame:
-    """doc_id, fingerprint, component_id; `miss` None finds every link, else all but that share at the radius."""
-    return classes(docs, shingle, bits, radius, miss).select("doc_id", F.col("fp").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
+def set_name(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
 
-#: The pipeline's stage: five-word shingles; a Jaccard similarity of 0.8 is an angle of acos(0.889), 15 % of the bits.
-NEAR = {"shingle": 5, "bits": 256, "radius": 40, "miss": 0.02}
+
+def sketches(docs: DataFrame, shingle: int, bits: int, band: int, tables: int) -> DataFrame:
+    """doc_id, tag, fp, print, keys for each row: name, fingerprint and bands of its set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_digests(t, shingle)) for t in batch.column("text").to_pylist()]
+            columns = [
+                pa.array([set_name(h) for h in sets], pa.binary()),
+                pa.array([bytes.fromhex(digest_bits(h, bits)) for h in sets], pa.binary()),
+                pa.array([bands(h, band, tables) for h in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tag"), *columns], names=["doc_id", "tag", "fp", "print", "keys"])
+
+    return docs.select("doc_id", text_tag().alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, fp binary, print binary, keys array<long>")
+
+
+def candidates(nodes: DataFrame, radius: int, every: bool, chunk: int = CHUNK) -> DataFrame:
+    """fp, other: within each shard, some pair within the radius for each fp, or every pair of different roots."""
+    keyed = cut_hot(nodes.select(F.explode("keys").alias("key"), "fp", "print", "root"), "fp", chunk)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table, shard = by_shard(pa.Table.from_batches(held))
+        if not len(shard):
+            return
+        name = table.column("fp").combine_chunks()
+        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(len(shard), -1)
+        forest = Forest(prints, shard)
+        if every:
+            found = forest.apart(radius, table.column("root").combine_chunks().dictionary_encode().indices.to_numpy())
+        else:
+            partner = np.full(len(shard), -1)
+            forest.links(radius, partner)
+            has = np.flatnonzero(partner >= 0)
+            found = [(has, partner[has])]
+        for a, b in found:
+            for lo in range(0, len(a), 20_000):
+                yield pa.RecordBatch.from_arrays([name.take(pa.array(x[lo : lo + 20_000])) for x in (a, b)], names=["fp", "other"])
+
+    pairs = keyed.repartition(partitions(nodes.sparkSession), "key").mapInArrow(search, "fp binary, other binary")
+    return pairs.where(F.col("fp") != F.col("other")).select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
+
+
+def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """The pairs whose sets of shingles are similar enough."""
+    asked = pairs.select("fp").union(pairs.select("other")).distinct()
+    rows = nodes.join(asked, "fp").select(F.col("first.doc_id").alias("doc"), F.col("first.tag").alias("tag"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                h = np.unique(shingle_digests(text, shingle))
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(h)], pa.binary()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["fp", "h"])
+
+    texts = docs.select("doc_id", text_tag().alias("own"), "text")
+    rows = bounded(durable(rows))
+    wanted = texts.join(rows, texts["doc_id"].eqNullSafe(rows["doc"]) & (texts["own"] == rows["tag"]), "left_semi")
+    sets = durable(wanted.select("text").mapInArrow(run, "fp binary, h array<long>").dropDuplicates(["fp"]))
+    both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("other"), F.col("h").alias("h2")), "other")
+    common = F.size(F.array_intersect("h", "h2"))
+    union = F.size("h") + F.size("h2") - common
+    return durable(both.where(common * SIMILAR[1] >= union * SIMILAR[0]).select("fp", "other"))
+
+
+def similar_classes(docs: DataFrame, shingle: int, bits: int, radius: int, band: int, tables: int, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, tag, fp, first, as in `classes`, linked by the similarity of sets."""
+    sketched = durable(sketches(docs, shingle, bits, band, tables))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    nodes = durable(sketched.groupBy("fp").agg(F.min(row).alias("first"), F.first("print").alias("print"), F.first("keys").alias("keys")))
+    some = candidates(nodes.withColumn("root", F.col("fp")), radius, False, chunk).groupBy("fp").agg(F.slice(F.collect_set("other"), 1, FIRST).alias("others"))
+    links = checked(durable(some.select("fp", F.explode("others").alias("other"))), docs, nodes, shingle)
+    rooted = durable(nodes.join(connect(links), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rest = checked(durable(candidates(rooted, radius, True, chunk)), docs, nodes, shingle)
+    return named(sketched.select("doc_id", "tag", "fp"), nodes.select("fp", "first"), connect(links.unionByName(rest)))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """One row of each component of `docs`, that with the smallest doc_id, with all its columns."""
-    found = classes(docs, **(NEAR | how))
+    found = similar_classes(docs, **(NEAR | how))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
     own, doc, tag = fresh(docs, "__own", "__doc", "__tag")
     gone = found.where(~stays).select(F.col("doc_id").alias(doc), F.col("tag").alias(tag)).distinct()

@@ -138,6 +138,42 @@ def test_near_copies(docs, empty, spark):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_at_the_threshold(spark):
+    rng = random.Random(12)
+    texts, kept = [], []
+    for n in (5, 10, 50, 200):
+        for _ in range(12):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+            for shingles in (n * 4 // 5, n * 4 // 5 - 1):  # similar to 0.8 just, and less
+                other = [f"{w}x" for w in words] if shingles < n * 4 // 5 else words
+                kept += [len(texts)] + [len(texts) + 1] * (other != words)
+                texts += [" ".join(other), " ".join(other[: shingles + 4])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(frame).collect()) == kept
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 3])
+def test_near_copies_link_by_exact_similarity(spark, chunk):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        for _ in range(25):  # chains, with neighbours on both sides of 0.8
+            at, n = rng.randrange(100), rng.randrange(4, 14)
+            words = words[:at] + [f"w{rng.randrange(10**9)}" for _ in range(n)] + words[at + n :]
+            texts.append(" ".join(words))
+    sets = [set(simhash.shingle_digests(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 6 < len(set(root)) < len(texts)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(frame, chunk=chunk).collect()) == sorted(set(root))
+
+
 def test_substring_dedup(docs, empty):
     rows = made()
     data = [(r[1] or "").encode() for r in rows]
