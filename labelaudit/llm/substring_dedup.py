@@ -5,11 +5,11 @@ A suffix is ordered by two digits only, never beyond the threshold of `length` b
 First digit, sampled: of the `length`-byte string at each position only one short inner gram counts,
 the one with the least hash. Neighbouring positions share it, so a document has one entry for a run of
 some 17 positions, and equal strings always have equal entries. Entries are dealt by that digit; a
-digit found in one document only ends there. Runs that are equal as a whole are settled at once:
-every document but the smallest loses the bytes of the run.
+digit found in one document only ends there. Runs that are equal as a whole, by their length and 96 bits
+of digest beside the digit, are settled at once: every document but the smallest loses the bytes of the run.
 
 Second digit: where a digit has several different runs, each position of them is dealt by the digest
-of its whole string (96 bits). Groups that are equal now are exactly the repeated strings.
+of its whole string (128 bits). Groups that are equal now are exactly the repeated strings.
 
 Each task combines its own entries before it deals them, so of a passage that a third of all documents
 hold, a task sends one entry, not one for each document; a first digit that already meets SENT different
@@ -39,7 +39,7 @@ GRAM = 26
 #: Entries combined at a time in a task.
 FLUSH = 1_500_000
 LAST = np.iinfo(np.int64).max
-_COLUMNS = (("k1", "<u8"), ("k2", "<u4"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<u4"), ("n", "<u4"), ("known", "<u1"))
+_COLUMNS = (("k1", "<u8"), ("k2", "<u8"), ("k3", "<u4"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<u4"), ("n", "<u4"), ("known", "<u1"))
 #: Columns written as differences, whose high bytes are mostly zero.
 _DIFFERENCES = ("doc", "tag", "pos")
 #: Different runs of one first digit that a task sends on; with more it knows enough by itself.
@@ -104,12 +104,13 @@ def bytes_of(text: str | None) -> np.ndarray:
 
 
 def runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """First digit, digest of the whole run, start and number of positions of each run of `data`."""
+    """First digit, two digests of the whole run, start and number of positions of each run of `data`."""
     first = Prefix(data, 0)
     least = sliding_min(first.every(gram), length - gram + 1)
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     end = np.append(start[1:], len(least))
-    return least[start], Prefix(data, 1).of(start, end + length - 1), start, end - start
+    stop = end + length - 1
+    return least[start], Prefix(data, 1).of(start, stop), first.of(start, stop), start, end - start
 
 
 def windows(data: np.ndarray, length: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -118,11 +119,12 @@ def windows(data: np.ndarray, length: int, start: np.ndarray, n: np.ndarray) ->
     return Prefix(data, 0).of(pos, pos + length), Prefix(data, 1).of(pos, pos + length), pos
 
 
-def entries(k1, k2, doc: int, tag: int, pos, n) -> Entries:
+def entries(k1, k2, k3, doc: int, tag: int, pos, n) -> Entries:
     size = len(pos)
     return {
         "k1": k1,
-        "k2": (k2 >> np.uint64(32)).astype(np.uint32),
+        "k2": k2,
+        "k3": k3.astype(np.uint32),
         "doc": np.full(size, doc, np.int64),
         "tag": np.full(size, tag, np.int64),
         "pos": pos.astype(np.uint32),
@@ -163,11 +165,11 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
 
 
 def settle(e: Entries) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries sorted by both digits and document; whether a smaller document has the equal run; whether
+    """Entries sorted by digits, digests and document; whether a smaller document has the equal run; whether
     the first digit has different runs of different documents; each run's number within its first digit,
     and how many that has."""
-    e = taken(e, np.lexsort((e["doc"], e["k2"], e["k1"])))
-    outer, inner = _edges(e["k1"]), _edges(e["k1"], e["k2"])
+    e = taken(e, np.lexsort((e["doc"], e["n"], e["k3"], e["k2"], e["k1"])))
+    outer, inner = _edges(e["k1"]), _edges(e["k1"], e["k2"], e["k3"], e["n"])
     group = np.cumsum(inner) - 1
     later = e["doc"] > e["doc"][np.flatnonzero(inner)][group]
     digit = np.cumsum(outer) - 1
@@ -282,8 +284,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, flush: int
                 data = bytes_of(text)
                 if len(data) < length:
                     continue
-                k1, k2, start, size = runs(data, length, gram)
-                held.append(entries(k1, k2, doc, tag, start, size))
+                k1, k2, k3, start, size = runs(data, length, gram)
+                held.append(entries(k1, k2, k3, doc, tag, start, size))
                 n += len(start)
                 if n >= flush:
                     yield deal(held, routes, True)
@@ -297,7 +299,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, flush: int
             columns = (batch.column(c).to_pylist() for c in ("doc", "tag", "text", "starts", "sizes"))
             for doc, tag, text, starts, sizes in zip(*columns, strict=True):
                 h1, h2, pos = windows(bytes_of(text), length, np.array(starts, np.int64), np.array(sizes, np.int64))
-                held.append(entries(h1, h2, doc, tag, pos, 1))
+                held.append(entries(h1, h2, np.zeros(len(pos), np.uint32), doc, tag, pos, 1))
                 n += len(pos)
                 if n >= flush:
                     yield deal(held, routes, False)

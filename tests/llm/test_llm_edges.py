@@ -198,6 +198,22 @@ def test_substring_dedup(docs, empty):
     assert sum(s.end - s.start for s in spans.removed) == spans.n_removed
 
 
+def test_runs_of_one_gram_differ_by_their_whole_digest(monkeypatch):
+    mix = substring_dedup.Prefix._mix
+    monkeypatch.setattr(substring_dedup.Prefix, "_mix", staticmethod(lambda x: mix(x) & np.uint64(0xFFFFFFFF)))
+    rng = np.random.default_rng(9)
+    gram = rng.integers(97, 123, 26, np.uint8)
+    parts = []
+    for doc in range(2000):  # the gram in another context each
+        data = np.concatenate([rng.integers(97, 123, 24, np.uint8), gram, rng.integers(97, 123, 24, np.uint8)])
+        *digests, start, size = substring_dedup.runs(data, 50, 26)
+        parts.append(substring_dedup.entries(*digests, doc, 0, start, size))
+    e, later, several, _, most = substring_dedup.settle(substring_dedup.joined(parts))
+    assert not later.any() and several.any() and most.max() > 20
+    _, later, *_ = substring_dedup.settle(substring_dedup.joined([*parts, {**e, "doc": e["doc"] + 2000}]))
+    assert later.sum() == len(e["doc"])
+
+
 def encoded(text, end):
     return [*tokens.load(tokens.vocabulary_path()).encode(text or "", add_special_tokens=False).ids, end]
 
