@@ -1,6 +1,6 @@
-"""Removing passages that repeat across documents: depth-limited radix sort of suffixes.
+"""Removing passages that repeat across documents, found by hash grouping of winnowed grams.
 
-A suffix is ordered by two digits only, never beyond the threshold of `length` bytes.
+Suffixes are not sorted: strings are grouped by two digits, hashes both, never beyond `length` bytes.
 
 First digit, sampled: of the `length`-byte string at each position only one short inner gram counts,
 the one with the least hash. Neighbouring positions share it, so a document has one entry for a run of
