@@ -10,7 +10,7 @@ their ids) and at most SAMPLE_CHUNKS chunks of each; both bounds are parameters.
 alone. The fit is seeded, so reruns agree.
 
 Defined cases: null text is the empty text, scored as one chunk of padding; null or contradicting
-labels are not learned from; without any label every score is 0.5; rows that repeat are scored one by
+labels are not learned from; without any label every score is 0.5 and `drop_rejected` rejects nothing; rows that repeat are scored one by
 one; very long texts are worked off in blocks of whole chunks; an empty table gives no rows; other
 columns are ignored by `score` and kept by `drop_rejected`.
 """
@@ -46,6 +46,7 @@ class Net:
     shift: np.ndarray  # (FILTERS,)
     out: np.ndarray  # (FILTERS,)
     bias: float
+    learned: bool = True
 
     def responses(self, data: np.ndarray) -> np.ndarray:
         """Filter responses at each start position of `data` (symbols, already padded by WIDTH - 1)."""
@@ -191,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Net:
     sample = sorted(((r.doc_id, r.quality, [bytes(c) for c in r.chunks]) for r in sample_labelled(docs, labels, rows).collect()), key=lambda r: (r[0], r[2]))
     chunks = [c for r in sample for c in r[2]]
     owner = np.array([i for i, r in enumerate(sample) for _ in r[2]], np.int64)
-    return fit(chunks, owner, np.array([r[1] for r in sample], np.float32))
+    net = fit(chunks, owner, np.array([r[1] for r in sample], np.float32))
+    net.learned = bool(sample)
+    return net
 
 
 def score(docs: DataFrame, net: Net, keep: list[str], name: str = "score") -> DataFrame:
@@ -210,9 +213,13 @@ def score(docs: DataFrame, net: Net, keep: list[str], name: str = "score") -> Da
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose score reaches the threshold, with all their columns."""
+    """The rows of `docs` whose score reaches the threshold, with all their columns; all rows if no labelled
+    document was there to learn from."""
     (name,) = fresh(docs, "__score")
-    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= threshold).drop(name)
+    net = train(docs, labels)
+    if not net.learned:
+        return docs
+    return score(docs, net, docs.columns, name).where(F.col(name) >= threshold).drop(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,11 @@ def test_quality_edges(docs, empty, spark):
     assert quality.drop_rejected(empty, none).count() == 0
 
 
+def test_quality_rejects_nothing_without_labels(docs, spark):
+    for labels in ([], [(10**9, 1)], [(10, None)]):  # none, of no document, unusable
+        assert quality.drop_rejected(docs, spark.createDataFrame(labels, "doc_id long, quality int")).count() == len(made())
+
+
 def test_quality_covers_the_whole_text():
     rng = np.random.default_rng(0)
     net = quality.Net(rng.normal(size=(6, 257, 4)).astype(np.float32), np.zeros(4, np.float32), np.ones(4, np.float32), 0.0)
