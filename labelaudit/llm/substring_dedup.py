@@ -1,20 +1,22 @@
-"""Removing passages that repeat across documents, found by hash grouping of winnowed grams.
+"""Removing passages that repeat across documents, by a depth-limited radix sort of suffixes.
 
-Suffixes are not sorted: strings are grouped by two digits, hashes both, never beyond `length` bytes.
+Every position at which a `length`-byte string starts is a suffix, ordered through its first `length`
+bytes and no further. A suffix is never alone: neighbours travel together as runs.
 
-First digit, sampled: of the `length`-byte string at each position only one short inner gram counts,
-the one with the least hash. Neighbouring positions share it, so a document has one entry for a run of
-some 17 positions, and equal strings always have equal entries. Entries are dealt by that digit; a
-digit found in one document only ends there. Runs that are equal as a whole, by their length and 96 bits
-of digest beside the digit, are settled at once: every document but the smallest loses the bytes of the run.
+Dealing digit: of the grams inside a suffix's first `length` bytes, the one with the least hash. It is a
+function of those bytes alone, so equal suffixes always meet; neighbouring suffixes share it, so a run of
+some 16 travels as one entry, with the bytes its suffixes need. Entries of one bucket of this digit travel
+together, compressed, and a task works off its partition bucket by bucket.
 
-Second digit: where a digit has several different runs, each position of them is dealt by the digest
-of its whole string (128 bits). Groups that are equal now are exactly the repeated strings.
+Most-significant-digit passes: equal runs are combined first (bytes are compared); then, within each
+dealing digit that several documents have, suffixes are ordered by eight bytes at a time. After each pass
+groups that lie in one document are dropped; a group that is left at depth `length` is a repeated string,
+and all but its smallest document lose it.
 
-Each task combines its own entries before it deals them, so of a passage that a third of all documents
-hold, a task sends one entry, not one for each document; a first digit that already meets SENT different
-runs inside one task needs no comparison elsewhere and travels as two entries. Results of a pass are
-written to the shared folder, and the pass's shuffle files go with it.
+Hot digits: of a passage that a third of all documents hold, a task sends one entry. A digit that still has
+over HOT different runs is opened: its suffixes are dealt once more, by all of their `length` bytes, combined
+in each task first, so a string that is everywhere is one entry a task. Nothing is held beyond a bucket,
+and a bucket that grows over HOLD entries is opened at its most frequent digits.
 
 Defined cases: null text is empty; texts shorter than the threshold keep all their bytes; rows that
 repeat a doc_id are told apart by their text and never remove from each other; null doc_id counts as
@@ -29,27 +31,33 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelaudit.llm.common import new_folder, partitions, read
 
 LENGTH = 50
-GRAM = 26
-#: Entries combined at a time in a task.
-FLUSH = 1_500_000
+GRAM = 14
+#: Entries a task combines before it sends them.
+FLUSH = 500_000
+#: Bytes of text whose entries share a bucket, on average.
+BUCKET = 4_000_000
+#: Different runs of one digit that are ordered in one place.
+HOT = 32_768
+#: Entries of a bucket held at a time.
+HOLD = 500_000
+#: Suffixes ordered at a time, in whole digits.
+SORTED = 1_000_000
+#: Bytes of a radix digit.
+DIGIT = 8
 LAST = np.iinfo(np.int64).max
-_COLUMNS = (("k1", "<u8"), ("k2", "<u8"), ("k3", "<u4"), ("doc", "<i8"), ("tag", "<i8"), ("pos", "<u4"), ("n", "<u4"), ("known", "<u1"))
-#: Columns written as differences, whose high bytes are mostly zero.
-_DIFFERENCES = ("doc", "tag", "pos")
-#: Different runs of one first digit that a task sends on; with more it knows enough by itself.
-SENT = 16
 Entries = dict[str, np.ndarray]
 
 
 @cache
-def _alphabet(which: int) -> np.ndarray:
-    return np.random.default_rng(1234 + which).integers(0, 2**64, 256, np.uint64)
+def _alphabet() -> np.ndarray:
+    return np.random.default_rng(1234).integers(0, 2**64, 256, np.uint64)
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -69,26 +77,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-class Prefix:
-    """Digests of any substring from two running sums."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self, data: np.ndarray, which: int) -> None:
-        forth, self.back = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_alphabet(which)[data] * forth[: len(data)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self._mix((self.sums[end] - self.sums[start]) * self.back[start])
-
-    def every(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
-        return self._mix((self.sums[length:] - self.sums[:n]) * self.back[:n])
-
-    @staticmethod
-    def _mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(32))
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    forth, back = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_alphabet()[data] * forth[: len(data)], out=sums[1:])
+    n = len(sums) - gram
+    return mixed((sums[gram:] - sums[:n]) * back[:n])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -103,59 +103,81 @@ def bytes_of(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
 
 
-def runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """First digit, two digests of the whole run, start and number of positions of each run of `data`."""
-    first = Prefix(data, 0)
-    least = sliding_min(first.every(gram), length - gram + 1)
-    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    end = np.append(start[1:], len(least))
-    stop = end + length - 1
-    return least[start], Prefix(data, 1).of(start, stop), first.of(start, stop), start, end - start
-
-
-def windows(data: np.ndarray, length: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Both digests and the position of each `length`-byte string of the runs."""
-    pos = np.unique(np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
-    return Prefix(data, 0).of(pos, pos + length), Prefix(data, 1).of(pos, pos + length), pos
+def row_width(length: int, gram: int) -> int:
+    """Bytes kept for a run, in whole radix digits."""
+    return -(-(2 * length - gram) // DIGIT) * DIGIT
 
 
-def entries(k1, k2, k3, doc: int, tag: int, pos, n) -> Entries:
-    size = len(pos)
+def cut_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Dealing digit, bytes, start and number of suffixes of each run of `data`."""
+    least = sliding_min(gram_hashes(data, gram), length - gram + 1)
+    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    n = np.diff(start, append=len(least))
+    most = length - gram + 1
+    if n.max() > most:  # a gram that repeats inside the text
+        pieces = -(-n // most)
+        at = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, n = np.repeat(start, pieces) + at * most, np.minimum(np.repeat(n, pieces) - at * most, most)
+    width = row_width(length, gram)
+    rows = sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[start]
+    rows[np.arange(width) >= (n + length - 1)[:, None]] = 0
+    return least[start], rows, start, n
+
+
+def entries(key: np.ndarray, rows: np.ndarray, doc: np.ndarray, tag: np.ndarray, n: np.ndarray, count: np.ndarray, place: np.ndarray) -> Entries:
+    """`count` places of each entry stand one after the other in `place`. What travels of the digit is 32 bits,
+    which with the bucket tell digits apart well enough; no result rests on them."""
     return {
-        "k1": k1,
-        "k2": k2,
-        "k3": k3.astype(np.uint32),
-        "doc": np.full(size, doc, np.int64),
-        "tag": np.full(size, tag, np.int64),
-        "pos": pos.astype(np.uint32),
-        "n": np.broadcast_to(n, size).astype(np.uint32),
-        "known": np.zeros(size, np.uint8),
+        "key": key,
+        "rows": rows,
+        "doc": doc.astype(np.int64),
+        "tag": tag.astype(np.int64),
+        "n": n.astype(np.uint16),
+        "count": count.astype(np.uint32),
+        "place": place.astype(np.uint32),
     }
 
 
+_TYPES = {"key": np.uint32, "rows": np.uint8, "doc": np.int64, "tag": np.int64, "n": np.uint16, "count": np.uint32, "place": np.uint32}
+
+
 def joined(parts: list[Entries]) -> Entries:
-    return {c: np.concatenate([p[c] for p in parts]) for c, _ in _COLUMNS}
+    return {c: np.concatenate([p[c] for p in parts]) for c in _TYPES} if len(parts) > 1 else parts[0]
+
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for count[i] numbers each."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
-def taken(e: Entries, where) -> Entries:
-    return {c: v[where] for c, v in e.items()}
+
+def taken(e: Entries, where: np.ndarray) -> Entries:
+    """The entries at the indices `where`, with their places."""
+    count = e["count"].astype(np.int64)
+    if (count == 1).all():
+        return {c: v[where] for c, v in e.items()}
+    places = e["place"][spread((np.cumsum(count) - count)[where], count[where])]
+    return {c: v[where] for c, v in e.items() if c != "place"} | {"place": places}
 
 
 def dumped(e: Entries) -> bytes:
-    return b"".join((np.diff(e[c], prepend=e[c].dtype.type(0)) if c in _DIFFERENCES else e[c]).astype(t).tobytes() for c, t in _COLUMNS)
+    head = np.array([len(e["key"]), len(e["place"]), e["rows"].shape[1]], "<i8").tobytes()
+    body = b"".join(e[c].astype(t, copy=False).tobytes() for c, t in _TYPES.items())
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(head + body, asbytes=True)
 
 
 def loaded(data: bytes) -> Entries:
-    n, at, out = len(data) // sum(np.dtype(t).itemsize for _, t in _COLUMNS), 0, {}
-    for c, t in _COLUMNS:
-        out[c] = np.frombuffer(data, t, n, at)
-        if c in _DIFFERENCES:
-            out[c] = np.cumsum(out[c], dtype=t)
-        at += n * np.dtype(t).itemsize
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little") + 24, asbytes=True)
+    n, places, width = np.frombuffer(raw, "<i8", 3).tolist()
+    at, out = 24, {}
+    for c, t in _TYPES.items():
+        size = {"rows": n * width, "place": places}.get(c, n)
+        out[c] = np.frombuffer(raw, t, size, at)
+        at += size * np.dtype(t).itemsize
+    out["rows"] = out["rows"].reshape(n, width)
     return out
 
 
-def _edges(*columns: np.ndarray) -> np.ndarray:
+def edges(*columns: np.ndarray) -> np.ndarray:
     """Whether a row of sorted columns begins a new group."""
     new = np.zeros(len(columns[0]), bool)
     new[:1] = True
@@ -164,107 +186,260 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def settle(e: Entries) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries sorted by digits, digests and document; whether a smaller document has the equal run; whether
-    the first digit has different runs of different documents; each run's number within its first digit,
-    and how many that has."""
-    e = taken(e, np.lexsort((e["doc"], e["n"], e["k3"], e["k2"], e["k1"])))
-    outer, inner = _edges(e["k1"]), _edges(e["k1"], e["k2"], e["k3"], e["n"])
-    group = np.cumsum(inner) - 1
-    later = e["doc"] > e["doc"][np.flatnonzero(inner)][group]
-    digit = np.cumsum(outer) - 1
-    per_digit = np.bincount(digit[inner])
-    number = group - group[np.flatnonzero(outer)][digit]
-    low, high = np.minimum.reduceat(e["doc"], np.flatnonzero(outer)), np.maximum.reduceat(e["doc"], np.flatnonzero(outer))
-    return e, later, ((per_digit > 1) & (low < high))[digit], number, per_digit[digit]
-
-
-def by_document(e: Entries, kind: int) -> Iterator[pa.RecordBatch]:
-    """kind, doc, tag, starts and numbers of positions, touching runs merged."""
-    if not len(e["pos"]):
+def row_digest(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    x = n.astype(np.uint64)
+    for word in np.ascontiguousarray(rows).view(np.uint64).T:
+        x = mixed(x ^ word)
+    return x
+
+
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def spans_of(e: Entries, where: np.ndarray) -> Spans:
+    """doc, tag, position and number of suffixes of the entries at `where`, place by place."""
+    part = taken(e, where)
+    return tuple(np.repeat(part[c], part["count"]) for c in ("doc", "tag")) + (part["place"].astype(np.int64), np.repeat(part["n"], part["count"]).astype(np.int64))
+
+
+def combined(e: Entries, lead: np.ndarray | None = None) -> tuple[Entries, Spans]:
+    """Equal runs in one: those of their smallest document, sorted by `lead` (the digit), and the spans of all
+    other documents. Digests only bring equal runs together; they are equal if their digits and bytes are."""
+    lead = e["key"] if lead is None else lead
+    digest = row_digest(e["rows"], e["n"]) ^ mixed(e["key"].astype(np.uint64))
+    e = taken(e, np.argsort((lead.astype(np.uint64) << np.uint64(32)) | (digest >> np.uint64(32)), kind="stable"))
+    words = np.ascontiguousarray(e["rows"]).view(np.uint64)
+    run = edges(e["key"], e["n"])
+    for word in words.T:
+        run[1:] |= word[1:] != word[:-1]
+    group = np.cumsum(run) - 1
+    least = np.minimum.reduceat(e["doc"], np.flatnonzero(run))[group] if len(run) else e["doc"]
+    goes = e["doc"] != least
+    gone = spans_of(e, np.flatnonzero(goes))
+    if goes.any():
+        stays = np.flatnonzero(~goes)
+        e, group = taken(e, stays), group[stays]
+    own = np.flatnonzero(edges(group, e["tag"]))  # one entry for each row of the smallest document
+    if len(own) == len(group):
+        return e, gone
+    count = np.add.reduceat(e["count"], own, dtype=np.uint32)
+    return {c: v[own] for c, v in e.items() if c not in ("count", "place")} | {"count": count, "place": e["place"]}, gone
+
+
+def suffixes(e: Entries) -> tuple[np.ndarray, np.ndarray]:
+    """Entry and offset in its run of each suffix."""
+    n = e["n"].astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
+
+
+def places_of(e: Entries, entry: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many places each suffix has, and where they are."""
+    count = e["count"].astype(np.int64)
+    first = np.cumsum(count) - count
+    return count[entry], e["place"][spread(first[entry], count[entry])].astype(np.int64) + np.repeat(offset, count[entry])
+
+
+def ordered(e: Entries, length: int) -> Spans:
+    """Radix passes over the suffixes of the entries, which are sorted by digit: the spans of suffixes that a
+    smaller document has, too."""
+    entry, offset = suffixes(e)
+    width = e["rows"].shape[1]
+    flat = np.concatenate([e["rows"].ravel(), np.zeros(length + DIGIT, np.uint8)])
+    view = sliding_window_view(flat, DIGIT)
+    group = (np.cumsum(edges(e["key"][entry])) - 1).astype(np.int64)
+    doc = e["doc"][entry]
+    for depth in range(0, length, DIGIT):
+        beyond = max(0, depth + DIGIT - length)
+        digit = view[entry * width + offset + depth].view(">u8").ravel().astype(np.uint64) >> np.uint64(8 * beyond)
+        order = np.lexsort((digit, group))
+        group = edges(group[order], digit[order])
+        first = np.flatnonzero(group)
+        group = np.cumsum(group) - 1
+        entry, offset, doc = entry[order], offset[order], doc[order]
+        if not len(first):
+            break
+        least = np.minimum.reduceat(doc, first)
+        several = (least < np.maximum.reduceat(doc, first))[group]
+        least = least[group][several]
+        entry, offset, doc, group = entry[several], offset[several], doc[several], group[several]
+    else:
+        later = doc > least
+        entry, offset = entry[later], offset[later]
+    count, place = places_of(e, entry, offset)
+    return np.repeat(e["doc"][entry], count), np.repeat(e["tag"][entry], count), place, np.ones(len(place), np.int64)
+
+
+def settled(e: Entries, length: int, hot: int, may_open: bool = True) -> Iterator[tuple[int, Spans | Entries]]:
+    """COVERED spans among the entries of a bucket, and OPEN entries of digits with over `hot` runs."""
+    e, gone = combined(e)
+    yield COVERED, gone
+    first = np.flatnonzero(edges(e["key"]))
+    if not len(first):
+        return
+    size = np.diff(first, append=len(e["key"]))
+    several = np.minimum.reduceat(e["doc"], first) < np.maximum.reduceat(e["doc"], first)
+    open_ = several & (size > hot) & may_open
+    for k in np.flatnonzero(open_):
+        yield OPEN, taken(e, np.arange(first[k], first[k] + size[k]))
+    some = np.flatnonzero(several & ~open_)
+    total = np.cumsum(np.add.reduceat(e["n"], first, dtype=np.int64)[some])
+    for lo in np.flatnonzero(edges(total // SORTED)) if len(some) else []:
+        part = some[lo:][total[lo:] // SORTED == total[lo] // SORTED]
+        yield COVERED, ordered(taken(e, spread(first[part], size[part])), length)
+
+
+def by_document(spans: Spans) -> Iterator[pa.RecordBatch]:
+    """doc, tag, starts and numbers of suffixes, touching runs merged."""
+    doc, tag, pos, n = spans
+    if not len(pos):
         return
-    e = taken(e, np.lexsort((e["pos"], e["tag"], e["doc"])))
-    owner = _edges(e["doc"], e["tag"])
+    order = np.lexsort((pos, tag, doc))
+    doc, tag, pos, n = doc[order], tag[order], pos[order], n[order]
+    owner = edges(doc, tag)
     lift = (np.cumsum(owner) - 1) << 33
-    pos = e["pos"].astype(np.int64) + lift
-    reach = np.maximum.accumulate(pos + e["n"])
-    fresh = owner.copy()
-    fresh[1:] |= pos[1:] > reach[:-1]
-    starts = np.flatnonzero(fresh)
-    last = np.append(starts[1:], len(pos)) - 1
-    first, size = (pos - lift)[starts], reach[last] - pos[starts]
+    at = pos + lift
+    reach = np.maximum.accumulate(at + n)
+    new = owner.copy()
+    new[1:] |= at[1:] > reach[:-1]
+    starts = np.flatnonzero(new)
+    last = np.append(starts[1:], len(at)) - 1
+    size = reach[last] - at[starts]
     docs = np.flatnonzero(owner[starts])
     ends = np.append(docs[1:], len(starts))
     for lo in range(0, len(docs), 4096):
         part, stop = docs[lo : lo + 4096], int(ends[min(lo + 4096, len(docs)) - 1])
         offsets = pa.array(np.append(part, stop) - part[0], pa.int32())
-        lists = (pa.ListArray.from_arrays(offsets, pa.array(x[part[0] : stop], pa.int64())) for x in (first, size))
-        rows = starts[part]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind), pa.int32()), pa.array(e["doc"][rows]), pa.array(e["tag"][rows]), *lists], schema=_FOUND_ARROW)
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(x[part[0] : stop], pa.int64())) for x in (pos[starts], size))
+        rows, k = starts[part], len(part)
+        columns = [pa.array(np.full(k, COVERED), pa.int32()), pa.array(doc[rows]), pa.array(tag[rows]), *lists, pa.nulls(k, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, schema=_FOUND_ARROW)
 
 
-_DEALT = "route int, kind int, data binary"
-_DEALT_ARROW = pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 ENTRY, COVERED, OPEN = 0, 1, 2
-_FOUND = "kind int, doc long, tag long, starts array<long>, sizes array<long>"
-_FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-
-
-def deal(parts: list[Entries], routes: int, first_pass: bool) -> pa.RecordBatch:
-    """Combine a task's entries; what is settled here, what stays open, and what must meet others."""
-    e, later, several, number, most = settle(joined(parts))
-    if first_pass:
-        crowded = several & (most >= SENT)
-        undecided = crowded & ~later
-        e["known"] = undecided.astype(np.uint8)
-        send = ~later & (~crowded | (number < 2))
-        split = ((ENTRY, send), (COVERED, later), (OPEN, undecided))
-    else:
-        split = ((ENTRY, ~later), (COVERED, later))
-    rows = []
-    for kind, where in split:
-        part = taken(e, where)
-        key = part["k1"] if kind == ENTRY else part["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        route = ((key >> np.uint64(33)) % np.uint64(routes)).astype(np.int32)
-        order = np.lexsort((part["pos"], part["doc"], route))
-        part, route = taken(part, order), route[order]
-        cuts = np.searchsorted(route, np.arange(routes + 1))
-        rows += [(r, kind, dumped(taken(part, slice(cuts[r], cuts[r + 1])))) for r in range(routes) if cuts[r] < cuts[r + 1]]
-    return pa.RecordBatch.from_pylist([dict(zip(_DEALT_ARROW.names, r, strict=True)) for r in rows], schema=_DEALT_ARROW)
-
-
-def meet(first_pass: bool):
-    """The reducing side: settle the entries of a route, pass on what was settled before."""
+_FOUND = "kind int, doc long, tag long, starts array<long>, sizes array<long>, data binary"
+_FOUND_ARROW = pa.schema(
+    [("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())]
+)
+_DEALT = "bucket long, kind int, data binary"
+_DEALT_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+#: Entries in one row of dealt data.
+PACKED = 16_384
+
+
+def deal(parts: list[Entries], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Combine a task's entries and send them by bucket, in rows of at most PACKED; spans go along."""
+    e = joined(parts)
+    e, gone = combined(e, bucket_numbers(e["key"], buckets))
+    bucket = bucket_numbers(e["key"], buckets)
+    places = np.append(0, np.cumsum(e["count"], dtype=np.int64))
+    cuts = np.flatnonzero(edges(bucket) | (np.arange(len(bucket)) % PACKED == 0))
+    rows: list[tuple] = []
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+        part = {c: v[lo:hi] for c, v in e.items() if c != "place"} | {"place": e["place"][places[lo] : places[hi]]}
+        rows.append((int(bucket[lo]), ENTRY, dumped(part)))
+        if len(rows) >= 64:
+            yield _batch(rows)
+            rows = []
+    for lo in range(0, len(gone[0]), 4 * PACKED):
+        part = tuple(c[lo : lo + 4 * PACKED] for c in gone)
+        rows.append((int(mixed(part[0][:1].astype(np.uint64))[0] % np.uint64(buckets)), COVERED, dumped_spans(part)))
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DEALT_ARROW.types, strict=True)], schema=_DEALT_ARROW)
+
+
+def dumped_spans(spans: Spans) -> bytes:
+    raw = np.stack(spans).astype("<i8").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def loaded_spans(data: bytes) -> Spans:
+    return tuple(np.frombuffer(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), "<i8").reshape(4, -1))
+
+
+def bucket_numbers(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def opened(e: Entries) -> pa.RecordBatch:
+    """A row with the entries and, as its size, the number of their suffixes."""
+    columns = [[OPEN], [None], [None], None, [[int(e["n"].sum(dtype=np.int64))]], [dumped(e)]]
+    return pa.RecordBatch.from_arrays([pa.array(c or [None], t) for c, t in zip(columns, _FOUND_ARROW.types, strict=True)], schema=_FOUND_ARROW)
+
+
+def meet(length: int, hot: int, hold: int, may_open: bool):
+    """The receiving side: one bucket after the other. Where digits are whole strings none is opened: equal
+    entries are one, and buckets are as many as the strings need."""
+
+    def results(found: Iterator[tuple[int, Spans | Entries]]) -> Iterator[pa.RecordBatch]:
+        spans: list[Spans] = []
+        for kind, what in found:
+            if kind == COVERED:
+                spans.append(what)
+                continue
+            for at in range(0, len(what["key"]), PACKED):
+                yield opened(taken(what, np.arange(at, min(at + PACKED, len(what["key"])))))
+        if spans:
+            yield from by_document(tuple(np.concatenate(c) for c in zip(*spans, strict=True)))
+
+    def eased(e: Entries, hot_keys: set[int]) -> tuple[Entries, list[tuple[int, Spans | Entries]]]:
+        """The entries combined, without those of the most frequent digits if they are still too many."""
+        e, gone = combined(e)
+        out: list[tuple[int, Spans | Entries]] = [(COVERED, gone)]
+        if may_open and len(e["key"]) > hold // 2:
+            keys, n = np.unique(e["key"], return_counts=True)
+            most = np.argsort(-n, kind="stable")
+            hot_keys.update(keys[most[: 1 + int(np.searchsorted(np.cumsum(n[most]), len(e["key"]) - hold // 4))]].tolist())
+            e, part = parted(e, hot_keys)
+            out.append((OPEN, part))
+        return e, out
+
+    def parted(e: Entries, hot_keys: set[int]) -> tuple[Entries, Entries]:
+        is_hot = np.isin(e["key"], np.fromiter(hot_keys, np.uint32, len(hot_keys)))
+        return taken(e, np.flatnonzero(~is_hot)), taken(e, np.flatnonzero(is_hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[Entries]] = {ENTRY: [], COVERED: [], OPEN: []}
+        at, held, n, most, hot_keys = None, [], 0, hold, set()
         for batch in batches:
-            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                held[kind].append(loaded(data))
-        if held[ENTRY]:
-            together = joined(held.pop(ENTRY))
-            e, later, several, _, _ = settle(together)
-            held[COVERED].append(taken(e, later))
-            if first_pass:
-                held[OPEN].append(taken(e, several & ~later & (e["known"] == 0)))
-        for kind in (COVERED, OPEN):
-            parts, held[kind] = held[kind], []
-            if parts:
-                yield from by_document(joined(parts), kind)
+            for bucket, kind, data in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                if bucket != at:
+                    if held:
+                        yield from results(settled(joined(held), length, hot, may_open))
+                    at, held, n, most, hot_keys = bucket, [], 0, hold, set()
+                if kind == COVERED:
+                    yield from by_document(loaded_spans(data.as_py()))
+                    continue
+                e = loaded(data.as_py())
+                if hot_keys:
+                    e, part = parted(e, hot_keys)
+                    yield from results(iter([(OPEN, part)]))
+                held.append(e)
+                n += len(e["key"])
+                if n > most:
+                    e, out = eased(joined(held), hot_keys)
+                    yield from results(iter(out))
+                    held, n = [e], len(e["key"])
+                    most = max(hold, 2 * n)
+        if held:
+            yield from results(settled(joined(held), length, hot, may_open))
 
     return run
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back; the shuffle files of the work so far are not needed again."""
+    """Write to the shared folder and read back. The shuffle files of the work so far are not needed again
+    and go at once, so the disk holds one pass at a time; the session's own setting comes back."""
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
+    before = spark.conf.getAll.get(key)
     folder = new_folder(spark, what)
     try:
         spark.conf.set(key, "true")
         df.write.parquet(folder)
     finally:
-        spark.conf.set(key, before or "false")
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     return spark.read.parquet(folder)
 
 
@@ -272,55 +447,63 @@ def per_document(found: DataFrame) -> DataFrame:
     return found.groupBy("doc", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, flush: int = FLUSH) -> DataFrame:
+def repeated(texts: DataFrame, n_bytes: int, length: int = LENGTH, gram: int = GRAM, flush: int = FLUSH, hot: int = HOT, hold: int = HOLD, bucket: int = BUCKET) -> DataFrame:
     """doc, tag, starts, sizes: the positions at which a string starts that a smaller document has, too."""
-    routes = partitions(docs.sparkSession)
-    texts = tagged(docs)
+    spark = texts.sparkSession
+    buckets = max(n_bytes // bucket, partitions(spark))
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "text")), strict=True):
-                data = bytes_of(text)
+            for doc, tag, text in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
+                data = bytes_of(text.as_py())
                 if len(data) < length:
                     continue
-                k1, k2, k3, start, size = runs(data, length, gram)
-                held.append(entries(k1, k2, k3, doc, tag, start, size))
-                n += len(start)
+                key, rows, start, size = cut_runs(data, length, gram)
+                k = len(start)
+                held.append(entries(key, rows, np.full(k, doc), np.full(k, tag), size, np.ones(k), start))
+                n += k
                 if n >= flush:
-                    yield deal(held, routes, True)
+                    yield from deal(held, buckets)
                     held, n = [], 0
         if held:
-            yield deal(held, routes, True)
+            yield from deal(held, buckets)
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each suffix of the opened entries as an entry of its own, under a digit of all its bytes."""
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc", "tag", "text", "starts", "sizes"))
-            for doc, tag, text, starts, sizes in zip(*columns, strict=True):
-                h1, h2, pos = windows(bytes_of(text), length, np.array(starts, np.int64), np.array(sizes, np.int64))
-                held.append(entries(h1, h2, np.zeros(len(pos), np.uint32), doc, tag, pos, 1))
-                n += len(pos)
-                if n >= flush:
-                    yield deal(held, routes, False)
-                    held, n = [], 0
-        if held:
-            yield deal(held, routes, False)
-
-    first = written(texts.mapInArrow(sampled, _DEALT).repartition(routes, "route").mapInArrow(meet(True), _FOUND), "first-digit")
-    undecided = per_document(first.where(F.col("kind") == OPEN))
-    dealt = texts.join(undecided, ["doc", "tag"]).mapInArrow(ordered, _DEALT)
-    second = written(dealt.repartition(routes, "route").mapInArrow(meet(False), _FOUND), "second-digit")
-    return per_document(first.where(F.col("kind") == COVERED).unionByName(second))
-
-
-def tagged(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text", F.col("doc_id")
-    )
-
-
-def spans(n_bytes: int, starts: list[int], sizes: list[int], length: int) -> np.ndarray:
+            for data in batch.column("data"):
+                e = loaded(data.as_py())
+                for lo in range(0, len(e["key"]), 8192):
+                    part = taken(e, np.arange(lo, min(lo + 8192, len(e["key"]))))
+                    entry, offset = suffixes(part)
+                    width = part["rows"].shape[1]
+                    rows = np.zeros((len(entry), width), np.uint8)
+                    rows[:, :length] = sliding_window_view(part["rows"].ravel(), length)[entry * width + offset]
+                    one = np.ones(len(entry), np.uint8)
+                    key = row_digest(rows, one)
+                    count, place = places_of(part, entry, offset)
+                    yield from deal([entries(key, rows, part["doc"][entry], part["tag"][entry], one, count, place)], wide)
+
+    def met(dealt: DataFrame, may_open: bool) -> DataFrame:
+        return dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(meet(length, hot, hold, may_open), _FOUND)
+
+    first = written(met(texts.select("doc", "tag", "text").mapInArrow(runs, _DEALT), True), "dealing-digit")
+    found, open_ = first.where(F.col("kind") == COVERED), first.where(F.col("kind") == OPEN)
+    wide = max((open_.agg(F.sum(F.element_at("sizes", 1))).first()[0] or 0) // max(1, hold // 4), partitions(spark))
+    return per_document(found.unionByName(met(open_.select("data").mapInArrow(singles, _DEALT), False)))
+
+
+def tagged(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc, tag, text and doc_id of each row, and the bytes of all texts. The tag tells rows of one doc_id
+    apart by their text; it is 0 where no doc_id repeats."""
+    per_id = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    most = per_id.agg(F.max("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))) if (most.n or 0) > 1 else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), tag.alias("tag"), "text", "doc_id"), most.bytes or 0
+
+
+def covered(n_bytes: int, starts: list[int], sizes: list[int], length: int) -> np.ndarray:
     """Whether each byte lies in one of the strings that start at the given positions."""
     change = np.zeros(n_bytes + 1, np.int64)
     start = np.array(starts, np.int64)
@@ -329,31 +512,35 @@ def spans(n_bytes: int, starts: list[int], sizes: list[int], length: int) -> np.
     return np.cumsum(change)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept bytes and the removed spans."""
-    hits = repeated(docs, length)
+    texts, n_bytes = tagged(docs)
+    hits = repeated(texts, n_bytes, length, **how)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<struct<start:long,end:long>>" * with_kept
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, starts, sizes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "sizes")), strict=True):
-                data = bytes_of(text)
-                row = {"doc_id": doc_id, "n_bytes": len(data), "n_removed": 0, "n_spans": 0}
-                kept, edges = data, []
-                if starts:
-                    gone = spans(len(data), starts, sizes, length)
+            for doc_id, text, starts, sizes in zip(*(batch.column(c) for c in ("doc_id", "text", "starts", "sizes")), strict=True):
+                data = bytes_of(text.as_py())
+                row = {"doc_id": doc_id.as_py(), "n_bytes": len(data), "n_removed": 0, "n_spans": 0}
+                kept, bounds = data, []
+                if starts.is_valid:
+                    gone = covered(len(data), starts.as_py(), sizes.as_py(), length)
                     kept = data[~gone]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
-                    row |= {"n_removed": len(data) - len(kept), "n_spans": len(edges)}
+                    bounds = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
+                    row |= {"n_removed": len(data) - len(kept), "n_spans": len(bounds)}
                 row["kept_sha256"] = hashlib.sha256(kept.tobytes()).hexdigest()
                 if with_kept:
-                    row |= {"kept": kept.tobytes(), "removed": [{"start": a, "end": b} for a, b in edges]}
+                    row |= {"kept": kept.tobytes(), "removed": [{"start": a, "end": b} for a, b in bounds]}
                 out.append(row)
+                if len(out) >= (256 if with_kept else 4096):
+                    yield pa.RecordBatch.from_pylist(out, schema=_arrow(with_kept))
+                    out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_arrow(with_kept))
 
-    return tagged(docs).join(hits, ["doc", "tag"], "left").select("doc_id", "text", "starts", "sizes").mapInArrow(cut, schema)
+    return texts.join(hits, ["doc", "tag"], "left").select("doc_id", "text", "starts", "sizes").mapInArrow(cut, schema)
 
 
 def _arrow(with_kept: bool) -> pa.Schema:

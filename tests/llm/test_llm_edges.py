@@ -174,44 +174,57 @@ def test_near_copies_link_by_exact_similarity(spark, chunk):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(frame, chunk=chunk).collect()) == sorted(set(root))
 
 
-def test_substring_dedup(docs, empty):
-    rows = made()
+def without_repeats(rows, length=50):
     data = [(r[1] or "").encode() for r in rows]
     key = [r[0] if r[0] is not None else 1 << 62 for r in rows]
     first = {}
     for k, d in zip(key, data, strict=True):
-        for p in range(len(d) - 49):
-            s = d[p : p + 50]
+        for p in range(len(d) - length + 1):
+            s = d[p : p + length]
             first[s] = min(first.get(s, k), k)
-    expected = Counter()
+    out = Counter()
     for r, k, d in zip(rows, key, data, strict=True):
         gone = np.zeros(len(d), bool)
-        for p in range(len(d) - 49):
-            if first[d[p : p + 50]] < k:
-                gone[p : p + 50] = True
+        for p in range(len(d) - length + 1):
+            if first[d[p : p + length]] < k:
+                gone[p : p + length] = True
         kept = bytes(np.frombuffer(d, np.uint8)[~gone])
         n_spans = int(np.diff(np.concatenate([[False], gone]).astype(int)).clip(0).sum())
-        expected[r[0], len(d), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest()] += 1
-    assert Counter(map(tuple, substring_dedup.remove_repeats(docs).collect())) == expected
+        out[r[0], len(d), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+def test_substring_dedup(docs, empty):
+    assert Counter(map(tuple, substring_dedup.remove_repeats(docs).collect())) == without_repeats(made())
     assert substring_dedup.remove_repeats(empty).count() == 0
     spans = substring_dedup.remove_repeats(docs, with_kept=True).where("n_removed > 0").first()
     assert sum(s.end - s.start for s in spans.removed) == spans.n_removed
 
 
-def test_runs_of_one_gram_differ_by_their_whole_digest(monkeypatch):
-    mix = substring_dedup.Prefix._mix
-    monkeypatch.setattr(substring_dedup.Prefix, "_mix", staticmethod(lambda x: mix(x) & np.uint64(0xFFFFFFFF)))
+@pytest.mark.parametrize("how", [{}, {"hot": 3, "hold": 200, "flush": 500, "bucket": 2000}, {"hot": 1, "hold": 64, "flush": 50, "bucket": 10**6}, {"hot": 10**9, "hold": 100}])
+def test_substring_dedup_opens_hot_digits(spark, how):
+    rng = random.Random(1)
+    words = "alpha beta gamma delta the of and price oil rice".split()
+    text = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", str(rng.randrange(50))]) for _ in range(n))
+    passages = [text(20) for _ in range(3)]
+    rows = [(i, text(rng.randrange(1, 40)) + rng.choice(passages)[: rng.randrange(120)] + text(rng.randrange(30))) for i in range(200)]
+    rows += [(300 + i, "a" * rng.randrange(300)) for i in range(8)] + [(400 + i, "ab" * rng.randrange(150) + rng.choice(passages)) for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, substring_dedup.remove_repeats(frame, **how).collect())) == without_repeats(rows)
+
+
+def test_equal_digits_of_different_strings_are_told_apart(spark, monkeypatch):
+    """Runs whose digits and digests all agree still differ by their bytes."""
+    monkeypatch.setattr(substring_dedup, "row_digest", lambda rows, n: np.zeros(len(rows), np.uint64))
     rng = np.random.default_rng(9)
-    gram = rng.integers(97, 123, 26, np.uint8)
-    parts = []
-    for doc in range(2000):  # the gram in another context each
-        data = np.concatenate([rng.integers(97, 123, 24, np.uint8), gram, rng.integers(97, 123, 24, np.uint8)])
-        *digests, start, size = substring_dedup.runs(data, 50, 26)
-        parts.append(substring_dedup.entries(*digests, doc, 0, start, size))
-    e, later, several, _, most = substring_dedup.settle(substring_dedup.joined(parts))
-    assert not later.any() and several.any() and most.max() > 20
-    _, later, *_ = substring_dedup.settle(substring_dedup.joined([*parts, {**e, "doc": e["doc"] + 2000}]))
-    assert later.sum() == len(e["doc"])
+    parts, texts = [], rng.integers(97, 123, (300, 50), np.uint8)
+    texts[200:] = texts[:100]
+    for doc, data in enumerate(texts):
+        _, rows, start, n = substring_dedup.cut_runs(data, 50, 14)
+        one = np.ones(1)
+        parts.append(substring_dedup.entries(np.zeros(1, np.uint64), rows, one * doc, one * 0, n, one, start))
+    found = [what for kind, what in substring_dedup.settled(substring_dedup.joined(parts), 50, 10**6) if kind == substring_dedup.COVERED]
+    assert sorted(d for spans in found for d in spans[0].tolist()) == list(range(200, 300))
 
 
 def encoded(text, end):
