@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="labelaudit-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -30,6 +32,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so lost executors lose nothing."""
     shared_dir(df.sparkSession)
@@ -41,6 +49,25 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """`rows` with their row of `table`, which has one row a key and in `n` how many of `rows` have that key.
+
+    A key of more than a (4 x partitions)-th of the rows is cut into pieces of about that many: its row of
+    `table` is repeated, and its rows are spread by `spread` and the partition they come from. At most
+    4 x partitions keys can be so frequent, and only their names are broadcast. `n` is dropped.
+    """
+    share = 4 * partitions(rows.sparkSession)
+    total, largest = table.agg(F.sum(n), F.max(n)).first()
+    most = max(1, (total or 0) // share)
+    if (largest or 0) <= most:
+        return rows.join(table.drop(n), key, how)
+    hot = table.where(F.col(n) > most).select(F.col(key).alias("__hot"), F.ceil(F.col(n) / most).cast("int").alias("__pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.col("__pieces")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hot), rows[key] == hot["__hot"], "left").withColumn("__piece", piece).drop("__hot", "__pieces")
+    pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col(n) / most).cast("int")) - 1))
+    return dealt.join(table.withColumn("__piece", pieces).drop(n), [key, "__piece"], how).drop("__piece")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import bounded, durable, partitions, read
+from labelaudit.llm.common import BROADCAST_ROWS, durable, partitions, read, skew_join
 
 BUCKETS = 1 << 15
 #: Buckets whose counts travel as one row.
@@ -102,7 +102,8 @@ def counted(docs: DataFrame) -> dict[str, np.ndarray]:
         if held:
             yield _blocks([(*k, n) for k, n in held.items()])
 
-    known = docs.select(F.lower(F.trim("lang")).alias("lang"), "text").where(F.col("lang").rlike(r"\A[a-z]{2}\z"))
+    primary = F.lower(F.regexp_extract(F.trim("lang"), r"\A([A-Za-z]{2,3})(?:[-_].*)?\z", 1))  # of pt-BR, pt
+    known = docs.select(primary.alias("lang"), "text").where(F.col("lang") != "")
     sums = known.mapInArrow(count, _BLOCKS).repartition(partitions(docs.sparkSession), "lang", "block").mapInArrow(add, _BLOCKS)
     out: dict[str, np.ndarray] = {}
     for r in sums.collect():  # one row for each block of each language
@@ -158,7 +159,14 @@ def text_evidence(pages: DataFrame, model: Model) -> DataFrame:
 def sums_by(evidence: DataFrame, key: str, n: int) -> DataFrame:
     """key, sums: what the pages of a value gave to each language; a hot value is summed inside each task first."""
     each = F.array(*[F.sum(F.col("own")[i]) for i in range(n)])
-    return durable(evidence.where(F.col(key).isNotNull()).groupBy(key).agg(each.alias("sums")).select(F.col(key).alias("__key"), "sums"))
+    summed = evidence.where(F.col(key).isNotNull()).groupBy(key).agg(each.alias("sums"), F.count("*").alias("n"))
+    return durable(summed.select(F.col(key).alias("__key"), "sums", "n"))
+
+
+def joined(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """Broadcast while the values are few; beyond that, frequent values are split over many tasks."""
+    few = sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(sums.drop("n")), "__key", "left") if few else skew_join(rows, sums, "__key", ["page_id"], how="left")
 
 
 def _total(a: Column) -> Column:
@@ -180,7 +188,8 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
         sums = sums_by(evidence, key, n)
         # rows without a value meet no sums; spread out, they make no hot key
         own = F.coalesce(F.col(key), F.concat(F.lit("~ "), F.pmod(F.xxhash64("page_id", "own"), F.lit(4096)).cast("string")))
-        rows = rows.withColumn("__key", own).join(bounded(sums), "__key", "left").withColumn(f"of_{key}", F.col("sums")).drop("__key", "sums")
+        rows = rows.withColumn("__key", own)
+        rows = joined(rows, sums).withColumn(f"of_{key}", F.col("sums")).drop("__key", "sums")
 
     without = lambda a: F.zip_with(a, F.col("own"), lambda x, y: x - y)
     others = lambda key: F.coalesce(without(F.col(f"of_{key}")), F.array_repeat(F.lit(0).cast("long"), n))

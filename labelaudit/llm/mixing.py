@@ -11,6 +11,8 @@ size 0 has target 0; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def targets(sizes: DataFrame, share_pct: int = 150, weights: tuple = WEIGHTS, ca
     """
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.col("rn") - 1, F.lit(len(weights))) + 1).cast("int"))
     ranked = sizes.withColumn("rn", F.row_number().over(Window.orderBy("src"))).withColumn("w", w.cast("long"))
-    lcm = 6
+    lcm = math.lcm(*weights)
     order = Window.orderBy((F.col("source_size") * (F.lit(lcm) / F.col("w"))).cast("long"), "rn")
     everything = Window.partitionBy()
     filled = ranked.withColumns(

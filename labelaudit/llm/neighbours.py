@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from labelaudit.llm.common import durable, partitions, read
 
-SHARD = 2048
+SHARD = 8192
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
@@ -74,13 +75,19 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, set[int]] = {}
+        last = None
         for batch in batches:
-            for vector, ids in zip(batch.column("vector").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for digest, vector, ids in zip(*(batch.column(c).to_pylist() for c in ("digest", "vector", "ids")), strict=True):
+                if digest != last and len(found) >= 5000:  # sorted, so what is held is complete
+                    yield from rows_of(found)
+                    found = {}
+                last = digest
                 add(found, vector, ids)
         yield from rows_of(found)
 
     once = rows.mapInArrow(local, _SCHEMA_DISTINCT)
-    return once.repartition(partitions(rows.sparkSession), "digest").mapInArrow(combined, _SCHEMA_DISTINCT)
+    dealt = once.repartition(partitions(rows.sparkSession), "digest").sortWithinPartitions("digest")
+    return dealt.mapInArrow(combined, _SCHEMA_DISTINCT)
 
 
 def _digest(data: bytes) -> int:
@@ -164,13 +171,20 @@ class Graph:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with rows, in double precision."""
+    """Cosines of one vector with rows, in double precision. Scaling by powers of two changes no digit and keeps
+    the squares of very large and very small components within range."""
+    a, b = scaled(a[None])[0], scaled(b)
     return (b @ a) / (np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum()))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the largest component lies between 1/2 and 1."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def unit_rows(v: np.ndarray) -> np.ndarray:
-    scaled = v / np.abs(v).max(axis=1, keepdims=True)
-    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+    v = scaled(v)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 _GRAPH = "shard long, dim int, vectors binary, edges binary, entry int, ids array<array<long>>"
@@ -184,19 +198,20 @@ def build(rows: DataFrame, k: int = K, shard: int = SHARD, degree: int = DEGREE,
     shards = max(1, -(-distinct.count() // shard))
 
     def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[tuple[bytes, list[int]]]] = {}
-        for b in batches:
-            for s, dim, v, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "dim", "vector", "ids")), strict=True):
-                held.setdefault((s, dim), []).append((v, ids))
-        for (s, dim), items in sorted(held.items()):
-            items.sort()
+        def rows_of_shards() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("shard", "dim", "vector", "ids")), strict=True)
+
+        for (s, dim), rows in groupby(rows_of_shards(), key=lambda r: r[:2]):  # sorted, so one shard is held at a time
+            items = sorted(r[2:] for r in rows)
             v = np.frombuffer(b"".join(x for x, _ in items), "<f8").reshape(-1, dim)
             g = Graph(unit_rows(v), degree, beam, alpha)
             row = {"shard": s, "dim": dim, "vectors": v.tobytes(), "edges": g.edges.tobytes(), "entry": g.entry, "ids": [i for _, i in items]}
             yield pa.RecordBatch.from_pylist([row], schema=_GRAPH_ARROW)
 
     dealt = distinct.withColumn("shard", F.pmod("digest", F.lit(shards)))
-    return durable(dealt.repartition(min(shards, 16 * partitions(spark)), "shard").mapInArrow(graphs, _GRAPH))
+    spread = dealt.repartition(min(shards, 16 * partitions(spark)), "shard").sortWithinPartitions("shard", "dim")
+    return durable(spread.mapInArrow(graphs, _GRAPH))
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:

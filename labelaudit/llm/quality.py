@@ -5,13 +5,13 @@ wide, run over every position of a chunk; each filter keeps its largest response
 chunks' responses are averaged and combined into one probability. A filter on bytes is a sum of table
 look-ups, so scoring is one gather per byte of filter width.
 
-The net is fitted on the driver from at most SAMPLE labelled rows (those with the smallest hashes of
-their ids) and at most SAMPLE_CHUNKS chunks of each; both bounds are parameters. Scores see the text
-alone. The fit is seeded, so reruns agree.
+The net is fitted on the driver from at most SAMPLE labelled documents (those with the smallest hashes of
+their ids), the bound being a parameter, and from all chunks of each. Scores see the text alone. The fit
+is seeded, so reruns agree.
 
 Defined cases: null text is the empty text, scored as one chunk of padding; null or contradicting
-labels are not learned from; without any label every score is 0.5 and `drop_rejected` rejects nothing; rows that repeat are scored one by
-one; very long texts are worked off in blocks of whole chunks; an empty table gives no rows; other
+labels are not learned from; without any label every score is 0.5 and `drop_rejected` rejects nothing;
+rows that repeat are scored one by one; very long texts are worked off in blocks of whole chunks; an empty table gives no rows; other
 columns are ignored by `score` and kept by `drop_rejected`.
 """
 
@@ -33,7 +33,8 @@ FILTERS = 24
 CHUNK = 512
 STEP = 384
 SAMPLE = 3000
-SAMPLE_CHUNKS = 6
+#: Chunks whose responses the fit holds at once.
+FIT_CHUNKS = 256
 THRESHOLD = 0.7
 PAD = 256
 #: Bytes worked off at once; a multiple of STEP.
@@ -98,8 +99,23 @@ def scores(net: Net, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit(chunks: list[bytes], owner: np.ndarray, label: np.ndarray, epochs: int = 6, batch: int = 64, seed: int = 5) -> Net:
-    """Adam on the log loss; `owner` gives each chunk's document, `label` each document's class."""
+def chunk_rows(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """The symbols of the chunks at `starts`, with what their last filter positions reach into."""
+    padded = np.full(len(data) + CHUNK + 2 * WIDTH, PAD, np.int16)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK + WIDTH - 1)[starts]
+
+
+def strongest(net: Net, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's largest response in each chunk, and where it is."""
+    flat = net.responses(x.ravel())
+    flat = np.concatenate([flat, np.zeros((WIDTH - 1, FILTERS), np.float32)]).reshape(len(x), -1, FILTERS)[:, :CHUNK]
+    where = flat.argmax(axis=1)
+    return np.take_along_axis(flat, where[:, None], axis=1)[:, 0], where
+
+
+def fit(texts: list[bytes], label: np.ndarray, epochs: int = 4, batch: int = 64, seed: int = 5) -> Net:
+    """Adam on the log loss over all chunks of every text, FIT_CHUNKS at a time."""
     rng = np.random.default_rng(seed)
     net = Net(
         rng.normal(0, 0.3, (WIDTH, 257, FILTERS)).astype(np.float32), np.full(FILTERS, -0.5, np.float32), rng.normal(0, 0.1, FILTERS).astype(np.float32), 0.0
@@ -110,37 +126,33 @@ def fit(chunks: list[bytes], owner: np.ndarray, label: np.ndarray, epochs: int =
         return net
     rate = np.clip(label.mean(), 0.02, 0.98)
     bias = np.array([np.log(rate / (1 - rate))], np.float32)
-    data = np.full((len(chunks), CHUNK + WIDTH - 1), PAD, np.int16)
-    for i, c in enumerate(chunks):
-        data[i, : len(c)] = np.frombuffer(c, np.uint8)
-    order = np.argsort(owner, kind="stable")
-    edges = np.searchsorted(owner[order], np.arange(len(label) + 1))
     params = [net.tables, net.shift, net.out, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
     for _ in range(epochs):
         shuffled = rng.permutation(len(label))
         for lo in range(0, len(label), batch):
-            docs = shuffled[lo : lo + batch]
-            picked = np.concatenate([order[edges[d] : edges[d + 1]] for d in docs])
-            seg = np.repeat(np.arange(len(docs)), [edges[d + 1] - edges[d] for d in docs])
-            x = data[picked]
-            flat = net.responses(x.ravel())
-            flat = np.concatenate([flat, np.zeros((WIDTH - 1, FILTERS), np.float32)]).reshape(len(picked), -1, FILTERS)[:, :CHUNK]
-            where = flat.argmax(axis=1)  # (chunks, filters)
-            best = np.take_along_axis(flat, where[:, None], axis=1)[:, 0] + net.shift
-            hidden = np.maximum(best, 0)
-            n = np.bincount(seg, minlength=len(docs)).astype(np.float32)
+            docs = shuffled[lo : lo + batch].tolist()
+            starts = [chunk_starts(len(texts[d])) for d in docs]
+            blocks = [(i, s[k : k + FIT_CHUNKS]) for i, s in enumerate(starts) for k in range(0, len(s), FIT_CHUNKS)]
+            best, seen = [], []  # per block of chunks: responses, and the symbols each filter answered to
+            for i, s in blocks:
+                x = chunk_rows(texts[docs[i]], s)
+                high, where = strongest(net, x)
+                best.append(high + net.shift)
+                seen.append([x[np.arange(len(x))[:, None], where + w] for w in range(WIDTH)])
+            high, seg = np.concatenate(best), np.repeat([i for i, _ in blocks], [len(s) for _, s in blocks])
+            n = np.array([len(s) for s in starts], np.float32)
             mean = np.zeros((len(docs), FILTERS), np.float32)
-            np.add.at(mean, seg, hidden)
+            np.add.at(mean, seg, np.maximum(high, 0))
             mean /= n[:, None]
             p = 1 / (1 + np.exp(-np.clip(mean @ net.out + bias[0], -40, 40)))
             err = ((p - label[docs]) / len(docs)).astype(np.float32)
-            back = (err[seg] / n[seg])[:, None] * net.out * (best > 0)
+            back = (err[seg] / n[seg])[:, None] * net.out * (high > 0)
             tables = np.zeros_like(net.tables)
-            rows, cols = np.nonzero(back)
+            filters = np.broadcast_to(np.arange(FILTERS), back.shape)
             for w in range(WIDTH):
-                np.add.at(tables[w], (x[rows, where[rows, cols] + w], cols), back[rows, cols])
+                np.add.at(tables[w], (np.concatenate([s[w] for s in seen]), filters), back)
             tables[:, PAD] = 0
             grads = [tables, back.sum(axis=0), mean.T @ err + 1e-4 * net.out, np.array([err.sum()], np.float32)]
             step += 1
@@ -156,43 +168,27 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chunks: int = SAMPLE_CHUNKS) -> DataFrame:
-    """At most `rows` labelled documents outside the held-out part: quality and up to `chunks` chunks of each."""
+def sample_labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """At most `rows` labelled documents outside the held-out part: doc_id, quality and the whole text. Of rows that
+    repeat a doc_id, the one whose text has the smallest hash."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max("quality").alias("high"))
         .where(F.col("quality") == F.col("high"))
-        .drop("high")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
+        .select("doc_id", F.col("quality").cast("int").alias("quality"))
     )
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, quality, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "quality", "text")), strict=True):
-                data = (text or "").encode("utf-8", "replace")
-                starts = chunk_starts(len(data))
-                if len(starts) > chunks:
-                    starts = np.random.default_rng(doc_id & 0xFFFFFFFF).choice(starts, chunks, replace=False)
-                out.append((doc_id, quality, [data[s : s + CHUNK + WIDTH - 1] for s in sorted(starts.tolist())]))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.binary())), strict=True)], names=["doc_id", "quality", "chunks"]
-                )
-
+    text = F.coalesce("text", F.lit(""))
     # at most `rows` narrow rows are broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", F.col("quality").cast("int"))), "doc_id").mapInArrow(
-        cut, "doc_id long, quality int, chunks array<binary>"
-    )
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Net:
-    sample = sorted(((r.doc_id, r.quality, [bytes(c) for c in r.chunks]) for r in sample_labelled(docs, labels, rows).collect()), key=lambda r: (r[0], r[2]))
-    chunks = [c for r in sample for c in r[2]]
-    owner = np.array([i for i, r in enumerate(sample) for _ in r[2]], np.int64)
-    net = fit(chunks, owner, np.array([r[1] for r in sample], np.float32))
+    sample = sorted((r.doc_id, r.quality, r.text) for r in sample_labelled(docs, labels, rows).collect())
+    net = fit([t.encode("utf-8", "replace") for _, _, t in sample], np.array([q for _, q, _ in sample], np.float32))
     net.learned = bool(sample)
     return net
 

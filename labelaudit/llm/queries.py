@@ -16,4 +16,4 @@ QUERIES = {
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_token_files": token_files.op10_token_files,
 }
-SQL = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+SQL = {"op2_sharding": sharding.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}

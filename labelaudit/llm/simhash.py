@@ -4,16 +4,18 @@ A text's fingerprint has a bit for each bit of its word shingles' XXH64 digests
 set. Distinct fingerprints are dealt into shards such that any two within the radius meet in at least
 one: the bits are cut into blocks, and two fingerprints that differ in `radius` bits agree on
 `blocks - radius` of them, so each choice of that many blocks is a key. The number of blocks grows with
-the number of fingerprints, which keeps shards small. A shard of more than CHUNK fingerprints is cut into
-chunks, and each pair of chunks meets in a task of its own, so no task holds more than two chunks of a shard.
+the number of fingerprints, which keeps shards small: 5 keys a fingerprint at first, 15 from 2 million and
+35 from a thousand million on. A shard of more than CHUNK fingerprints is cut into chunks, and each pair of
+chunks meets under a key of its own. Tasks read their shards sorted and hold HELD rows of them and one shard.
 
 Each shard is a BK-tree, its children keyed by the integer Hamming distance to their parent; a search
 follows only edges within the radius. All trees of a task are built and searched level by level in
-numpy. A search gives links enough to connect what is connected, at most one for each fingerprint of a
-shard, never all pairs; subtrees already joined to the searching fingerprint are left out.
+numpy. A search gives links enough to connect what is connected, one for each fingerprint of a shard and
+few to any, never all pairs; subtrees already joined to the searching fingerprint are left out.
 
 Links of all shards are joined into components by hooking to the smallest label and jumping, in
-DataFrame steps with checkpoints.
+DataFrame steps with checkpoints. Joins on labels and fingerprints, of which one may be a third of all,
+split such keys over many tasks.
 
 The pipeline's stage links by the Jaccard similarity of the sets of shingles, and the trees only name
 candidates. Shards are dealt by bands of minima: sets similar to s agree on a band of k with chance s**k,
@@ -40,13 +42,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import bounded, durable, fresh, partitions, read
+from labelaudit.llm.common import bounded, durable, fresh, partitions, read, skew_join
 
 SHINGLE = 4
 RADIUS = 4
 CHUNK = 4096
 #: Pairs of a search held at a time.
 FRONTIER = 1 << 20
+#: Rows of whole shards searched at a time.
+HELD = 1 << 16
+#: Links of an item to others of its shard, beside the one to its parent.
+FANOUT = 16
 #: Fingerprints a shard may hold on average before more blocks are used.
 SHARD = 512
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -236,18 +242,47 @@ def cut_hot(keyed: DataFrame, name: str, chunk: int) -> DataFrame:
         return keyed
     mine = F.pmod(F.xxhash64(name), F.col("chunks")).cast("int")
     split = keyed.join(bounded(hot), "key", "left").withColumn("mine", F.when(F.col("chunks").isNotNull(), mine).otherwise(0))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.least(x, F.col("mine")) * 65536 + F.greatest(x, F.col("mine")))
-    split = split.withColumn("pair", F.explode(F.when(F.col("chunks").isNotNull(), pairs).otherwise(F.array(F.lit(-1)))))
-    return split.select(F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), *columns)
-
-
-def by_shard(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """The rows of shards of two rows or more, sorted by shard, and the number of each row's shard."""
-    key = table.column("key").to_numpy()
-    order = np.argsort(key, kind="stable")
-    shard = key_numbers(key[order])
-    order = order[(np.bincount(shard) > 1)[shard]]
-    return table.take(pa.array(order)), key_numbers(key[order])
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.xxhash64("key", F.least(x, F.col("mine")), F.greatest(x, F.col("mine"))))
+    split = split.withColumn("pair", F.explode(F.when(F.col("chunks").isNotNull(), pairs).otherwise(F.array("key"))))
+    return split.select(F.col("pair").alias("key"), *columns)
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], rows: int = HELD) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole shards of two rows or more, some `rows` rows at a time, and the number of each row's shard. The rows
+    come sorted by key, so no more is held than those and one shard."""
+
+    def shards(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        table = pa.Table.from_batches(held)
+        shard = key_numbers(table.column("key").to_numpy())
+        several = np.flatnonzero((np.bincount(shard) > 1)[shard])
+        if len(several):
+            table = table.take(pa.array(several))
+            yield table, key_numbers(table.column("key").to_numpy())
+
+    held, n = [], 0
+    for batch in batches:
+        if n >= rows and batch.num_rows:
+            last = held[-1].column("key")[-1].as_py()
+            same = int(np.searchsorted(batch.column("key").to_numpy() != last, True))
+            held.append(batch.slice(0, same))
+            n, batch = n + same, batch.slice(same)
+            if batch.num_rows:
+                yield from shards(held)
+                held, n = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield from shards(held)
+
+
+def tree_links(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the items of each label in a tree of FANOUT children a node, so no item has many links."""
+    order = np.argsort(label, kind="stable")
+    first = np.searchsorted(label[order], label[order])
+    place = np.arange(len(order)) - first
+    child = np.flatnonzero(place > 0)
+    return order[child], order[first[child] + (place[child] - 1) // FANOUT]
 
 
 def link(fps: DataFrame, masks: list[int], radius: int, chunk: int = CHUNK) -> DataFrame:
@@ -277,20 +312,13 @@ def link(fps: DataFrame, masks: list[int], radius: int, chunk: int = CHUNK) -> D
     keyed = cut_hot(keyed, "fp", chunk)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table, shard = by_shard(pa.Table.from_batches(held))
-        if not len(shard):
-            return
-        names = table.column("fp").to_pylist()
-        label = Forest(parsed(names), shard).links(radius)
-        linked = np.flatnonzero(label != np.arange(len(label)))
-        for lo in range(0, len(linked), 20_000):
-            part = linked[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in part]), pa.array([names[i] for i in label[part]])], names=["fp", "other"])
-
-    return keyed.repartition(n_parts, "key").mapInArrow(search, "fp string, other string").distinct()
+        for table, shard in by_shard(batches):
+            name = table.column("fp").combine_chunks()
+            a, b = tree_links(Forest(parsed(name.to_pylist()), shard).links(radius))
+            for lo in range(0, len(a), 20_000):
+                yield pa.RecordBatch.from_arrays([name.take(pa.array(x[lo : lo + 20_000])) for x in (a, b)], names=["fp", "other"])
+
+    return keyed.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(search, "fp string, other string").distinct()
 
 
 def key_numbers(key: np.ndarray) -> np.ndarray:
@@ -304,11 +332,12 @@ def connect(links: DataFrame) -> DataFrame:
     links = durable(links)
     both = durable(links.select(F.col("fp").alias("a"), F.col("other").alias("b")).unionByName(links.select(F.col("other").alias("a"), F.col("fp").alias("b"))))
     label = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
+    degree = durable(both.groupBy("b").agg(F.count("*").alias("n")))
     while True:
-        heard = both.join(label.select(F.col("fp").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("heard"))
-        hooked = label.join(heard, label["fp"] == heard["a"]).select("fp", F.least("root", "heard").alias("new"), F.col("root").alias("old"))
-        up = hooked.select(F.col("fp").alias("new"), F.col("new").alias("upper"))
-        jumped = durable(hooked.join(up, "new").select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
+        heard = skew_join(both, label.select(F.col("fp").alias("b"), "root").join(degree, "b"), "b", ["a"]).groupBy("a").agg(F.min("root").alias("heard"))
+        hooked = durable(label.join(heard, label["fp"] == heard["a"]).select("fp", F.least("root", "heard").alias("new"), F.col("root").alias("old")))
+        up = hooked.select(F.col("fp").alias("new"), F.col("new").alias("upper")).join(hooked.groupBy("new").agg(F.count("*").alias("n")), "new")
+        jumped = durable(skew_join(hooked, up, "new", ["fp"]).select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
         label = jumped.select("fp", "root")
         if not jumped.where("moved").limit(1).count():
             return label
@@ -318,16 +347,17 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int
     """doc_id, tag, fp, first: each row and the row (`none`, doc_id, tag) that stands for its component."""
     rows = durable(fingerprints(docs, shingle, bits))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    distinct = durable(rows.groupBy("fp").agg(F.min(row).alias("first")))
+    distinct = durable(rows.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")))
     n = distinct.count()
     return named(rows, distinct, connect(link(distinct, exact_masks(n, radius, bits), radius)))
 
 
 def named(rows: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """`rows` with the row that stands for the component of each fp."""
-    known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = known.groupBy("root").agg(F.min("first").alias("smallest"))
-    return rows.join(known.join(smallest, "root").select("fp", F.col("smallest").alias("first")), "fp")
+    """`rows` with the row that stands for the component of each fp; `distinct` has first and n of each."""
+    known = durable(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    smallest = known.groupBy("root").agg(F.min("first").alias("smallest"), F.count("*").alias("members"))
+    stands = skew_join(known, smallest, "root", ["fp"], "members").select("fp", F.col("smallest").alias("first"), "n")
+    return skew_join(rows, stands, "fp", ["doc_id", "tag"])
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS) -> DataFrame:
@@ -381,27 +411,22 @@ def candidates(nodes: DataFrame, radius: int, every: bool, chunk: int = CHUNK) -
     keyed = cut_hot(nodes.select(F.explode("keys").alias("key"), "fp", "print", "root"), "fp", chunk)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table, shard = by_shard(pa.Table.from_batches(held))
-        if not len(shard):
-            return
-        name = table.column("fp").combine_chunks()
-        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(len(shard), -1)
-        forest = Forest(prints, shard)
-        if every:
-            found = forest.apart(radius, table.column("root").combine_chunks().dictionary_encode().indices.to_numpy())
-        else:
-            partner = np.full(len(shard), -1)
-            forest.links(radius, partner)
-            has = np.flatnonzero(partner >= 0)
-            found = [(has, partner[has])]
-        for a, b in found:
-            for lo in range(0, len(a), 20_000):
-                yield pa.RecordBatch.from_arrays([name.take(pa.array(x[lo : lo + 20_000])) for x in (a, b)], names=["fp", "other"])
-
-    pairs = keyed.repartition(partitions(nodes.sparkSession), "key").mapInArrow(search, "fp binary, other binary")
+        for table, shard in by_shard(batches):
+            name = table.column("fp").combine_chunks()
+            prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(len(shard), -1)
+            forest = Forest(prints, shard)
+            if every:
+                found = forest.apart(radius, table.column("root").combine_chunks().dictionary_encode().indices.to_numpy())
+            else:
+                partner = np.full(len(shard), -1)
+                forest.links(radius, partner)
+                has = np.flatnonzero(partner >= 0)
+                found = [(has, partner[has])]
+            for a, b in found:
+                for lo in range(0, len(a), 20_000):
+                    yield pa.RecordBatch.from_arrays([name.take(pa.array(x[lo : lo + 20_000])) for x in (a, b)], names=["fp", "other"])
+
+    pairs = keyed.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(search, "fp binary, other binary")
     return pairs.where(F.col("fp") != F.col("other")).select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
 
 
@@ -420,7 +445,9 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -
     rows = bounded(durable(rows))
     wanted = texts.join(rows, texts["doc_id"].eqNullSafe(rows["doc"]) & (texts["own"] == rows["tag"]), "left_semi")
     sets = durable(wanted.select("text").mapInArrow(run, "fp binary, h array<long>").dropDuplicates(["fp"]))
-    both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("other"), F.col("h").alias("h2")), "other")
+    sized = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
+    left = skew_join(pairs, sets.join(sized("fp"), "fp"), "fp", ["other"])
+    both = skew_join(left, sets.select(F.col("fp").alias("other"), F.col("h").alias("h2")).join(sized("other"), "other"), "other", ["fp"])
     common = F.size(F.array_intersect("h", "h2"))
     union = F.size("h") + F.size("h2") - common
     return durable(both.where(common * SIMILAR[1] >= union * SIMILAR[0]).select("fp", "other"))
@@ -430,12 +457,12 @@ def similar_classes(docs: DataFrame, shingle: int, bits: int, radius: int, band:
     """doc_id, tag, fp, first, as in `classes`, linked by the similarity of sets."""
     sketched = durable(sketches(docs, shingle, bits, band, tables))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    nodes = durable(sketched.groupBy("fp").agg(F.min(row).alias("first"), F.first("print").alias("print"), F.first("keys").alias("keys")))
+    nodes = durable(sketched.groupBy("fp").agg(F.min(row).alias("first"), F.first("print").alias("print"), F.first("keys").alias("keys"), F.count("*").alias("n")))
     some = candidates(nodes.withColumn("root", F.col("fp")), radius, False, chunk).groupBy("fp").agg(F.slice(F.collect_set("other"), 1, FIRST).alias("others"))
     links = checked(durable(some.select("fp", F.explode("others").alias("other"))), docs, nodes, shingle)
     rooted = durable(nodes.join(connect(links), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     rest = checked(durable(candidates(rooted, radius, True, chunk)), docs, nodes, shingle)
-    return named(sketched.select("doc_id", "tag", "fp"), nodes.select("fp", "first"), connect(links.unionByName(rest)))
+    return named(sketched.select("doc_id", "tag", "fp"), nodes.select("fp", "first", "n"), connect(links.unionByName(rest)))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:

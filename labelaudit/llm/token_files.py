@@ -4,9 +4,10 @@ Each id takes ceil(log2(vocabulary)) bits. A file holds a header, the documents'
 the byte offset of every block of ids, and the packed blocks, each padded to a whole byte; so any run
 of ids is found by its block and unpacked with numpy without reading what is before it.
 
-Documents are range-partitioned and sorted by doc_id; every task writes its run as files of at most
+Documents are range-partitioned and sorted by doc_id and their text's hash; every task writes its run as files of at most
 FILE_IDS ids (a document is never cut) into the shared folder under names of its own attempt. Only the
-manifest that the job commits names files, so an attempt that was lost or ran twice leaves no trace.
+manifest that the job commits names files, so what an attempt that was lost or ran twice left behind is
+never read.
 
 Defined cases: null text is the empty text, a document of just the end id; null doc_id comes first and
 is read back as null; rows that repeat a doc_id are kept one by one, ordered by their text's hash;
@@ -109,6 +110,17 @@ class TokenFile:
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def documents(self, at_once: int = 1 << 18) -> Iterator[np.ndarray]:
+        """The ids of every document in turn; each block is read and unpacked once, some `at_once` ids at a time."""
+        k = 0
+        while k < self.n_docs:
+            start = int(self.starts[k])
+            stop = max(k + 1, int(np.searchsorted(self.starts, start + at_once, side="right")) - 1)
+            ids = self.ids(start, int(self.starts[stop]))
+            for j in range(k, stop):
+                yield ids[int(self.starts[j]) - start : int(self.starts[j + 1]) - start]
+            k = stop
+
 
 def _save(folder: str, name: str, data: bytes) -> str:
     system, base = fs.FileSystem.from_uri(folder)
@@ -152,7 +164,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             yield flush()
 
     ordered = (
-        docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+        docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     )
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -181,8 +193,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 with system.open_input_file(place) as source:
                     file = TokenFile(source)
                     rows = []
-                    for k, doc_id in enumerate(file.doc_ids):
-                        ids = file.document(k)
+                    for k, (doc_id, ids) in enumerate(zip(file.doc_ids, file.documents(), strict=True)):
                         row = {"doc_id": doc_id, "start": base + int(file.starts[k]), "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}
                         rows.append(row | ({"ids": ids.astype(np.int64)} if with_ids else {}))
                         if len(rows) >= (500 if with_ids else 10_000):

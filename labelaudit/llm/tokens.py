@@ -18,7 +18,7 @@ REMEMBERED = 800_000
 DEFAULT = "byte_bpe_50k.json"
 BYTE_LEVEL = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
 
-#: A text that holds one of these, or white space beside white space, goes to the tokenizer whole.
+#: A text that holds one of these, an added token or white space beside white space goes to the tokenizer whole.
 ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]")
 #: Pieces joined into one text for the tokenizer.
 JOINED = 256
@@ -30,13 +30,12 @@ def vocabulary_path(name: str = DEFAULT) -> str:
 
 @cache
 def load(path: str):
-    """The tokenizer at `path`, once per process; strings of special tokens in a text are ordinary text."""
+    """The tokenizer at `path`, once per process, with the library's defaults: the string of an added token
+    in a text is that token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class _Codes(dict):
@@ -57,7 +56,9 @@ class Pieces:
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
-        plain = tokenizer.normalizer is None and repr(tokenizer.pre_tokenizer) == BYTE_LEVEL
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        plain = tokenizer.normalizer is None and repr(tokenizer.pre_tokenizer) == BYTE_LEVEL and not any(re.search(r"\s", a) for a in added)
         newline = tokenizer.encode("\n", add_special_tokens=False).ids if plain else []
         self.newline = newline[0] if len(newline) == 1 else None
         self.forget()
@@ -80,6 +81,7 @@ class Pieces:
             or " \n" in text
             or "\n " in text
             or ODD.search(text)
+            or self.added.search(text)
         )
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
