@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 `documents`. A stage's result is written as Parquet in the shared folder and read again, so a lost
-executor costs at most its own part of one stage.
+executor costs at most its own part of one stage; the result before it goes then.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from labelaudit.llm import exact_dedup, mixing, packing, quality, simhash
-from labelaudit.llm.common import new_folder, read
+from labelaudit.llm.common import new_folder, read, remove_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
