@@ -107,9 +107,9 @@ d AS (
 ), k AS (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY h, doc_id NULLS FIRST, text_crc32, size) AS rank, count(*) OVER (PARTITION BY src) AS n FROM h
 ), a AS (
-  SELECT *, row_number() OVER (ORDER BY (rank - 0.5::DOUBLE) / n, src, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS at, count(*) OVER () AS total FROM k
+  SELECT *, row_number() OVER (ORDER BY (rank - 0.5::DOUBLE) / n, src, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos, count(*) OVER () AS total FROM k
 )
-SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, ((at * 8) // total)::INTEGER AS shard,
-       (at - (((at * 8) // total) * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, ((pos * 8) // total)::INTEGER AS shard,
+       (pos - (((pos * 8) // total) * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM a
 """

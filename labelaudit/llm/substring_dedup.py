@@ -5,7 +5,7 @@ bytes and no further. A suffix is never alone: neighbours travel together as run
 
 Dealing digit: of the grams inside a suffix's first `length` bytes, the one with the least hash. It is a
 function of those bytes alone, so equal suffixes always meet; neighbouring suffixes share it, so a run of
-some 16 travels as one entry, with the bytes its suffixes need. Entries of one bucket of this digit travel
+some 20 travels as one entry, with the bytes its suffixes need. Entries of one bucket of this digit travel
 together, compressed, and a task works off its partition bucket by bucket.
 
 Most-significant-digit passes: equal runs are combined first (bytes are compared); then, within each
@@ -38,17 +38,17 @@ from pyspark.sql import functions as F
 from labelaudit.llm.common import new_folder, partitions, read
 
 LENGTH = 50
-GRAM = 14
+GRAM = 12
 #: Entries a task combines before it sends them.
-FLUSH = 500_000
+FLUSH = 300_000
 #: Bytes of text whose entries share a bucket, on average.
 BUCKET = 4_000_000
 #: Different runs of one digit that are ordered in one place.
 HOT = 32_768
 #: Entries of a bucket held at a time.
-HOLD = 500_000
+HOLD = 400_000
 #: Suffixes ordered at a time, in whole digits.
-SORTED = 1_000_000
+SORTED = 500_000
 #: Bytes of a radix digit.
 DIGIT = 8
 LAST = np.iinfo(np.int64).max
@@ -162,7 +162,7 @@ def taken(e: Entries, where: np.ndarray) -> Entries:
 def dumped(e: Entries) -> bytes:
     head = np.array([len(e["key"]), len(e["place"]), e["rows"].shape[1]], "<i8").tobytes()
     body = b"".join(e[c].astype(t, copy=False).tobytes() for c, t in _TYPES.items())
-    return len(body).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(head + body, asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(head + body, asbytes=True)
 
 
 def loaded(data: bytes) -> Entries:
