@@ -1,4 +1,5 @@
-"""The same extraction in DuckDB SQL, for the oracle. RE2 has no look-around; the patterns need none."""
+"""The same extraction in DuckDB SQL, for the oracle. RE2 has no look-ahead: what a pattern looks ahead for is
+always at its end, so a plain group there leaves the first match and its groups as they are."""
 
 from __future__ import annotations
 
@@ -10,7 +11,13 @@ def q(s: str) -> str:
 
 
 def cap(x: str, pattern: str, group: int = 1, flags: str = "i") -> str:
-    return f"nullif(regexp_extract({x}, {q(f'(?{flags})' + pattern)}, {group}), '')"
+    return f"nullif(regexp_extract({x}, {q(f'(?{flags})' + pattern.replace('(?=', '(?:'))}, {group}), '')"
+
+
+def whole(x: str, pattern: str, flags: str = "i") -> str:
+    """The whole match, without what is looked ahead for."""
+    body, _, end = pattern.partition("(?=")
+    return cap(x, f"({body})(?={end}", 1, flags) if end else cap(x, pattern, 0, flags)
 
 
 def first(x: str, patterns, group: int = 1, flags: str = "i") -> str:
@@ -65,6 +72,33 @@ def months(x: str) -> str:
     return f"try_cast(list_filter(list_transform({lines}, lambda s: {cap('s', P.SERVICE_SPAN)}), lambda m: m IS NOT NULL)[-1] AS INTEGER)"
 
 
+def ocr_date(line: str) -> str:
+    """ISO form of the first of the four layouts that parses."""
+    raw = [squeeze(cap(line, p, 0)) for p in P.OCR_DATES]
+    flat = f"regexp_replace({raw[0]}, '[-.]', '/', 'g')"
+    year = f"regexp_extract({flat}, '([0-9]+)$', 1)"
+    full = f"CASE length({year}) WHEN 4 THEN {flat} WHEN 2 THEN regexp_extract({flat}, '^(.*/)[0-9]+$', 1) || CASE WHEN {year}::INT < 69 THEN '20' ELSE '19' END || {year} END"
+    same = " OR ".join(f"regexp_matches({raw[0]}, '^[0-9]+{s}[0-9]+{s}[0-9]+$')" for s in ("/", "-", "[.]"))
+    tries = [
+        f"CASE WHEN {same} THEN try_strptime({full}, '%d/%m/%Y') END",
+        f"try_strptime({raw[1]}, ['%d %b %Y', '%d %B %Y'])",
+        f"try_strptime({raw[2]}, ['%b %Y', '%B %Y'])",
+        f"try_strptime(replace({raw[3]}, '-', '/'), '%Y/%m/%d')",
+    ]
+    return "coalesce(" + ", ".join(f"strftime({t}, '%Y-%m-%d')" for t in tries) + ")"
+
+
+def last_date(x: str, words: str) -> str:
+    lines = f"list_filter(string_split({x}, chr(10)), lambda s: regexp_matches(s, {q('(?i)' + words)}))"
+    return f"list_filter(list_transform({lines}, lambda s: {ocr_date('s')}), lambda d: d IS NOT NULL)[-1]"
+
+
+def graded(x: str, patterns, good) -> str:
+    """0.9, 0.7 or 0.5 for the confidence of the first pattern whose value is good."""
+    level = {"high": 0.9, "medium": 0.7}
+    return "CASE " + " ".join(f"WHEN {good(cap(x, p))} THEN {level.get(c, 0.5)}" for p, c in patterns) + " END"
+
+
 def batch(x: str) -> str:
     m = cap(x, P.SERVICE_BATCH)
     return f"CASE WHEN length({m}) >= 4 THEN {m} END"

@@ -18,7 +18,7 @@ from labelaudit.functions.text import strip
 def capture(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
     """The group of the first match, null where there is none or it is empty."""
     found = F.regexp_extract(text, f"(?{flags}){pattern}", group)
-    return F.when(found != "", found)
+    return F.get(F.filter(F.array(found), lambda x: x != ""), F.lit(0))  # the pattern runs once
 
 
 def first(text: Column, patterns: Iterable[str], group: int = 1, flags: str = "i") -> Column:

@@ -27,8 +27,8 @@ SERVICE_WEIGHT = (
 SERVICE_BATCH = r"(?:Batch|Lot|B\.?\s*No\.?|L\.?\s*No\.?)\s*[:.]?\s*([A-Z0-9\-/]+)"
 SERVICE_COUNTRY = r"(?:Country\s*of\s*Origin|Made\s*in|Product\s*of)\s*[:.]?\s*([A-Za-z\s]+)"
 SERVICE_ADDRESS = (
-    r"(?:Mfg\.?\s*(?:by|at)|Manufactured\s*(?:by|at)|Marketed\s*by|Packed\s*(?:by|at)|Importer)\s*[:.]?\s*(.+?)(?:\.|MRP|Batch|Net|\z)",
-    r"(?:Address|Regd\.?\s*Office)\s*[:.]?\s*(.+?)(?:\.|MRP|Net|\z)",
+    r"(?:Mfg\.?\s*(?:by|at)|Manufactured\s*(?:by|at)|Marketed\s*by|Packed\s*(?:by|at)|Importer)\s*[:.]?\s*(.+?)(?=\.|MRP|Batch|Net|\z)",
+    r"(?:Address|Regd\.?\s*Office)\s*[:.]?\s*(.+?)(?=\.|MRP|Net|\z)",
 )
 SERVICE_PHONE = (
     r"(?:Customer\s*Care|Helpline|Toll\s*Free)\s*[:.]?\s*([0-9\-\s]{10,})",
@@ -71,8 +71,8 @@ LABEL = {
     )),
     "batch": (False, (r"(?:Batch|Lot|B\.?\s*No\.?|L\.?\s*No\.?)\s*[:.]?\s*([A-Z0-9\-/]{4,20})",)),
     "country": (True, (
-        r"(?:Country\s*of\s*Origin|Made\s*in|Product\s*of)\s*[:.]?\s*([A-Za-z\s]+?)(?:\.|,|MRP|Net|\z)",
-        r"(?:MADE|PRODUCT)\s*(?:IN|OF)\s+([A-Z][A-Za-z\s]+?)(?:\.|,|\z)",
+        r"(?:Country\s*of\s*Origin|Made\s*in|Product\s*of)\s*[:.]?\s*([A-Za-z\s]+?)(?=\.|,|MRP|Net|\z)",
+        r"(?:MADE|PRODUCT)\s*(?:IN|OF)\s+([A-Z][A-Za-z\s]+?)(?=\.|,|\z)",
     )),
     "customer_care": (False, (
         r"(?:Customer\s*Care|Consumer\s*(?:Helpline|Care)|Toll\s*Free)\s*[:.]?\s*([0-9\-\s]{10,})",
@@ -82,7 +82,7 @@ LABEL = {
         r"(?:Contains?|May\s*Contain)\s*[:.]?\s*([A-Za-z,\s&]+)",
         r"(?:ALLERGEN|WARNING)\s*[:.]?\s*(?:Contains?)?\s*([A-Za-z,\s&]+)",
     )),
-    "ingredients": (False, (r"(?:Ingredients?)\s*[:.]?\s*(.+?)(?:\.|Nutritional|Net|MRP|\z)",)),
+    "ingredients": (False, (r"(?:Ingredients?)\s*[:.]?\s*(.+?)(?=\.|Nutritional|Net|MRP|\z)",)),
     "nutrition": (False, (
         r"(?:Energy|Calories)\s*[:.]?\s*(\d+(?:\.\d+)?)\s*(?:kcal|kJ)",
         r"(?:Protein|Carbohydrate|Fat)\s*[:.]?\s*(\d+(?:\.\d+)?)\s*g",

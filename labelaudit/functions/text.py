@@ -105,7 +105,7 @@ def squeeze_lines(x: Column) -> Column:
 def strip_markup(x: Column) -> Column:
     """Display clean-up: drop {...} blocks, blank lines and lines that begin with key: or key=."""
     lines = F.split(F.regexp_replace(x, r"\{[^}]*\}", ""), "\n")
-    return F.array_join(F.filter(F.transform(lines, F.trim), lambda s: (s != "") & ~s.rlike(r"^\w+\s*[:=]")), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^\w+\s*[:=]")), "\n")
 
 
 # --- the same in DuckDB, for the oracle -------------------------------------------------------

@@ -156,9 +156,13 @@ def category_stats(audits: DataFrame, risk: str = "legacy_risk", score: str = "c
     )
 
 
+# The risk buckets of the legacy analytics.
+RISKS = ("Compliant", "Moderate Risk", "High Risk")
+
+
 def fixed_risk_distribution(audits: DataFrame, risk: str = "legacy_risk") -> DataFrame:
     """Three buckets, also when empty; unknown labels are left out, missing ones are high."""
-    names = audits.sparkSession.createDataFrame([("Compliant",), ("Moderate Risk",), ("High Risk",)], "risk string")
+    names = audits.sparkSession.createDataFrame([(r,) for r in RISKS], "risk string")
     counts = audits.groupBy(F.coalesce(F.col(risk), F.lit("High Risk")).alias("risk")).agg(F.count("*").alias("n"))
     return names.join(counts, "risk", "left").select("risk", F.coalesce("n", F.lit(0)).alias("count"))
 
@@ -169,9 +173,26 @@ def legacy_stats(audits: DataFrame, k: int = 5) -> DataFrame:
     return top_violations(audits, k, key)
 
 
+def violation_key(v: Column | None = None) -> Column:
+    """rule: message of a violation, given as a struct or as columns."""
+    of = lambda c: v[c] if v is not None else F.col(c)
+    return F.concat(F.coalesce(of("rule_id"), F.lit("unknown")), F.lit(": "), F.coalesce(of("message"), of("rule_name"), F.lit("Unknown")))
+
+
 def violation_trends(audits: DataFrame, k: int = 10) -> DataFrame:
-    key = F.concat(F.coalesce("rule_id", F.lit("unknown")), F.lit(": "), F.coalesce("message", "rule_name", F.lit("Unknown")))
-    return top_violations(audits, k, key)
+    return top_violations(audits, k, violation_key())
+
+
+def analytics_summary(audits: DataFrame, k: int = 10, risk: str = "legacy_risk") -> DataFrame:
+    """block, item, count: the three risk buckets, the categories and the k most frequent violations, from one
+    aggregation over all of them."""
+    pair = lambda block, item: F.struct(F.lit(block).alias("block"), item.alias("item"))
+    fixed = F.array(pair("risk", F.coalesce(risk, F.lit("High Risk"))), pair("category", F.coalesce("category", F.lit("unknown"))))
+    counted = audits.select(F.inline(F.concat(fixed, F.transform("violations", lambda v: pair("violation", violation_key(v)))))).groupBy("block", "item").agg(F.count("*").alias("count"))
+    empty = audits.sparkSession.createDataFrame([("risk", r, 0) for r in RISKS], "block string, item string, count long")
+    whole = counted.unionByName(empty).groupBy("block", "item").agg(F.sum("count").alias("count")).where((F.col("block") != "risk") | F.col("item").isin(*RISKS))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("count"), "item"))  # a row for each item of a block
+    return whole.withColumn("rn", rank).where((F.col("block") != "violation") | (F.col("rn") <= k)).drop("rn")
 
 
 def shares(counts: DataFrame) -> DataFrame:

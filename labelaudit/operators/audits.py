@@ -13,24 +13,24 @@ from labelaudit.operators import scoring as S
 FIELDS = ("fssai", "mrp", "expiry_date", "manufacturing_date", "net_weight", "batch", "country")
 
 
-def rule_fields(e: Column) -> dict[str, Column]:
-    """The seven fields the rules read."""
+def rule_fields(text: Column, lenient: bool = False) -> dict[str, Column]:
+    """The seven fields the rules read; nothing else is extracted for them."""
+    dates = E.dates(text, lenient)
     return {
-        "fssai": e["fssai"]["value"],
-        "mrp": e["price"]["value"],
-        "expiry_date": e["dates"]["expiry_date"]["parsed"],
-        "manufacturing_date": e["dates"]["manufacturing_date"]["parsed"],
-        "net_weight": e["weight"]["value"],
-        "batch": e["batch"],
-        "country": e["country"],
+        "fssai": E.fssai(text)["value"],
+        "mrp": E.price(text)["value"],
+        "expiry_date": dates["expiry_date"]["parsed"],
+        "manufacturing_date": dates["manufacturing_date"]["parsed"],
+        "net_weight": E.weight(text)["value"],
+        "batch": E.batch(text),
+        "country": E.country(text),
     }
 
 
 def with_fields(listings: DataFrame, compose: bool = False, lenient: bool = False) -> DataFrame:
     """The listings with the rule fields; `compose` for text that is not plain ASCII."""
     text = once(listings, norm=X.normalise(F.col("label_text"), compose))
-    found = once(text, entities=E.entities(F.col("norm"), lenient))
-    return once(found, **rule_fields(F.col("entities"))).drop("norm", "entities")
+    return once(text, **rule_fields(F.col("norm"), lenient)).drop("norm")
 
 
 def once(frame: DataFrame, **columns: Column) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Upsert as a fold: the last row of each key replaces those before it."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("__rn", rank).where(F.col("__rn") == 1).drop("__rn")
+def latest(rows: DataFrame, key: str, order: str, first: bool = False) -> DataFrame:
+    """Upsert as a fold: the last row of each key, or the first, combined inside each task before it moves."""
+    pick = F.min_by if first else F.max_by
+    return rows.groupBy(F.col(key).alias("__key")).agg(pick(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
 
 
 def normal_url(url: Column) -> Column:
@@ -19,7 +21,7 @@ def normal_url(url: Column) -> Column:
 
 def first_seen(jobs: DataFrame, url: str = "url", order: str = "job_id") -> DataFrame:
     """Each address once, by its first row; later ones were seen before."""
-    return latest(jobs.withColumn(url, normal_url(F.col(url))), url, [F.col(order)])
+    return latest(jobs.withColumn(url, normal_url(F.col(url))), url, order, first=True)
 
 
 def unseen(jobs: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
@@ -50,20 +52,22 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
 
 def anchored_limit(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
     """key, seq, ts -> allowed. A key's window opens at its first hit and closes after `seconds`; the first
-    hit after that opens the next. A key is one client, so a group is that client's hits; a stream of them
-    is better served by `streaming.live.rate_limited`, which keeps two numbers per key."""
+    hit after that opens the next. Hits are sorted by key and time inside each partition and folded batch by
+    batch; from one to the next only the key, the opening and the count are kept."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "seq"])
-        opened, used, allowed = None, 0, []
-        for ts in frame["ts"]:
-            if opened is None or (ts - opened).total_seconds() >= seconds:
-                opened, used = ts, 0
-            used += 1
-            allowed.append(used <= limit)
-        return frame.assign(allowed=allowed)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, opened, used = None, 0, 0
+        for frame in frames:
+            allowed = []
+            for key, ts in zip(frame["key"].tolist(), frame["ts"].astype("datetime64[us]").astype("int64").tolist(), strict=True):
+                if key != at or ts - opened >= seconds * 1_000_000:
+                    at, opened, used = key, ts, 0
+                used += 1
+                allowed.append(used <= limit)
+            yield frame.assign(allowed=allowed)
 
-    return hits.groupBy("key").applyInPandas(fold, "key long, seq long, ts timestamp_ntz, allowed boolean")
+    dealt = hits.select("key", "seq", "ts").repartition("key").sortWithinPartitions("key", "ts", "seq")
+    return dealt.mapInPandas(fold, "key long, seq long, ts timestamp_ntz, allowed boolean")
 
 
 def keyword_quota(found: DataFrame, keywords: int, most: int) -> DataFrame:
@@ -71,4 +75,4 @@ def keyword_quota(found: DataFrame, keywords: int, most: int) -> DataFrame:
     quota = max(2, most // keywords)
     rank = F.row_number().over(Window.partitionBy("keyword").orderBy("seq"))
     kept = found.withColumn("rn", rank).where(F.col("rn") <= quota).drop("rn")
-    return latest(kept, "url", [F.col("seq")]).orderBy("seq").limit(most)
+    return latest(kept, "url", "seq", first=True).orderBy("seq").limit(most)

@@ -71,5 +71,9 @@ def vector_top(rows: DataFrame, query: list[float], k: int = 3, vector: str = "e
 
 
 def index_key(corpus: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A digest that changes with any text: an index made for another one is out of date."""
-    return corpus.agg(F.md5(F.concat_ws(",", F.count("*").cast("string"), F.sum(F.crc32(F.encode(text, "UTF-8"))).cast("string"), F.bit_xor(F.xxhash64(key, text)).cast("string"))).alias("digest"))
+    """A digest that changes with any text: an index made for another one is out of date. Sums are decimals, and
+    the rest is combined by XOR, so it holds at any number of rows and in any order."""
+    part = lambda x, digits: F.conv(F.substring(F.md5(x), 1, digits), 16, 10)
+    total = F.sum(part(F.col(text), 8).cast("decimal(20,0)")).cast("string")
+    marks = F.bit_xor(part(F.concat_ws(":", F.col(key).cast("string"), F.col(text)), 15).cast("long")).cast("string")
+    return corpus.agg(F.md5(F.concat_ws(",", F.count("*").cast("string"), total, marks)).alias("digest"))

@@ -208,6 +208,14 @@ def applies(rule: Rule, category: Column, wildcard_all: bool = False) -> Column:
     return _false(category.isin(rule.category, *rule.applicable_to))
 
 
+def any_applies(rules: tuple[Rule, ...], category: Column, wildcard_all: bool = False) -> Column:
+    """Whether some rule applies to a row; where none does, there can be no violation."""
+    hit = F.lit(False)
+    for r in rules:
+        hit = hit | applies(r, category, wildcard_all)
+    return hit
+
+
 def execute_all(rules: tuple[Rule, ...], category: Column, now: Column, columns: Mapping[str, Column] | None = None, wildcard_all: bool = False) -> Column:
     """Results of the rules that apply to a row, as an array; the rules are compiled, not joined."""
     return F.array_compact(F.array(*[F.when(applies(r, category, wildcard_all), execute(r, now, columns)) for r in rules]))

@@ -9,7 +9,7 @@ from labelaudit.operators import audits as A
 from labelaudit.operators import rules as R
 from labelaudit.operators import scoring as S
 from labelaudit.plans.registry import query
-from labelaudit.plans.views import AUDITS, FIELDS, LISTINGS, NOW, audits, fields
+from labelaudit.plans.views import AUDITS, FIELDS, LISTINGS, NOW, audits, fields, violating
 from labelaudit.sources.tables import AS_OF, listings
 
 CALENDAR = f"SELECT unnest(generate_series(({NOW})::DATE - INTERVAL 6 DAY, ({NOW})::DATE, INTERVAL 1 DAY))::DATE AS day"
@@ -43,7 +43,7 @@ def _(spark, d):
 
 @query("ce_violations", AUDITS + " SELECT audit_id, rule_id, rule_name, severity, message FROM v")
 def _(spark, d):
-    return N.exploded(audits(spark, d)).select("audit_id", "rule_id", "rule_name", "severity", "message")
+    return N.exploded(violating(spark, d)).select("audit_id", "rule_id", "rule_name", "severity", "message")
 
 
 _ADVICE_SQL = ", ".join(f"CASE WHEN {f} IS NULL THEN '{t.replace(chr(39), chr(39) * 2)}' END" for f, t in S.ADVICE)
@@ -96,17 +96,17 @@ _TOP = " SELECT {key} AS violation, count(*) AS count FROM v GROUP BY 1 ORDER BY
 
 @query("agg_top_violations", AUDITS + _TOP.format(key="rule_name", k=10))
 def _(spark, d):
-    return N.top_violations(audits(spark, d), 10)
+    return N.top_violations(violating(spark, d), 10)
 
 
 @query("agg_legacy_stats", AUDITS + _TOP.format(key="message", k=5))
 def _(spark, d):
-    return N.legacy_stats(audits(spark, d), 5)
+    return N.legacy_stats(violating(spark, d), 5)
 
 
 @query("agg_violation_trends", AUDITS + _TOP.format(key="rule_id || ': ' || message", k=10))
 def _(spark, d):
-    return N.violation_trends(audits(spark, d), 10)
+    return N.violation_trends(violating(spark, d), 10)
 
 
 @query(
@@ -127,7 +127,7 @@ def _(spark, d):
      FROM (SELECT *, row_number() OVER (PARTITION BY rule_name ORDER BY audit_id, message) AS rn FROM v) GROUP BY rule_name""",
 )
 def _(spark, d):
-    return N.violation_report(audits(spark, d))
+    return N.violation_report(violating(spark, d))
 
 
 @query(
@@ -203,13 +203,7 @@ def _(spark, d):
      UNION ALL SELECT 'violation', rule_id || ': ' || message, count(*) FROM v GROUP BY 2""",
 )
 def _(spark, d):
-    a = audits(spark, d)
-    blocks = (
-        N.fixed_risk_distribution(a).select(F.lit("risk").alias("block"), F.col("risk").alias("item"), "count"),
-        N.distribution(a, "category").select(F.lit("category").alias("block"), F.col("category").alias("item"), "count"),
-        N.violation_trends(a, 10).select(F.lit("violation").alias("block"), F.col("violation").alias("item"), "count"),
-    )
-    return blocks[0].unionByName(blocks[1]).unionByName(blocks[2])
+    return N.analytics_summary(audits(spark, d), 10)
 
 
 @query(

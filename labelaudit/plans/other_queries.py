@@ -21,7 +21,7 @@ _W = "WITH " + JOBS
 
 @query("q_enqueue", _W + " SELECT url, job_id, status FROM jobs QUALIFY row_number() OVER (PARTITION BY url ORDER BY job_id DESC) = 1")
 def _(spark, d):
-    return Q.latest(jobs(spark, d), "url", [F.desc("job_id")]).select("url", "job_id", "status")
+    return Q.latest(jobs(spark, d), "url", "job_id").select("url", "job_id", "status")
 
 
 @query("agg_queue_stats", _W + " SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("pending", "processing", "completed", "failed")) + ", count(*) AS total FROM jobs")
@@ -57,7 +57,16 @@ def _(spark, d):
     return Q.unseen(j.where("priority = 10"), j.where("priority = 1 AND status = 'failed'")).select("url").distinct()
 
 
-@query("q_rate_limit")
+@query(
+    "q_rate_limit",
+    """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w(key, n, opened, used) AS (
+      SELECT key, n, ts, 1 FROM e WHERE n = 1
+      UNION ALL
+      SELECT e.key, e.n, CASE WHEN e.ts >= w.opened + INTERVAL 3600 SECOND THEN e.ts ELSE w.opened END, CASE WHEN e.ts >= w.opened + INTERVAL 3600 SECOND THEN 1 ELSE w.used + 1 END
+      FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1
+    ) SELECT e.key, e.seq, e.ts, w.used <= 3 AS allowed FROM e JOIN w USING (key, n)""",
+)
 def _(spark, d):
     hits = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts")
     return Q.anchored_limit(hits, 3, 3600)
@@ -117,7 +126,11 @@ def _(spark, d):
     return V.chunks(table(spark, d, "documents")).select("doc_id", "chunk_no", F.md5("chunk").alias("digest"))
 
 
-@query("rg_cache")
+@query(
+    "rg_cache",
+    """SELECT md5(concat_ws(',', count(*)::VARCHAR, sum(('0x' || substr(md5(text), 1, 8))::BIGINT)::VARCHAR, bit_xor(('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text)), 1, 15))::BIGINT)::VARCHAR)) AS digest
+    FROM documents""",
+)
 def _(spark, d):
     return V.index_key(table(spark, d, "documents"))
 
@@ -227,7 +240,16 @@ def _(spark, d):
     return listings(spark, d).select("audit_id", *[got[n].alias(n) for n in ("mrp", "net_quantity", "country_of_origin", "batch_number", "manufacturer", "fssai_license")])
 
 
-@query("ao_dates")
+_BARE = f"regexp_extract_all(label_text, {D.q('(?i)' + P.REGION_DATES)}, 0)"
+
+
+@query(
+    "ao_dates",
+    LISTINGS
+    + f", d AS (SELECT audit_id, category, {_REGION['manufacture_date']} AS m, {_REGION['expiry_date']} AS e, {_BARE} AS bare FROM listings)"
+    + """ SELECT audit_id, coalesce(m, CASE WHEN m IS NULL AND e IS NULL AND NOT (len(bare) = 1 AND category = 'food') THEN bare[1] END) AS made,
+          coalesce(e, CASE WHEN m IS NULL AND e IS NULL AND len(bare) = 1 AND category = 'food' THEN bare[1] WHEN m IS NULL AND e IS NULL THEN bare[2] END) AS expires FROM d""",
+)
 def _(spark, d):
     got = E.region_fields(F.col("label_text"), F.col("category"))
     return listings(spark, d).select("audit_id", got["manufacture_date"].alias("made"), got["expiry_date"].alias("expires"))

@@ -53,7 +53,11 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.md5(X.comparable(T("text"))).alias("digest"))
 
 
-@query("tn_sentences")
+@query(
+    "tn_sentences",
+    r"""SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), '\n+'),
+        lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''))::INTEGER AS sentences FROM documents""",
+)
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.sentences(T("text"))).alias("sentences"))
 
@@ -68,7 +72,12 @@ def _(spark, d):
     return spark.createDataFrame([(x,) for x in X.LANGUAGES], "language string")
 
 
-@query("ui_clean_ocr")
+@query(
+    "ui_clean_ocr",
+    LISTINGS
+    + r""" SELECT audit_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(label_text, '\{[^}]*\}', '', 'g'), chr(10)), lambda s: trim(s)),
+     lambda s: s <> '' AND NOT regexp_matches(s, '^\w+\s*[:=]')), chr(10))) AS digest FROM listings""",
+)
 def _(spark, d):
     return listings(spark, d).select("audit_id", F.md5(X.strip_markup(T("label_text"))).alias("digest"))
 
@@ -114,7 +123,46 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", c["email"].alias("email"), c["phone"].alias("phone"))
 
 
-@query("nlp_analyze")
+def _address_sql(x: str) -> str:
+    tries = [f"regexp_replace(trim({D.squeeze(D.strip(D.cap(x, p, 1, 'is')))}), '\\A[.,;]+|[.,;]+\\z', '', 'g')" for p in P.SERVICE_ADDRESS]
+    return "coalesce(" + ", ".join(f"CASE WHEN length({a}) > 20 THEN {a} END" for a in tries) + ")"
+
+
+def _contact_sql(x: str) -> str:
+    phones = [f"regexp_replace({D.cap(x, p)}, '[\\s\\-()]', '', 'g')" for p in P.SERVICE_PHONE]
+    return "(" + " OR ".join([f"coalesce(length({p}) >= 10, false)" for p in phones] + [f"{D.cap(x, P.SERVICE_EMAIL)} IS NOT NULL"]) + ")"
+
+
+def _confidence_sql(x: str) -> str:
+    """Six confidences, null where the entity is missing."""
+    parts = {
+        "c_fssai": D.graded(x, P.SERVICE_FSSAI, D.ok),
+        "c_price": D.graded(x, P.SERVICE_PRICE, lambda m: f"{D.num(m)} > 0 AND {D.num(m)} < 100000"),
+        "c_weight": D.graded(x, P.SERVICE_WEIGHT, lambda m: f"{m} IS NOT NULL"),
+        "c_batch": f"CASE WHEN {D.batch(x)} IS NOT NULL THEN 0.9 END",
+        "c_address": f"CASE WHEN {_address_sql(x)} IS NOT NULL THEN 0.7 END",
+        "c_country": f"CASE WHEN {D.country(x)} IS NOT NULL THEN 0.9 END",
+    }
+    return ", ".join(f"({e})::DOUBLE AS {n}" for n, e in parts.items())
+
+
+_PARTS = ("c_fssai", "c_price", "c_weight", "c_batch", "c_address", "c_country")
+_KNOWN = "(" + " + ".join(f"({c} IS NOT NULL)::INT" for c in _PARTS) + ")"
+_MEAN = f"(CASE WHEN {_KNOWN} = 0 THEN 0.5 ELSE round((" + " + ".join(f"coalesce({c}, 0)" for c in _PARTS) + f") / {_KNOWN}, 4) END)::DOUBLE"
+
+
+@query(
+    "nlp_analyze",
+    LISTINGS
+    + f""", n AS (SELECT audit_id, {X.sql_normalise('label_text')} AS norm FROM listings),
+    e AS (SELECT audit_id, norm, {_confidence_sql('norm')}, {_contact_sql('norm')} AS contact, """
+    + ", ".join(f"({D.first('norm', ps, 1, 'is')} IS NOT NULL)::INT AS l_{n}" for n, (_, ps) in P.LABEL.items())
+    + f""" FROM n), s AS (SELECT *, {' + '.join('l_' + n for n in P.LABEL)} AS patterns_matched, {' + '.join('l_' + n for n, (need, _) in P.LABEL.items() if need)} AS required_found FROM e)
+    SELECT audit_id, round(({_KNOWN} + contact::INT + 1) / 8.0 * 100, 1)::DOUBLE AS completeness, {_MEAN} AS confidence,
+           len(list_filter(regexp_split_to_array(norm, '\\s+'), lambda w: w <> ''))::INTEGER AS word_count, length(norm)::INTEGER AS char_count,
+           13 AS total_patterns, patterns_matched, round(patterns_matched / 13.0 * 100, 1)::DOUBLE AS match_percentage, 7 AS required_total, required_found,
+           7 - required_found AS required_missing, required_found = 7 AS compliant FROM s""",
+)
 def _(spark, d):
     """Entities, label summary, completeness, confidence and counts of each normalised listing."""
     norm = once(listings(spark, d).select("audit_id", "label_text"), norm=X.normalise(T("label_text"), compose=False))
@@ -130,7 +178,7 @@ def _(spark, d):
     )
 
 
-@query("agg_confidence")
+@query("agg_confidence", LISTINGS + f" SELECT audit_id, {_MEAN} AS confidence FROM (SELECT audit_id, {_confidence_sql('label_text')} FROM listings)")
 def _(spark, d):
     found = once(listings(spark, d).select("audit_id", "label_text"), entities=E.entities(T("label_text")))
     return found.select("audit_id", E.confidence(T("entities")).alias("confidence"))
@@ -206,18 +254,54 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", E.ocr_care(T("text"))["value"].alias("phone"))
 
 
-@query("fx_allergens")
+def _allergens_sql(x: str) -> str:
+    tries = [f"list_filter(list_transform(regexp_split_to_array({D.strip(D.cap(x, p))}, '[,;&]'), lambda a: lower({D.strip('a')})), lambda a: a <> '')" for p in P.OCR_ALLERGENS]
+    return "coalesce(" + ", ".join(f"CASE WHEN len({t}) > 0 THEN {t} END" for t in tries) + ")"
+
+
+def _care_sql(x: str) -> str:
+    tries = [f"regexp_replace({D.cap(x, p)}, '[\\s\\-]', '', 'g')" for p in P.OCR_CARE]
+    return "coalesce(" + ", ".join(f"CASE WHEN length({v}) >= 10 THEN {v} END" for v in tries) + ")"
+
+
+@query("fx_allergens", f"SELECT doc_id, array_to_string({_allergens_sql('text')}, '|') AS allergens FROM documents")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(E.ocr_allergens(T("text")), "|").alias("allergens"))
 
 
-@query("fx_dates")
+_MADE, _EXPIRES = D.last_date("label_text", P.OCR_MADE), D.last_date("label_text", P.OCR_EXPIRES)
+
+
+@query(
+    "fx_dates",
+    LISTINGS
+    + f", f AS (SELECT audit_id, label_text, {_MADE} AS made, {_EXPIRES} AS expires FROM listings)"
+    + f" SELECT audit_id, made, expires, CASE WHEN made IS NOT NULL AND expires IS NULL THEN try_cast({D.cap('label_text', P.OCR_SHELF_LIFE)} AS INTEGER) END AS months FROM f",
+)
 def _(spark, d):
     t = E.ocr_dates(T("label_text"))
     return listings(spark, d).select("audit_id", t["manufacturing_date"].alias("made"), t["expiry_date"].alias("expires"), t["shelf_life_months"].alias("months"))
 
 
-@query("fx_all")
+_NINE = {
+    "fssai": f"coalesce({D.valid('label_text', P.OCR_FSSAI, D.ok)}, list_filter(regexp_extract_all(label_text, '\\b([0-9]{{14}})\\b', 1), lambda m: {D.ok('m')})[1])",
+    "mrp": D.valid("label_text", P.OCR_MRP, lambda v: f"{v} > 0 AND {v} < 100000", D.num),
+    "weight": _OW,
+    "batch": "coalesce(" + ", ".join(f"CASE WHEN length({b}) >= 4 THEN {b} END" for b in _B) + ")",
+    "country": "coalesce(" + ", ".join(f"CASE WHEN length({c}) >= 4 THEN {c} END" for c in _C) + ")",
+    "care": _care_sql("label_text"),
+    "allergens": _allergens_sql("label_text"),
+    "made": _MADE,
+    "expires": _EXPIRES,
+}
+
+
+@query(
+    "fx_all",
+    LISTINGS
+    + f", f AS (SELECT audit_id, {' + '.join(f'(({e}) IS NOT NULL)::INT' for e in _NINE.values())} AS n FROM listings)"
+    + " SELECT audit_id, n AS fields_found, 9 - n AS fields_missing, round(n / 9.0 * 100, 1)::DOUBLE AS completeness FROM f",
+)
 def _(spark, d):
     found = once(listings(spark, d).select("audit_id", "label_text"), f=E.ocr_fields(T("label_text")))
     n = E.ocr_found(T("f"))
@@ -310,7 +394,16 @@ def _(spark, d):
     return rows.select("audit_id", F.explode(L.further_violations(fields, T("label_text"))).alias("v")).select("audit_id", "v.code", "v.penalty")
 
 
-@query("vs_score")
+_FURTHER_ROWS = " UNION ALL ".join(f"SELECT audit_id, 'LM-AUD-{n}' AS code, {L.FURTHER[n]} AS penalty FROM declared WHERE {test}" for n, test in _FURTHER.items())
+
+
+@query(
+    "vs_score",
+    DECLARED.replace("declared AS (", "declared AS MATERIALIZED (")
+    + f""", b AS ({_pack_rows()} UNION ALL {_FURTHER_ROWS}), s AS (SELECT audit_id, count(*)::INTEGER AS violations, sum(penalty) AS penalty FROM b GROUP BY audit_id),
+    p AS (SELECT audit_id, coalesce(violations, 0) AS violations, greatest(0, 100 - coalesce(penalty, 0))::INTEGER AS score FROM declared LEFT JOIN s USING (audit_id))
+    SELECT audit_id, violations, score, CASE WHEN score >= 85 THEN 'Compliant' WHEN score >= 60 THEN 'Moderate Risk' ELSE 'High Risk' END AS risk FROM p""",
+)
 def _(spark, d):
     """The legacy path whole: declarations, pack and further checks, score, risk."""
     rows, fields = declared(spark, d)

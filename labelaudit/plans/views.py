@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelaudit.functions import duck, text
 from labelaudit.operators import audits as A
+from labelaudit.operators import rules as R
 from labelaudit.operators import scoring as S
 from labelaudit.sources.tables import AS_OF, LISTINGS_SQL, listings, table
 
@@ -19,6 +20,12 @@ def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.audit(fields(spark, sf_dir), AS_OF).withColumn("legacy_risk", S.legacy_risk(F.col("compliance_score")))
 
 
+def violating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audits that can have violations: of listings to which some rule applies, known before any extraction."""
+    some = listings(spark, sf_dir).where(R.any_applies(R.DEFAULT_RULES, F.col("category")))
+    return A.audit(A.with_fields(some), AS_OF)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl jobs made of events."""
     status = F.when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "view", "processing").when(F.col("event_type") == "error", "failed").otherwise("completed")

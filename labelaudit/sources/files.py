@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CSV = {"seller_id": "unknown", "product_name": "Unnamed Product", "description": "", "packaging_text": ""}
@@ -26,7 +26,8 @@ def page_text(title, description, specifications, raw) -> F.Column:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """One document a file; its id is a hash of the file's path, so it stays when files are added."""
+    return spark.read.text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
 def export_rows(audits: DataFrame) -> DataFrame:
@@ -63,10 +64,51 @@ def text_report(audits: DataFrame) -> DataFrame:
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """Current rows with the last change of each key in place of the row it had."""
+    columns = [F.col(f"`{c}`") for c in current.columns]
     both = current.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__new"), F.desc(order)))
-    return both.withColumn("__rn", rank).where("__rn = 1").drop("__rn", "__new")
+    last = F.max_by(F.struct(*columns), F.struct("__new", F.col(order)))
+    return both.groupBy(F.col(key).alias("__key")).agg(last.alias("r")).select("r.*")
 
 
 def delete(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return current.join(gone.select(key), key, "left_anti")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(s.getPath()) for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether the job that wrote a folder ended."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def version_folders(spark: SparkSession, path: str) -> dict[int, tuple[int, str]]:
+    """bucket -> newest complete version and its folder, of a state that `streaming.live.upsert_into` keeps."""
+    out: dict[int, tuple[int, str]] = {}
+    for folder in _folders(spark, path):
+        version = int(folder.rsplit("version=", 1)[1])
+        if _written(spark, folder):
+            for part in _folders(spark, folder):
+                bucket = int(part.rsplit("bucket=", 1)[1])
+                out[bucket] = max(out.get(bucket, (-1, "")), (version, part))
+    return out
+
+
+def versioned(spark: SparkSession, path: str) -> DataFrame:
+    """The current rows of such a state."""
+    return spark.read.parquet(*[folder for _, folder in version_folders(spark, path).values()])
+
+
+def drop_versions(spark: SparkSession, path: str, held: dict[int, tuple[int, str]], buckets: list[int], before: int) -> None:
+    """Delete the folders of `held` for buckets that have a newer version, where older than `before`; the version
+    before the last stays for those who are reading it."""
+    for bucket in buckets:
+        version, folder = held.get(bucket, (before, ""))
+        if version < before:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -26,39 +26,54 @@ def first_urls(jobs: DataFrame, delay: str = "1 day") -> DataFrame:
     return jobs.withWatermark("created_at", delay).withColumn("url", F.rtrim("url", F.lit("/"))).dropDuplicatesWithinWatermark(["url"])
 
 
-def rate_limited(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
+def rate_limited(hits: DataFrame, limit: int, seconds: int, delay: str = "1 hour") -> DataFrame:
     """key, seq, allowed of a stream of key, seq, ts: a window opens at a key's first hit. State per key: when it
-    opened and how many hits it has taken; it is dropped once idle for ten windows."""
+    opened and how many hits it has taken; it is dropped once the watermark is ten windows past the last hit.
+    Hits that come more than `delay` late are left out."""
 
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        opened, used = state.get if state.exists else (None, 0)
+        opened, used, last = *(state.get if state.exists else (None, 0)), 0
         for frame in frames:
             frame = frame.sort_values(["ts", "seq"])
             allowed = []
-            for ts in (frame["ts"].astype("int64") // 1000).tolist() if str(frame["ts"].dtype).endswith("[ns]") else frame["ts"].astype("int64").tolist():
+            for ts in frame["ts"].astype("datetime64[us]").astype("int64").tolist():
                 if opened is None or ts - opened >= seconds * 1_000_000:
                     opened, used = ts, 0
-                used += 1
+                used, last = used + 1, max(last, ts)
                 allowed.append(used <= limit)
             yield pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "allowed": allowed})
         state.update((opened, used))
-        state.setTimeoutDuration(10_000 * seconds)
+        state.setTimeoutTimestamp(last // 1000 + 10_000 * seconds)
 
-    return hits.groupBy("key").applyInPandasWithState(fold, "key long, seq long, allowed boolean", "opened long, used int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = hits.withWatermark("ts", delay).groupBy("key")
+    return timed.applyInPandasWithState(fold, "key long, seq long, allowed boolean", "opened long, used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_into(path: str, key: str, order: str):
-    """A foreachBatch sink that keeps the last row of each key under `path`, one folder per batch; the newest
-    folder is the state, so a batch that runs twice writes the same again."""
-    from labelaudit.sources.files import upsert
+def upsert_into(path: str, key: str, order: str, buckets: int = 64):
+    """A foreachBatch sink that keeps the last row of each key under `path`.
+
+    Rows are kept by buckets of the key's hash, and a batch writes a new version of the buckets it touches, no
+    others; versions go on from those an earlier run has left, and a batch that runs twice changes nothing.
+    `files.versioned` reads the state."""
+    from labelaudit.sources import files
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        whole = last if number == 0 else upsert(spark.read.parquet(f"{path}/{number - 1:08d}"), last, key, order)
-        whole.write.mode("overwrite").parquet(f"{path}/{number:08d}")
+        last = last.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in last.select("bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        held = files.version_folders(spark, path)
+        before = [folder for bucket, (_, folder) in held.items() if bucket in touched]
+        if before:
+            old = spark.read.parquet(*before).select(*batch.columns).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            last = files.upsert(old, last, key, order)
+        version = 1 + max((v for v, _ in held.values()), default=-1)
+        last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
+        files.drop_versions(spark, path, held, touched, version - 1)
 
     return write

@@ -134,6 +134,14 @@ def test_csv_round_trip(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("s1", 'a "b", c', "", ""), ("s2", "", "", "")]
 
 
+def ended(q):
+    """A stream that does not end within two minutes fails the test."""
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+
+
 def test_streams(spark, tmp_path):
     from labelaudit.streaming import live
 
@@ -141,13 +149,18 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, "key long, seq long, ts timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key long, seq long, ts timestamp").parquet(str(tmp_path / "in"))
     q = live.rate_limited(stream, 2, 3600 * 24 * 30).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    ended(q)
     assert spark.sql("SELECT count_if(allowed), count(*) FROM limited").first() == (6, 12)
     sink = live.upsert_into(str(tmp_path / "state"), "key", "seq")
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "state/00000000")).collect()) == [9, 10, 11]
+    ended(q)
+    state = lambda: sorted((r.key, r.seq) for r in files.versioned(spark, str(tmp_path / "state")).collect())
+    assert state() == [(0, 9), (1, 10), (2, 11)]
+    later = spark.createDataFrame([(1, 50, dt.datetime(2024, 2, 1)), (7, 1, dt.datetime(2024, 2, 1)), (0, 2, dt.datetime(2024, 2, 1))], "key long, seq long, ts timestamp")
+    for number in (0, 0, 1):  # another run that begins anew, and a batch that comes twice
+        live.upsert_into(str(tmp_path / "state"), "key", "seq")(later.where("key <> 0"), number)
+        assert state() == [(0, 9), (1, 50), (2, 11), (7, 1)]
     audits = stream.select(F.col("ts").alias("created_at"), F.lit(1.0).alias("compliance_score"))
     q = live.daily_trend(audits).writeStream.format("memory").outputMode("complete").queryName("days").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    ended(q)
     assert spark.sql("SELECT count(*), sum(audits) FROM days").first() == (3, 12)
