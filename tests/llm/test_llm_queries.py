@@ -18,7 +18,7 @@ DATA = "/root/testdata/sf0.001"
 def test_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    columns = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).to_numpy()))
+    columns = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f.notna(), None).itertuples(index=False, name=None)))
     assert columns(queries.QUERIES[name](spark, DATA).toPandas()) == columns(con.sql(queries.SQL[name]).df())
 
 
