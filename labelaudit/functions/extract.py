@@ -189,6 +189,24 @@ def label_value(text: Column, name: str) -> Column:
     return first(text, P.LABEL[name][1], 1, "is")
 
 
+def label_match(text: Column, name: str) -> Column:
+    """Of the first pattern that matches: value, the whole match, where it starts and ends (from 0), and which it was."""
+    import re
+
+    tries = []
+    for n, p in enumerate(P.LABEL[name][1]):
+        pattern = f"(?is){p}"
+        whole, at = F.regexp_extract(text, pattern, 0), F.regexp_instr(text, F.lit(pattern)) - 1
+        value = F.regexp_extract(text, pattern, min(1, re.compile(p.replace(r"\z", r"\Z")).groups))
+        tries.append(
+            F.when(
+                text.rlike(pattern),
+                F.struct(value.alias("value"), whole.alias("full_match"), at.alias("start"), (at + F.length(whole)).alias("end"), F.lit(n).alias("pattern_no"), F.lit(p).alias("pattern_used")),
+            )
+        )
+    return F.coalesce(*tries)
+
+
 def label_values(text: Column) -> list[Column]:
     return [label_value(text, name).alias(name) for name in P.LABEL]
 

@@ -118,6 +118,19 @@ def pages_to_products(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, FIELDS)
 
 
+#: What the addresses of product pages hold, by marketplace, and where relative ones lead.
+PRODUCT_LINKS = {"amazon": (r"/dp/|/gp/product/", "https://www.amazon.in", True), "flipkart": (r"/p/", "https://www.flipkart.com", False)}
+
+
+def product_links(pages: DataFrame, marketplace: str, most: int) -> DataFrame:
+    """page_id, position, url: the first `most` different product links of each result page, in the order of the page."""
+    words, base, cut = PRODUCT_LINKS[marketplace]
+    links = F.filter(F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1)), lambda h: h.rlike(words))
+    whole = lambda h: F.when(h.rlike("(?i)^https?://"), h).otherwise(F.concat(F.lit(base), F.when(F.startswith(h, F.lit("/")), h).otherwise(F.concat(F.lit("/"), h))))
+    found = F.array_distinct(F.transform(links, lambda h: whole(F.substring_index(h, "?", 1) if cut else h)))
+    return pages.select("page_id", F.posexplode(F.slice(found, 1, most)).alias("position", "url"))
+
+
 def route(url: Column) -> Column:
     low = F.lower(url)
     return F.when(F.contains(low, F.lit("amazon")), "amazon").when(F.contains(low, F.lit("flipkart")), "flipkart").otherwise("generic")

@@ -7,8 +7,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Operator = Callable[[Column, Any, Column], Column]
 NUMERIC = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -208,6 +211,19 @@ def applies(rule: Rule, category: Column, wildcard_all: bool = False) -> Column:
     return _false(category.isin(rule.category, *rule.applicable_to))
 
 
+def read_rule_packs(spark: SparkSession, path: str) -> DataFrame:
+    """category, name, description, code, field, mandatory, required_if_imported, required_if_appliance, penalty, message,
+    legal_reference of a JSON file of rule packs by category; without the file, no rows."""
+    rule = "struct<code:string,field:string,mandatory:boolean,required_if_imported:boolean,required_if_appliance:boolean,penalty:int,message:string,legal_reference:string>"
+    schema = f"categories map<string,struct<name:string,description:string,rules:array<{rule}>>>"
+    try:
+        packs = spark.read.schema(schema).json(path, multiLine=True)
+    except AnalysisException:  # no such file
+        packs = spark.createDataFrame([], schema)
+    each = packs.select(F.explode("categories").alias("category", "pack"))
+    return each.select("category", "pack.name", "pack.description", F.explode("pack.rules").alias("rule")).select("category", "name", "description", "rule.*")
+
+
 def any_applies(rules: tuple[Rule, ...], category: Column, wildcard_all: bool = False) -> Column:
     """Whether some rule applies to a row; where none does, there can be no violation."""
     hit = F.lit(False)
@@ -247,6 +263,47 @@ def filter_rules(rules: DataFrame, category=None, status=None, severity=None, ru
     return rules.orderBy(F.desc("rule_no")).offset(skip).limit(min(limit, 100))
 
 
+@F.pandas_udf(T.BooleanType())
+def compiles(patterns: pd.Series) -> pd.Series:
+    """Whether each pattern is a regular expression; null for null."""
+
+    def ok(p: str | None) -> bool | None:
+        try:
+            return None if p is None else bool(re.compile(p))
+        except re.error:
+            return False
+
+    return patterns.map({p: ok(p) for p in patterns.unique()}).astype("boolean")
+
+
+def value_type_ok(operator: Column, value: Column) -> Column:
+    """Whether a condition's value, given as JSON, has a type its operator can use; unknown operators take any."""
+    is_list, is_text = value.rlike(r"(?s)\A\s*\[.*\]\s*\z"), value.rlike(r'(?s)\A\s*".*"\s*\z')
+    bare = F.regexp_replace(F.trim(value), r'\A"|"\z', "")
+    plain = value.rlike(r"\A\s*(-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false)\s*\z")
+    number = plain | (is_text & bare.try_cast("double").isNotNull())
+    whole = plain | (is_text & bare.rlike(r"\A\s*[+-]?\d+\s*\z"))
+    two = F.size(F.from_json(value, "array<string>")) == 2
+    return _false(
+        F.when(operator.isin("gt", "lt", "gte", "lte"), number)
+        .when(operator.isin("contains", "not_contains", "regex"), is_text)
+        .when(operator == "exists", F.trim(value).isin("true", "false"))
+        .when(operator.isin("in", "not_in"), is_list)
+        .when(operator == "between", is_list & two)
+        .when(operator.isin("length_eq", "length_gt", "length_lt"), whole)
+        .otherwise(F.lit(True))
+    )
+
+
+#: Fields a rule cannot do without.
+REQUIRED = ("name", "description", "rule_type", "category", "conditions", "actions")
+
+
+def validation_schema() -> dict[str, tuple[str, ...]]:
+    """What a rule may say, list by list."""
+    return {"rule_types": RULE_TYPES, "severities": SEVERITIES, "statuses": STATUSES, "operators": tuple(OPERATORS), "action_types": ACTION_TYPES, "required_fields": REQUIRED}
+
+
 def rule_errors(rules: DataFrame) -> DataFrame:
     """id, valid, errors of rule rows with name, description, rule_type, category, severity, status, conditions, actions, tags."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
@@ -264,6 +321,9 @@ def rule_errors(rules: DataFrame) -> DataFrame:
         F.when(F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.length(t) < 2), "Tags must be at least 2 characters"),
     ]
     known = list(OPERATORS)
+    patterns = rules.select("id", F.explode("conditions").alias("c")).where(F.col("c.operator") == "regex").select("id", F.col("c.value").alias("p"))
+    bad = patterns.where(~_false(compiles("p"))).groupBy("id").agg(F.collect_set("p").alias("__bad"))
+    rules = rules.join(bad, "id", "left").withColumn("__bad", F.coalesce("__bad", F.array().cast("array<string>")))
     per_condition = F.flatten(
         F.transform(
             "conditions",
@@ -273,6 +333,8 @@ def rule_errors(rules: DataFrame) -> DataFrame:
                     F.when(~F.coalesce(c["operator"].isin(*known), F.lit(False)), F.concat(F.lit("Unknown operator: "), F.coalesce(c["operator"], F.lit("")))),
                     F.when((c["operator"] == "exists") & ~F.coalesce(c["value"].isin("true", "false"), F.lit(False)), "exists needs true or false"),
                     F.when((c["operator"] == "between") & (F.size(F.split(c["value"], ",")) != 2), "between needs two values"),
+                    F.when(c["operator"].isin("in", "not_in") & blank(c["value"]), F.concat(c["operator"], F.lit(" needs a list"))),
+                    F.when((c["operator"] == "regex") & F.array_contains("__bad", c["value"]), F.concat(F.lit("Invalid regex pattern: "), c["value"])),
                 )
             ),
         )

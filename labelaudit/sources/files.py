@@ -43,6 +43,52 @@ def export_rows(audits: DataFrame) -> DataFrame:
     )
 
 
+def legacy_rows(reports: DataFrame) -> DataFrame:
+    """The six columns of the legacy export."""
+    return reports.select("product_id", "seller_id", "product_name", "score", "risk_level", "created_at")
+
+
+def write_legacy_csv(reports: DataFrame, path: str) -> None:
+    legacy_rows(reports).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def json_report(audits: DataFrame, kind: str) -> DataFrame:
+    """The rows of a JSON report: `summary` one row, `violation` one a rule, otherwise the audits."""
+    from labelaudit.operators import analytics
+
+    return {"summary": analytics.summary, "violation": analytics.violation_report}.get(kind, lambda a: a)(audits)
+
+
+def write_json_report(audits: DataFrame, kind: str, path: str) -> None:
+    json_report(audits, kind).write.mode("overwrite").json(path)
+
+
+def insert(rows: DataFrame, path: str) -> None:
+    """Append; what is there stays as it is."""
+    rows.write.mode("append").parquet(path)
+
+
+def queue_lines(jobs: DataFrame) -> DataFrame:
+    """One JSON line a job, as queues carry them."""
+    return jobs.select(F.to_json(F.struct(*jobs.columns)).alias("value"))
+
+
+def push(jobs: DataFrame, path: str) -> None:
+    """Append jobs to a queue kept as files of JSON lines; `streaming` sources read it."""
+    queue_lines(jobs).write.mode("append").text(path)
+
+
+def picture_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """path, size and bytes of picture files."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp,bmp,tif,tiff,gif}").load(path)
+    return found.select("path", F.col("length").alias("size"), F.col("content").alias("bytes"))
+
+
+def picture_of(encoded: F.Column) -> F.Column:
+    """Bytes of a base64 picture, with or without a data address before it; null where it is none."""
+    return F.try_to_binary(F.regexp_replace(encoded, r"\Adata:[^,]*,", ""), F.lit("base64"))
+
+
 def write_csv(audits: DataFrame, path: str) -> None:
     export_rows(audits).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
