@@ -49,16 +49,17 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str], n: str = "n", how: str = "inner", least: int = 4_000) -> DataFrame:
     """`rows` with their row of `table`, which has one row a key and in `n` how many of `rows` have that key.
 
-    A key of more than a (4 x partitions)-th of the rows is cut into pieces of about that many: its row of
-    `table` is repeated, and its rows are spread by `spread` and the partition they come from. At most
-    4 x partitions keys can be so frequent, and only their names are broadcast. `n` is dropped.
+    A key of more than a (4 x partitions)-th of the rows, and more than `least`, which is little for one task, is
+    cut into pieces of about that many: its row of `table` is repeated, and its rows are spread by `spread` and
+    the partition they come from. At most 4 x partitions keys can be so frequent, and only their names are
+    broadcast. `n` is dropped.
     """
     share = 4 * partitions(rows.sparkSession)
     total, largest = table.agg(F.sum(n), F.max(n)).first()
-    most = max(1, (total or 0) // share)
+    most = max(least, (total or 0) // share)
     if (largest or 0) <= most:
         return rows.join(table.drop(n), key, how)
     hot = table.where(F.col(n) > most).select(F.col(key).alias("__hot"), F.ceil(F.col(n) / most).cast("int").alias("__pieces"))

@@ -53,6 +53,8 @@ FRONTIER = 1 << 20
 HELD = 1 << 16
 #: Links of an item to others of its shard, beside the one to its parent.
 FANOUT = 16
+#: Rows of a label that are no burden for a task of the component loop.
+LOOPED = 50_000
 #: Fingerprints a shard may hold on average before more blocks are used.
 SHARD = 512
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -334,10 +336,10 @@ def connect(links: DataFrame) -> DataFrame:
     label = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
     degree = durable(both.groupBy("b").agg(F.count("*").alias("n")))
     while True:
-        heard = skew_join(both, label.select(F.col("fp").alias("b"), "root").join(degree, "b"), "b", ["a"]).groupBy("a").agg(F.min("root").alias("heard"))
+        heard = skew_join(both, label.select(F.col("fp").alias("b"), "root").join(degree, "b"), "b", ["a"], least=LOOPED).groupBy("a").agg(F.min("root").alias("heard"))
         hooked = durable(label.join(heard, label["fp"] == heard["a"]).select("fp", F.least("root", "heard").alias("new"), F.col("root").alias("old")))
         up = hooked.select(F.col("fp").alias("new"), F.col("new").alias("upper")).join(hooked.groupBy("new").agg(F.count("*").alias("n")), "new")
-        jumped = durable(skew_join(hooked, up, "new", ["fp"]).select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
+        jumped = durable(skew_join(hooked, up, "new", ["fp"], least=LOOPED).select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
         label = jumped.select("fp", "root")
         if not jumped.where("moved").limit(1).count():
             return label
