@@ -49,24 +49,27 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str], n: str = "n", how: str = "inner", least: int = 4_000) -> DataFrame:
-    """`rows` with their row of `table`, which has one row a key and in `n` how many of `rows` have that key.
+def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str], n: str | None = "n", how: str = "inner", least: int = 4_000) -> DataFrame:
+    """`rows` with their row of `table`, which has one row a key and in `n` how many of `rows` have that key;
+    without `n` they are counted.
 
     A key of more than a (4 x partitions)-th of the rows, and more than `least`, which is little for one task, is
     cut into pieces of about that many: its row of `table` is repeated, and its rows are spread by `spread` and
     the partition they come from. At most 4 x partitions keys can be so frequent, and only their names are
     broadcast. `n` is dropped.
     """
-    share = 4 * partitions(rows.sparkSession)
-    total, largest = table.agg(F.sum(n), F.max(n)).first()
-    most = max(least, (total or 0) // share)
+    counts = table.select(key, F.col(n).alias("__n")) if n else rows.groupBy(key).agg(F.count("*").alias("__n"))
+    table = table.drop(n) if n else table
+    total, largest = counts.agg(F.sum("__n"), F.max("__n")).first()
+    most = max(least, (total or 0) // (4 * partitions(rows.sparkSession)))
     if (largest or 0) <= most:
-        return rows.join(table.drop(n), key, how)
-    hot = table.where(F.col(n) > most).select(F.col(key).alias("__hot"), F.ceil(F.col(n) / most).cast("int").alias("__pieces"))
+        return rows.join(table, key, how)
+    hot = F.broadcast(counts.where(F.col("__n") > most).select(F.col(key).alias("__hot"), F.ceil(F.col("__n") / most).cast("int").alias("__pieces")))
     piece = F.coalesce(F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.col("__pieces")).cast("int"), F.lit(0))
-    dealt = rows.join(F.broadcast(hot), rows[key] == hot["__hot"], "left").withColumn("__piece", piece).drop("__hot", "__pieces")
-    pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col(n) / most).cast("int")) - 1))
-    return dealt.join(table.withColumn("__piece", pieces).drop(n), [key, "__piece"], how).drop("__piece")
+    dealt = rows.join(hot, rows[key] == hot["__hot"], "left").withColumn("__piece", piece).drop("__hot", "__pieces")
+    pieces = F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))
+    repeated = table.join(hot, table[key] == hot["__hot"], "left").withColumn("__piece", pieces).drop("__hot", "__pieces")
+    return dealt.join(repeated, [key, "__piece"], how).drop("__piece")
 
 
 def partitions(spark: SparkSession) -> int:

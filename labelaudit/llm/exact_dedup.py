@@ -93,6 +93,6 @@ WITH d AS (
   FROM documents
 )
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(folded) AS text_sha256
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(folded) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY folded)
 """

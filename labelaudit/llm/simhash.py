@@ -54,7 +54,7 @@ HELD = 1 << 16
 #: Links of an item to others of its shard, beside the one to its parent.
 FANOUT = 16
 #: Rows of a label that are no burden for a task of the component loop.
-LOOPED = 50_000
+LOOPED = 200_000
 #: Fingerprints a shard may hold on average before more blocks are used.
 SHARD = 512
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -334,12 +334,13 @@ def connect(links: DataFrame) -> DataFrame:
     links = durable(links)
     both = durable(links.select(F.col("fp").alias("a"), F.col("other").alias("b")).unionByName(links.select(F.col("other").alias("a"), F.col("fp").alias("b"))))
     label = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
-    degree = durable(both.groupBy("b").agg(F.count("*").alias("n")))
+    # where all rows together are no burden for a task, no key of theirs can be
+    join = (lambda rows, table, key, by: rows.join(table, key)) if both.count() <= LOOPED else (lambda rows, table, key, by: skew_join(rows, table, key, [by], n=None, least=LOOPED))
     while True:
-        heard = skew_join(both, label.select(F.col("fp").alias("b"), "root").join(degree, "b"), "b", ["a"], least=LOOPED).groupBy("a").agg(F.min("root").alias("heard"))
+        heard = join(both, label.select(F.col("fp").alias("b"), "root"), "b", "a").groupBy("a").agg(F.min("root").alias("heard"))
         hooked = durable(label.join(heard, label["fp"] == heard["a"]).select("fp", F.least("root", "heard").alias("new"), F.col("root").alias("old")))
-        up = hooked.select(F.col("fp").alias("new"), F.col("new").alias("upper")).join(hooked.groupBy("new").agg(F.count("*").alias("n")), "new")
-        jumped = durable(skew_join(hooked, up, "new", ["fp"], least=LOOPED).select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
+        up = hooked.select(F.col("fp").alias("new"), F.col("new").alias("upper"))
+        jumped = durable(join(hooked, up, "new", "fp").select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
         label = jumped.select("fp", "root")
         if not jumped.where("moved").limit(1).count():
             return label
@@ -447,9 +448,8 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -
     rows = bounded(durable(rows))
     wanted = texts.join(rows, texts["doc_id"].eqNullSafe(rows["doc"]) & (texts["own"] == rows["tag"]), "left_semi")
     sets = durable(wanted.select("text").mapInArrow(run, "fp binary, h array<long>").dropDuplicates(["fp"]))
-    sized = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
-    left = skew_join(pairs, sets.join(sized("fp"), "fp"), "fp", ["other"])
-    both = skew_join(left, sets.select(F.col("fp").alias("other"), F.col("h").alias("h2")).join(sized("other"), "other"), "other", ["fp"])
+    others = sets.select(F.col("fp").alias("other"), F.col("h").alias("h2"))
+    both = skew_join(skew_join(pairs, sets, "fp", ["other"], n=None), others, "other", ["fp"], n=None)
     common = F.size(F.array_intersect("h", "h2"))
     union = F.size("h") + F.size("h2") - common
     return durable(both.where(common * SIMILAR[1] >= union * SIMILAR[0]).select("fp", "other"))

@@ -1,16 +1,23 @@
 """The training-data operators against brute force, on rows with every defined edge case."""
 
 import hashlib
+import io
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
+import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from labelaudit.llm import exact_dedup, language, mixing, neighbours, packing, quality, sharding, simhash, substring_dedup, token_files, tokens
+import corpus_pipeline
+from labelaudit.llm import exact_dedup, language, mixing, neighbours, packing, quality, queries, sharding, simhash, substring_dedup, token_files, tokens
+from labelaudit.llm.common import skew_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, __own string, __digest string, __text string, h long, `a.b` string"
 WORDS = "the price of rice and oil declared on this packet was checked by nobody else but Élodie für año".split()
@@ -47,6 +54,48 @@ def fold(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+def test_skew_join(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(900)] + [(1000, None), (1001, "alone")], "id long, k string").repartition(7)
+    table = spark.createDataFrame([(f"k{i}", i, 6) for i in range(60)] + [("hot", 99, 600)], "k string, v long, n long")
+    for how in ("inner", "left"):
+        plain = Counter(map(tuple, rows.join(table.drop("n"), "k", how).select("id", "k", "v").collect()))
+        for least in (1, 10**6):
+            assert Counter(map(tuple, skew_join(rows, table, "k", ["id"], how=how, least=least).select("id", "k", "v").collect())) == plain
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put small partitions together again
+    try:
+        dealt = skew_join(rows, table.hint("merge"), "k", ["id"], least=1).where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert dealt > 1
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_edge_rows_against_sql(docs, name):
+    """Null ids, texts and sources, empty texts, repeated rows and ids."""
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "lang", "source", "n_chars").toArrow())
+    ours = {"op2_sharding": sharding.shard_rows, "op7_exact_dedup": exact_dedup.exact_dedup, "op8_mixing": mixing.mix}[name](docs)
+    names = sorted(ours.columns)
+    shown = lambda rows: Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
+    assert shown(map(tuple, ours.select(*names).collect())) == shown(con.sql(f"SELECT {', '.join(names)} FROM ({queries.SQL[name]})").fetchall())
+
+
+def test_mixing_fills_sources_in_the_order_of_cap_per_weight(spark):
+    sizes = spark.createDataFrame([("=a", 1000), ("=b", 1001), ("=c", 40), ("=d", 7)], "src string, source_size long")
+    weights, share = (5, 7, 1), 150
+    left, w, capped = {"=a": 1000, "=b": 1001, "=c": 40, "=d": 7}, {"=a": 5, "=b": 7, "=c": 1, "=d": 5}, {}
+    total = sum(left.values()) * share / 100
+    while True:  # level by level, as the text of the contract says
+        free = {k: (total - sum(capped.values())) * w[k] / sum(w[x] for x in left if x not in capped) for k in left if k not in capped}
+        over = [k for k, t in free.items() if t > 2 * left[k]]
+        if not over:
+            break
+        capped |= {k: 2.0 * left[k] for k in over}
+    expected = {k: capped.get(k, free.get(k)) for k in left}
+    got = {r.src: r.target for r in mixing.targets(sizes, share, weights).collect()}
+    assert got == pytest.approx(expected)
+
+
 def test_exact_dedup(docs, empty):
     groups = defaultdict(list)
     for r in made():
@@ -227,12 +276,18 @@ def test_equal_digits_of_different_strings_are_told_apart(spark, monkeypatch):
     assert sorted(d for spans in found for d in spans[0].tolist()) == list(range(200, 300))
 
 
+@cache
+def library():
+    """The library's tokenizer as it comes, with no setting of ours."""
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def encoded(text, end):
-    return [*tokens.load(tokens.vocabulary_path()).encode(text or "", add_special_tokens=False).ids, end]
+    return [*library().encode(text or "", add_special_tokens=False).ids, end]
 
 
 def test_tokens_match_the_library():
-    odd = ["a b", " a  b ", "x\n\ny", "tab\tx", "don't  stop", "für año​", "a\r\nb", "<|endoftext|>", "1 234 5.6", "日本 語", "end ", "\n", "a\n b", " x"]
+    odd = ["a b", " a  b ", "x\n\ny", "tab\tx", "don't  stop", "für año​", "a\r\nb", "<|endoftext|>", "x <|endoftext|> y", "a<|endoftext|>b\nc d", "1 234 5.6", "日本 語", "end ", "\n", "a\n b", " x"]
     texts = [r[1] or "" for r in made()] + odd
     assert [x.tolist() for x in tokens.encode(texts, tokens.vocabulary_path())] == [encoded(t, 0)[:-1] for t in texts]
 
@@ -263,6 +318,71 @@ def test_packing(docs, empty, window):
     assert packing.pack(empty).count() == 0
 
 
+def best_fit(docs, window, most):
+    """Windows that leave a packer of `most` open ones, as lists of (doc_id, start, length), by plain search."""
+    left, open_, made = [], {}, 0  # window number -> [room, pieces]
+    for doc_id, size in docs:
+        start = 0
+        while size - start >= window:
+            left.append([(doc_id, start, window)])
+            start += window
+        if start == size:
+            continue
+        need = size - start
+        fits = [(room, k) for k, (room, _) in open_.items() if room >= need]
+        if fits:
+            k = min(fits)[1]
+        else:
+            if len(open_) >= most:
+                left.append(open_.pop(min((room, n) for n, (room, _) in open_.items())[1])[1])
+            k, made = made, made + 1
+            open_[k] = [window, []]
+        open_[k][1].append((doc_id, start, need))
+        open_[k][0] -= need
+        if open_[k][0] == 0:
+            left.append(open_.pop(k)[1])
+    return left
+
+
+def test_packing_places_best_fit(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.choice([1, 3, 8, 20, 40]))) for i in range(300)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), window=128, open_windows=5).collect()
+    windows = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        windows[r.sequence_id].append((r.doc_id, r.start, r.length))
+    expected = best_fit([(i, len(encoded(t, 1))) for i, t in rows], 128, 5)
+    assert len(expected) > 50 and all(w in windows.values() for w in expected)
+    assert len(windows) - len(expected) <= 5
+
+
+@pytest.mark.parametrize("doc_id", [3, None])
+def test_token_files_of_one_id(spark, tmp_path, doc_id):
+    rows = [(doc_id, f"text number {i % 7}") for i in range(60)]
+    manifest = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"file://{tmp_path}/one", file_ids=40)
+    out = token_files.read_token_files(manifest, with_ids=True).orderBy("start").collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out) == Counter((i, tuple(encoded(t, 0))) for i, t in rows)
+    assert [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out])[:-1].tolist()]
+
+
+def test_token_files_read_each_block_once(tmp_path):
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 50_000, n).astype(np.uint32) for n in (1, 3000, 0, 9000, 12, 4096, 70_000, 5)]
+
+    class Reader(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    source = Reader(token_files.dump(list(range(len(docs))), docs, 16))
+    file = token_files.TokenFile(source)
+    assert all((a == b).all() for a, b in zip(file.documents(at_once=8192), docs, strict=True))
+    assert source.taken <= len(source.getvalue()) * 1.5
+
+
 def test_token_files(docs, empty, spark, tmp_path):
     manifest = token_files.write_token_files(docs, f"file://{tmp_path}/files", file_ids=2000)
     out = token_files.read_token_files(manifest, with_ids=True).orderBy("start").collect()
@@ -314,6 +434,23 @@ def test_quality_rejects_nothing_without_labels(docs, spark):
         assert quality.drop_rejected(docs, spark.createDataFrame(labels, "doc_id long, quality int")).count() == len(made())
 
 
+def test_quality_learns_from_every_chunk():
+    """What tells good from bad stands only near the end of long texts."""
+    rng = random.Random(5)
+    filler = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    label = np.array([i % 2 for i in range(120)], np.float32)
+    texts = [filler(9000) + ("ZQXZQXZQX" if y else "") + filler(200) for y in label]
+    net = quality.fit([t.encode() for t in texts], label, epochs=12, batch=8)
+    p = quality.scores(net, texts)
+    assert p[label == 1].min() > p[label == 0].max()
+
+
+def test_quality_sample_is_bounded_by_rows(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = quality.sample_labelled(docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("z"))), labels, rows=10).collect()
+    assert len(rows) == 10 and len({r.doc_id for r in rows}) == 10
+
+
 def test_quality_covers_the_whole_text():
     rng = np.random.default_rng(0)
     net = quality.Net(rng.normal(size=(6, 257, 4)).astype(np.float32), np.zeros(4, np.float32), np.ones(4, np.float32), 0.0)
@@ -337,17 +474,27 @@ def test_neighbours_edges(spark):
     usable = neighbours.usable(frame)
     found = neighbours.nearest(usable, usable.where("vec_id % 50 = 0")).collect()
     good = {i: np.array(v) for i, v in rows if i is not None and (i < 400 or i >= 500 or i == 406)}
-    expected = {}
+    best, expected = {}, {}
     for q in (i for i in good if i % 50 == 0):
         some = [(-float(neighbours.cosine(good[q], v[None])[0]), i) for i, v in good.items() if i != q and len(v) == len(good[q])]
-        expected[q] = [i for _, i in sorted(some)[:5]]
+        best[q], expected[q] = some, [i for _, i in sorted(some)[:5]]
     got = defaultdict(list)
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append(r.vec_id)
-    assert {q: set(v) for q, v in got.items()} == {q: set(v) for q, v in expected.items()}
+        assert r.score == pytest.approx(-next(s for s, i in best[r.query_id] if i == r.vec_id), abs=1e-12)
+    assert got == expected and {r.rank for r in found} <= {1, 2, 3, 4, 5}
     assert neighbours.nearest(usable.limit(0), usable.limit(0)).count() == 0
 
 
+def test_cosine_of_extreme_vectors():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=16), rng.normal(size=(5, 16))
+    plain = (b @ a) / (np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum()))
+    assert np.allclose(neighbours.cosine(a, b), plain, rtol=1e-15)
+    for scale in (1e-300, 1e-170, 1e160, 1e300):
+        assert np.allclose(neighbours.cosine(a * scale, b), plain, rtol=1e-12) and np.allclose(neighbours.cosine(a, b * scale), plain, rtol=1e-12)
+
+
 def brute_language(pages, model):
     """The fusion, page by page in plain Python."""
     rows = []
@@ -381,7 +528,7 @@ def test_language(spark):
     read = spark.read.parquet
     docs = read("/root/testdata/sf0.001/documents.parquet")
     real = [tuple(r) for r in read("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
-    odd = [(-1, None, None), (-2, "no address", ""), (-3, "http://10.0.0.1/x", "<html lang=fr>"), (-4, "http://user@Hot.example.org:80/", '<html xml:lang="de-AT"><p>und der die'), (-5, "http://hot.example.org", "<!-- open"), (-6, "https://hot.example.org/?q", "<script>x"), (-7, "http://hot.example.org", '<HTML LANG="zz"><meta http-equiv="content-language" content="es">')]
+    odd = [(-1, None, None), (-2, "no address", ""), (-3, "http://10.0.0.1/x", "<html lang=fr>"), (-4, "http://user@Hot.example.org:80/", '<html xml:lang="de-AT"><p>und der die'), (-5, "http://hot.example.org", "<!-- open"), (-6, "https://hot.example.org/?q", "<script>x"), (-8, "http://hot.example.org/long", "<p>" + "und der die das " * 20_000), (-7, "http://hot.example.org", '<HTML LANG="zz"><meta http-equiv="content-language" content="es">')]
     pages = spark.createDataFrame([(*r, "x") for r in real + odd], "page_id long, url string, html string, lang string").repartition(4)
     model = language.train(docs)
     expected = brute_language(real + odd, model)
@@ -401,3 +548,21 @@ def test_language_of_held_out_documents(spark):
     rows = docs.where("doc_id % 2 = 1").select("lang", "text").collect()
     hits = [model.languages[int(model.likelihood(r.text).argmax())] == r.lang for r in rows]
     assert sum(hits) >= 0.95 * len(hits)
+
+
+def test_pipeline_stages_on_edge_rows(spark, docs, empty, tmp_path):
+    """No documents at all, and rows with null ids, texts and sources and clashing columns, one stage after the other."""
+    labels = spark.createDataFrame([(10, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (empty, docs):
+        rows = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, str(tmp_path))
+            if name == corpus_pipeline.STAGES[-1][0]:
+                assert (out.count() > 0) == (rows.count() > 0)
+                break
+            assert out.columns == start.columns
+            folder = f"{tmp_path}/{name}-{start is docs}"
+            out.write.parquet(folder)
+            rows = spark.read.parquet(folder)
+            assert (rows.count() > 0) == (start is docs) or name == "quality"
