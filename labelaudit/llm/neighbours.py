@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from labelaudit.llm.common import durable, partitions, read
 
-SHARD = 8192
+SHARD = 4096
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
@@ -210,7 +210,8 @@ def build(rows: DataFrame, k: int = K, shard: int = SHARD, degree: int = DEGREE,
             yield pa.RecordBatch.from_pylist([row], schema=_GRAPH_ARROW)
 
     dealt = distinct.withColumn("shard", F.pmod("digest", F.lit(shards)))
-    spread = dealt.repartition(min(shards, 16 * partitions(spark)), "shard").sortWithinPartitions("shard", "dim")
+    # by ranges: hashes would put several shards into one task and none into others
+    spread = dealt.repartitionByRange(min(shards, 16 * partitions(spark)), "shard").sortWithinPartitions("shard", "dim")
     return durable(spread.mapInArrow(graphs, _GRAPH))
 
 
