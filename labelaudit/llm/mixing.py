@@ -2,7 +2,8 @@
 
 Sizes are summed by source and hash bucket. The running sums show in which bucket a source's budget
 ends; only that bucket is summed again at a finer grain, twice, until the 32-bit hash itself is the
-threshold. Rows below the threshold are taken once more than the others; nothing is sorted by row.
+threshold. Rows below the threshold are taken once more than the others; nothing is sorted by row. Targets are
+worked out in one task over one row a source, which holds for up to some millions of sources.
 
 Defined cases: null text has size 0; null source is a source of its own and comes last; null doc_id
 hashes as the empty string; rows that repeat a doc_id share its hash and are taken alike; a source of

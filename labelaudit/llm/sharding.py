@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import null_safe_key, read, text_or_empty
+from labelaudit.llm.common import BROADCAST_ROWS, null_safe_key, read, text_or_empty
 
 #: Buckets of either order at least, and rows of a bucket on average where that makes more.
 BUCKETS = 4096
@@ -59,10 +59,10 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = SEED, buckets: int
     placed = ranked.withColumn("f", (F.col("rank") - 0.5) / F.col("n_src")).withColumn(
         "fb", F.least(F.floor(F.col("f") * buckets), F.lit(buckets - 1)).cast("long")
     )
-    return _cut(placed, shards)
+    return _cut(placed, shards, buckets)
 
 
-def _cut(placed: DataFrame, shards: int) -> DataFrame:
+def _cut(placed: DataFrame, shards: int, buckets: int) -> DataFrame:
     """Number the rows by fractional rank, bucket by bucket, and cut the numbers into equal runs."""
     counts = placed.groupBy("fb").agg(F.count("*").alias("n"))
     before = Window.orderBy("fb").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
@@ -70,7 +70,8 @@ def _cut(placed: DataFrame, shards: int) -> DataFrame:
         "fb", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip_f"), F.sum("n").over(Window.partitionBy()).alias("total")
     )
     order = Window.partitionBy("fb").orderBy("f", "src", "h", "doc_id", "text_crc32", "size")
-    at = placed.join(F.broadcast(offsets), "fb").withColumn("at", F.row_number().over(order) + F.col("skip_f") - 1)
+    offsets = F.broadcast(offsets) if buckets <= BROADCAST_ROWS else offsets  # a row a bucket
+    at = placed.join(offsets, "fb").withColumn("at", F.row_number().over(order) + F.col("skip_f") - 1)
     shard = F.expr(f"(at * {shards}) div total")
     start = F.expr(f"(((at * {shards}) div total) * total + {shards - 1}) div {shards}")
     return at.select(
