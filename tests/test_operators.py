@@ -5,13 +5,16 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
+from labelaudit.functions import explain
 from labelaudit.functions import extract as E
 from labelaudit.functions import html as H
+from labelaudit.functions import market as M
 from labelaudit.functions import text as X
 from labelaudit.operators import queues as Q
 from labelaudit.operators import regions as G
 from labelaudit.operators import retrieval as V
 from labelaudit.operators import rules as R
+from labelaudit.operators import scan as C
 from labelaudit.operators import scoring as S
 from labelaudit.sources import files
 
@@ -134,6 +137,80 @@ def test_csv_round_trip(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("s1", 'a "b", c', "", ""), ("s2", "", "", "")]
 
 
+def test_match_positions(spark):
+    text = "x MRP: Rs. 45.50 only\nMade in India. MRP 9"
+    m = one(spark, E.label_match(F.col("t"), "mrp"), t=text)
+    assert (m.value, text[m.start : m.end], m.pattern_no) == ("45.50", "MRP: Rs. 45.50", 0)
+    m = one(spark, E.label_match(F.col("t"), "country"), t=text)
+    assert (m.value, text[m.start : m.end]) == ("India", "Made in India")  # the full stop is only looked at
+    assert one(spark, E.label_match(F.col("t"), "mrp"), t="nothing") is None
+    veg = one(spark, E.label_match(F.col("t"), "veg_status"), t="100% vegetarian")  # no group: the whole match
+    assert (veg.value, veg.full_match, veg.start) == ("100% vegetarian", "100% vegetarian", 0)
+
+
+def test_explanations(spark):
+    answer = lambda t: tuple(one(spark, explain.answered(F.col("t")), t=t))
+    assert answer('```JSON\n{"explanation": "a", "suggested_correction": {"x": 1, "y": [2]}, "risk_summary": null}\n```') == ("a", "x: 1\ny: [2]", explain.FALLBACK[2])
+    assert answer('Well, {"explanation": [" p ", "", "q"]} so') == ("p\nq", *explain.FALLBACK[1:])
+    assert answer("plain words") == ("plain words", *explain.FALLBACK[1:])
+    assert answer("") == ("No model explanation returned.", *explain.FALLBACK[1:])
+    assert tuple(one(spark, explain.explained(F.array()), t="")) == explain.NO_VIOLATIONS
+    assert tuple(one(spark, explain.explained(F.array(F.lit("v"))), t="")) == explain.NO_MODEL
+
+
+def test_marketplaces():
+    page = M.amazon("https://a.example/dp/1", """<meta property="og:title" content="meta title"><span id="productTitle"></span>
+      <span data-a-strike="true"> 120 </span><div id="productDetails_db_sections"><table><tr><th>Maker :</th><td>A  B: A  B</td></tr><tr><td>no head</td></tr></table></div>
+      <div id="prodDetails"><table><tr><th>Maker</th><td>later</td></tr></table></div><table class="a-normal a-spacing-micro"><tr><td>Colour</td><td>red</td></tr></table>
+      <div id="important-information"><b>Warning:</b><p>ok</p><p>12345678901234 is the number</p></div>
+      <img id="landingImage" data-a-dynamic-image='{"https://i.example/s.jpg": [10, 10], "https://i.example/l.jpg": [100, 90]}' src="https://i.example/l._SX1_.jpg">
+      <script type="text/javascript">x = {"hiRes":"https://i.example/h.jpg","large":"https://i.example/icon.png"}</script>""")
+    assert page["title"] == "meta title" and page["description"] is None
+    assert page["specifications"] == {"Maker": "A B", "Colour": "red", "Warning": "12345678901234 is the number", "FSSAI License Number": "12345678901234", "MRP": "120"}
+    assert page["image_urls"] == ["https://i.example/l.jpg", "https://i.example/h.jpg"]
+    page = M.flipkart("https://f.example", '<span class="B_NuCI">T</span><div class="_30jeq3 _16Jk6d">9</div><img class="_2r_T1I _396QI4" data-src="https://rukmini.flipkart.example/image/12/12/x.jpg">')
+    assert (page["title"], page["specifications"], page["image_urls"]) == ("T", {"Selling Price": "9"}, ["https://rukmini.flipkart.example/image/832/832/x.jpg"])
+    assert M.amazon("", None)["image_urls"] == [] and M.flipkart("", "")["title"] is None
+
+
+def test_rule_value_types(spark):
+    ok = lambda operator, value: one(spark, R.value_type_ok(F.col("o"), F.col("v")), o=operator, v=value)
+    assert [ok("gt", v) for v in ("5", '"5.5"', '"x"', "[1]", "null", "true")] == [True, True, False, False, False, True]
+    assert [ok("length_eq", v) for v in ("5", '"5"', '"5.5"', "5.5")] == [True, True, False, True]
+    assert [ok("between", v) for v in ("[1, 2]", "[1]", '"1,2"')] == [True, False, False]
+    assert (ok("exists", "true"), ok("exists", '"true"'), ok("in", "[]"), ok("regex", "5"), ok("eq", "null")) == (True, False, True, False, True)
+
+
+def test_rule_packs(spark, tmp_path):
+    (tmp_path / "packs.json").write_text('{"categories": {"food": {"name": "Food", "description": "d",\n "rules": [{"code": "F-1", "field": "mrp", "mandatory": true, "penalty": 25, "message": "m"}, {"code": "F-2", "field": "x", "penalty": 1}]}}}')
+    rows = R.read_rule_packs(spark, str(tmp_path / "packs.json")).orderBy("code").collect()
+    assert [(r.category, r.code, r.mandatory, r.penalty, r.message) for r in rows] == [("food", "F-1", True, 25, "m"), ("food", "F-2", None, 1, None)]
+    assert R.read_rule_packs(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    jobs = spark.createDataFrame([("u", 1), ("v", 2)], "url string, priority int")
+    for _ in range(2):
+        files.push(jobs, str(tmp_path / "queue"))
+        files.insert(jobs, str(tmp_path / "table"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "queue")).collect()) == ['{"url":"u","priority":1}'] * 2 + ['{"url":"v","priority":2}'] * 2
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 4
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "corpus/b.txt").write_text("bb\nb")
+    before = {r.text: r.doc_id for r in files.read_corpus(spark, str(tmp_path / "corpus")).collect()}
+    (tmp_path / "corpus/a.txt").write_text("a")
+    after = {r.text: r.doc_id for r in files.read_corpus(spark, str(tmp_path / "corpus")).collect()}
+    assert set(after) == {"a", "bb\nb"} and after["bb\nb"] == before["bb\nb"]
+
+
+def test_gates(spark):
+    assert [one(spark, C.usable_picture(F.col("k"), F.lit(n)), k=k) for k, n in (("image/png", 499), ("image/png", 500), ("text/html", 999), ("text/html", 1000), (None, 999))] == [False, True, False, True, False]
+    assert one(spark, C.refuse_over(50, "URLs", F.lit(51)), t="") == "Maximum 50 URLs allowed, got 51" and one(spark, C.refuse_over(50, "URLs", F.lit(50)), t="") is None
+    assert one(spark, C.title_or(F.col("t"), F.lit("n")), t="") == "n"
+    texts = spark.createDataFrame([(1, 2, "second"), (1, 1, " first text "), (1, 3, "  abc  ")], "k int, n int, text string")
+    assert C.joined_texts(texts, "k", "n").first().text == " first text \nsecond"
+
+
 def ended(q):
     """A stream that does not end within two minutes fails the test."""
     try:
