@@ -43,6 +43,8 @@ GRAM = 12
 FLUSH = 300_000
 #: Bytes of text whose entries share a bucket, on average.
 BUCKET = 4_000_000
+#: Suffixes of a long text that are cut into runs at a time.
+BLOCK = 1 << 20
 #: Different runs of one digit that are ordered in one place.
 HOT = 32_768
 #: Entries of a bucket held at a time.
@@ -108,6 +110,12 @@ def row_width(length: int, gram: int) -> int:
     return -(-(2 * length - gram) // DIGIT) * DIGIT
 
 
+def blocks(data: np.ndarray, length: int, block: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pieces of a text that hold `block` suffixes each, whole as far as they are ordered, and where they start."""
+    for lo in range(0, len(data) - length + 1, block):
+        yield lo, data[lo : lo + block + length - 1]
+
+
 def cut_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Dealing digit, bytes, start and number of suffixes of each run of `data`."""
     least = sliding_min(gram_hashes(data, gram), length - gram + 1)
@@ -320,13 +328,23 @@ _FOUND = "kind int, doc long, tag long, starts array<long>, sizes array<long>, d
 _FOUND_ARROW = pa.schema(
     [("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())]
 )
-_DEALT = "bucket long, kind int, data binary"
-_DEALT_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+_DEALT = "route long, bucket long, kind int, data binary"
+_DEALT_ARROW = pa.schema([("route", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 #: Entries in one row of dealt data.
 PACKED = 16_384
 
 
-def deal(parts: list[Entries], buckets: int) -> Iterator[pa.RecordBatch]:
+def even_routes(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of n partitions that hash partitioning sends there, so that buckets, taken in turn, fill
+    the partitions evenly. They need not: a bucket is whole wherever it lands."""
+    found = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+    routes = np.arange(n)
+    for r in found.collect():  # n rows
+        routes[r.p] = r.id
+    return routes
+
+
+def deal(parts: list[Entries], buckets: int, routes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Combine a task's entries and send them by bucket, in rows of at most PACKED; spans go along."""
     e = joined(parts)
     e, gone = combined(e, bucket_numbers(e["key"], buckets))
@@ -336,13 +354,14 @@ def deal(parts: list[Entries], buckets: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
         part = {c: v[lo:hi] for c, v in e.items() if c != "place"} | {"place": e["place"][places[lo] : places[hi]]}
-        rows.append((int(bucket[lo]), ENTRY, dumped(part)))
+        rows.append((int(routes[bucket[lo] % len(routes)]), int(bucket[lo]), ENTRY, dumped(part)))
         if len(rows) >= 64:
             yield _batch(rows)
             rows = []
     for lo in range(0, len(gone[0]), 4 * PACKED):
         part = tuple(c[lo : lo + 4 * PACKED] for c in gone)
-        rows.append((int(mixed(part[0][:1].astype(np.uint64))[0] % np.uint64(buckets)), COVERED, dumped_spans(part)))
+        at = int(mixed(part[0][:1].astype(np.uint64))[0] % np.uint64(buckets))
+        rows.append((int(routes[at % len(routes)]), at, COVERED, dumped_spans(part)))
     if rows:
         yield _batch(rows)
 
@@ -447,27 +466,26 @@ def per_document(found: DataFrame) -> DataFrame:
     return found.groupBy("doc", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
 
 
-def repeated(texts: DataFrame, n_bytes: int, length: int = LENGTH, gram: int = GRAM, flush: int = FLUSH, hot: int = HOT, hold: int = HOLD, bucket: int = BUCKET) -> DataFrame:
+def repeated(texts: DataFrame, n_bytes: int, length: int = LENGTH, gram: int = GRAM, flush: int = FLUSH, hot: int = HOT, hold: int = HOLD, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """doc, tag, starts, sizes: the positions at which a string starts that a smaller document has, too."""
     spark = texts.sparkSession
     buckets = max(n_bytes // bucket, partitions(spark))
+    routes = even_routes(spark, partitions(spark))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for doc, tag, text in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
-                data = bytes_of(text.as_py())
-                if len(data) < length:
-                    continue
-                key, rows, start, size = cut_runs(data, length, gram)
-                k = len(start)
-                held.append(entries(key, rows, np.full(k, doc), np.full(k, tag), size, np.ones(k), start))
-                n += k
-                if n >= flush:
-                    yield from deal(held, buckets)
-                    held, n = [], 0
+                for lo, data in blocks(bytes_of(text.as_py()), length, block):
+                    key, rows, start, size = cut_runs(data, length, gram)
+                    k = len(start)
+                    held.append(entries(key, rows, np.full(k, doc), np.full(k, tag), size, np.ones(k), start + lo))
+                    n += k
+                    if n >= flush:
+                        yield from deal(held, buckets, routes)
+                        held, n = [], 0
         if held:
-            yield from deal(held, buckets)
+            yield from deal(held, buckets, routes)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each suffix of the opened entries as an entry of its own, under a digit of all its bytes."""
@@ -483,10 +501,10 @@ def repeated(texts: DataFrame, n_bytes: int, length: int = LENGTH, gram: int = G
                     one = np.ones(len(entry), np.uint8)
                     key = row_digest(rows, one)
                     count, place = places_of(part, entry, offset)
-                    yield from deal([entries(key, rows, part["doc"][entry], part["tag"][entry], one, count, place)], wide)
+                    yield from deal([entries(key, rows, part["doc"][entry], part["tag"][entry], one, count, place)], wide, routes)
 
     def met(dealt: DataFrame, may_open: bool) -> DataFrame:
-        return dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(meet(length, hot, hold, may_open), _FOUND)
+        return dealt.repartition(partitions(spark), "route").sortWithinPartitions("bucket").mapInArrow(meet(length, hot, hold, may_open), _FOUND)
 
     first = written(met(texts.select("doc", "tag", "text").mapInArrow(runs, _DEALT), True), "dealing-digit")
     found, open_ = first.where(F.col("kind") == COVERED), first.where(F.col("kind") == OPEN)

@@ -250,7 +250,7 @@ def test_substring_dedup(docs, empty):
     assert sum(s.end - s.start for s in spans.removed) == spans.n_removed
 
 
-@pytest.mark.parametrize("how", [{}, {"hot": 3, "hold": 200, "flush": 500, "bucket": 2000}, {"hot": 1, "hold": 64, "flush": 50, "bucket": 10**6}, {"hot": 10**9, "hold": 100}])
+@pytest.mark.parametrize("how", [{}, {"hot": 3, "hold": 200, "flush": 500, "bucket": 2000}, {"hot": 1, "hold": 64, "flush": 50, "bucket": 10**6}, {"hot": 10**9, "hold": 100}, {"block": 64}])
 def test_substring_dedup_opens_hot_digits(spark, how):
     rng = random.Random(1)
     words = "alpha beta gamma delta the of and price oil rice".split()
