@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from labelaudit.llm.common import read
 
-SAMPLE = 9_000
+SAMPLE = 18_000
 FOLDS = 3
 TREES = 60
 DEPTH = 3
@@ -38,11 +38,16 @@ BINS = 32
 RATE = 0.2
 RIDGE = 1.0
 THRESHOLD = 0.7
-#: Words of the learned lexicon, and in how many toxic documents a word must be.
+#: Words of the learned lexicon, and in how many toxic documents, and which share of them, a word must be.
 LEARNED = 200
 LEAST_DOCS = 3
+LEAST_SHARE = 0.02
+#: Lengths of the beginnings of words that are learned beside whole words; a beginning ends with `-`.
+STEMS = (4, 5, 6)
 #: Words between an insult and a pronoun that count as near.
 NEAR = 5
+#: Words whose weight a task remembers.
+REMEMBERED = 1 << 17
 #: Characters of a text worked off at once.
 BLOCK = 1 << 18
 
@@ -50,8 +55,8 @@ BLOCK = 1 << 18
 CONTEMPT = {"idiot", "moron", "loser", "clown", "stupid", "pathetic", "worthless", "disgusting", "trash", "scum", "dumb", "fool", "imbecile", "ugly", "filthy"}
 CONTEMPT |= {"dummkopf", "abschaum", "versager", "widerlich", "imbécile", "minable", "ordure", "dégoûtant", "idiota", "imbécil", "basura", "escoria", "asqueroso"}
 SLURS = {"bastard", "bitch", "asshole", "cunt", "slut", "whore", "fuck", "fucking", "shit", "crap", "arschloch", "scheiße", "connard", "salope", "merde", "cabrón", "puta", "mierda"}
-THREATS = {"kill", "die", "murder", "hang", "burn", "beat", "hurt", "destroy", "töten", "umbringen", "tuer", "crever", "matar", "morir"}
-SECOND = {"you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dein", "deine", "ihr", "euch", "tu", "toi", "ton", "ta", "vous", "votre", "tú", "te", "ti", "usted", "vosotros"}
+THREATS = {"kill", "murder", "hang", "burn", "beat", "hurt", "destroy", "töten", "umbringen", "tuer", "crever", "matar", "morir"}
+SECOND = {"you", "your", "yours", "yourself", "du", "dich", "dein", "deine", "ihr", "euch", "tu", "toi", "vous", "votre", "tú", "usted", "ustedes", "vosotros"}
 
 FEATURES = (
     "words", "contempt", "slurs", "threats", "learned", "hits", "hit_rate", "near_second", "near_rate", "second", "capitals", "shouted",
@@ -60,11 +65,22 @@ FEATURES = (
 
 _WORD = re.compile(r"[^\W_]+")
 #: A token that may hide a word: letters with digits or signs in between.
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!*|+.\-][^\W\d_]*)+")
+_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!*|+]+[^\W\d_]+)+")
 _SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?!\w)")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
-_MARKS = re.compile(r"[!?]{2,}")
 _PLAIN = str.maketrans("013457@$!|+", "oieastasiit", "*.-_ ")
+#: Kinds of bytes; what lies beyond ASCII counts as a letter.
+_LETTER, _CAPITAL, _SIGN, _MARK, _GAP = (
+    np.array([test(c) for c in range(256)])
+    for test in (
+        lambda c: c >= 128 or chr(c).isalpha(),
+        lambda c: c < 128 and chr(c).isupper(),
+        lambda c: chr(c) in "0123456789@$!*|+",
+        lambda c: chr(c) in "!?",
+        lambda c: chr(c) in " .-_*",
+    )
+)
+_KINDS = {w: kind for kind, words in (("second", SECOND), ("threats", THREATS), ("slurs", SLURS), ("contempt", CONTEMPT)) for w in words}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -87,46 +103,70 @@ def _blocks(text: str) -> Iterator[str]:
         at = end
 
 
-def dense(text: str | None, learned: dict[str, float]) -> np.ndarray:
+def parts_of(word: str) -> list[str]:
+    """What the learned lexicon may hold of a word: its beginnings, and the word."""
+    return [word[:k] + "-" for k in STEMS if len(word) > k] + [word]
+
+
+class Words(dict):
+    """The weight of each word, by its longest part that is learned; remembers up to REMEMBERED words."""
+
+    def __init__(self, learned: dict[str, float]) -> None:
+        self.learned = learned
+
+    def __missing__(self, word: str) -> float:
+        weight = next((self.learned[p] for p in reversed(parts_of(word)) if p in self.learned), 0.0)
+        if len(self) < REMEMBERED:
+            self[word] = weight
+        return weight
+
+
+def dense(text: str | None, learned: Words) -> np.ndarray:
     """The features of a whole text."""
     n = dict.fromkeys(FEATURES, 0.0)
     size = 0
     for part in _blocks(text or ""):
-        size += len(part)
+        raw = np.frombuffer(part.encode("utf-8", "replace"), np.uint8)
         low = part.lower()
         words = _WORD.findall(low)
+        size += len(raw)
         n["words"] += len(words)
-        hits = []
-        for name, lexicon in (("contempt", CONTEMPT), ("slurs", SLURS), ("threats", THREATS)):
-            found = [i for i, w in enumerate(words) if w in lexicon]
-            n[name] += len(found)
-            hits += found if name != "threats" else []
-        own = [i for i, w in enumerate(words) if w in learned]
-        n["learned"] += sum(learned[words[i]] for i in own)
-        hits = sorted({*hits, *own})
+        told = [i for i, w in enumerate(words) if learned[w] or w in _KINDS]
+        hits, second = [], []
+        for i in told:
+            kind = _KINDS.get(words[i])
+            if kind:
+                n[kind] += 1
+            n["learned"] += learned[words[i]]
+            if kind == "second":
+                second.append(i)
+            elif kind != "threats":
+                hits.append(i)
         n["hits"] += len(hits)
-        second = np.array([i for i, w in enumerate(words) if w in SECOND])
-        n["second"] += len(second)
-        if hits and len(second):
-            at = np.searchsorted(second, hits)
-            gap = np.minimum(np.abs(second[np.minimum(at, len(second) - 1)] - hits), np.abs(second[np.maximum(at - 1, 0)] - hits))
+        if hits and second:
+            near, at = np.array(second), np.searchsorted(second, hits)
+            gap = np.minimum(np.abs(near[np.minimum(at, len(near) - 1)] - hits), np.abs(near[np.maximum(at - 1, 0)] - hits))
             n["near_second"] += int((gap <= NEAR).sum())
-        n["capitals"] += sum(map(str.isupper, part)) if part != low else 0
-        n["shouted"] += sum(1 for w in _WORD.findall(part) if len(w) > 1 and w.isupper()) if part != low else 0
+        letter, capital, sign, mark = _LETTER[raw], _CAPITAL[raw], _SIGN[raw], _MARK[raw]
+        n["capitals"] += int(capital.sum())
+        if (capital[1:] & capital[:-1]).any():
+            n["shouted"] += sum(1 for w in part.split() if len(w) > 1 and w.isupper())
         n["exclaimed"] += part.count("!")
         n["asked"] += part.count("?")
-        n["marks"] += len(_MARKS.findall(part))
+        pairs = mark[1:] & mark[:-1]
+        n["marks"] += int(pairs[:1].sum() + (pairs[1:] & ~pairs[:-1]).sum())
         n["signs"] += sum(map(part.count, "@#$%^&*"))
-        for token in _MASKED.findall(low):
-            bare = plain(token)
-            n["masked"] += 1
-            n["masked_hits"] += bare in CONTEMPT or bare in SLURS or bare in learned
-        for token in _SPACED.findall(low):
-            bare = plain(token)
-            n["spaced_out"] += 1
-            n["masked_hits"] += bare in CONTEMPT or bare in SLURS or bare in learned
-        for m in _DRAWN.finditer(low):
-            n["drawn_out"] += m.end() - m.start() > 2
+        hidden = _MASKED.findall(low) if (letter[:-1] & sign[1:]).any() and (sign[:-1] & letter[1:]).any() else []
+        n["masked"] += len(hidden)
+        gaps = _GAP[raw]
+        if (letter[:-4] & gaps[1:-3] & letter[2:-2] & gaps[3:-1] & letter[4:]).any():
+            spaced = _SPACED.findall(low)
+            n["spaced_out"] += len(spaced)
+            hidden += spaced
+        bare = [plain(token) for token in hidden]
+        n["masked_hits"] += sum(1 for w in bare if learned[w] or _KINDS.get(w) in ("contempt", "slurs"))
+        thrice = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & letter[2:]
+        n["drawn_out"] += int(thrice[:1].sum() + (thrice[1:] & ~thrice[:-1]).sum())
     words, size = max(1.0, n["words"]), max(1, size)
     n["hit_rate"], n["near_rate"] = 100 * n["hits"] / words, 100 * n["near_second"] / words
     for name in ("contempt", "slurs", "threats", "learned", "second", "shouted", "masked", "drawn_out", "spaced_out"):
@@ -265,27 +305,30 @@ def learned_words(sample: DataFrame, most: int = LEARNED, least: int = LEAST_DOC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = sorted({w for part in _blocks(text) for w in _WORD.findall(part.lower()) if len(w) < 40})
+                words = {w for part in _blocks(text) for w in _WORD.findall(part.lower()) if len(w) < 40}
+                words = sorted({p for w in words for p in parts_of(w)})
                 for lo in range(0, len(words), 10_000):
                     some = words[lo : lo + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([toxic] * len(some), pa.int32())], names=["word", "toxic"])
 
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    least = max(least, LEAST_SHARE * n.get(1, 0))
     counts = sample.select("toxic", "text").mapInArrow(run, "word string, toxic int")
     bad, good = F.sum("toxic"), F.sum(1 - F.col("toxic"))
     odds = F.log((F.col("bad") + 0.5) / (n.get(1, 0) + 1.0)) - F.log((F.col("good") + 0.5) / (n.get(0, 0) + 1.0))
     rated = counts.groupBy("word").agg(bad.alias("bad"), good.alias("good")).where(F.col("bad") >= least).withColumn("odds", odds)
-    # a word of ten toxic documents to each other one, and of enough toxic ones that chance is unlikely
+    # a word of ten toxic documents to each other one
     telling = rated.where((F.col("odds") > 2.3) & (F.col("bad") >= 10 * F.col("good"))).orderBy(F.desc("bad"), "word").limit(most)
-    return {r.word: r.odds for r in telling.collect()}
+    return {r.word: r.odds for r in telling.collect()}  # at most `most` words
 
 
 def vectors(docs: DataFrame, keep: list[str], learned: dict[str, float]) -> DataFrame:
     """The columns in `keep` and the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(learned)
         for batch in batches:
-            x = [dense(t, learned) for t in batch.column("text").to_pylist()]
+            x = [dense(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
     kept = ", ".join(f"{c} {t}" for c, t in docs.select(*keep).dtypes)
@@ -305,10 +348,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(model.learned)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                x = np.array([dense(t, model.learned) for t in part.column("text").to_pylist()])
+                x = np.array([dense(t, words) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(x), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
