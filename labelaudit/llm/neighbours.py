@@ -12,8 +12,10 @@ double precision on the original vectors; a query's results from all shards are
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do null ids; vectors of different lengths never meet; rows that repeat an id and vector count
-once; ties go to the smaller id; with fewer candidates than k all are given; an empty table gives no
-rows; other columns are ignored. The graphs hold every row; nothing is fitted on a sample.
+once; of rows that repeat an id with other vectors the smallest vector, component by component,
+counts, as a query and as a candidate; ties go to the smaller id; with fewer candidates than k all
+are given; an empty table gives no rows; other columns are ignored. The graphs hold every row; nothing
+is fitted on a sample.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import durable, partitions, read
+from labelaudit.llm.common import bounded, durable, partitions, read
 
 SHARD = 4096
 DEGREE = 32
@@ -106,7 +108,9 @@ class Graph:
         self.edges = np.full((n, degree), -1, np.int32)
         start = min(degree, n - 1)
         if start > 0:
-            self.edges[:, :start] = (np.arange(n)[:, None] + 1 + rng.integers(0, n - 1, (n, start))) % n
+            drawn = np.sort((np.arange(n)[:, None] + 1 + rng.integers(0, n - 1, (n, start))) % n, axis=1)
+            drawn[:, 1:][drawn[:, 1:] == drawn[:, :-1]] = -1  # drawn twice
+            self.edges[:, :start] = drawn
         for a in (1.0, alpha):
             order = rng.permutation(n)
             for lo in range(0, n, BLOCK):
@@ -159,7 +163,8 @@ class Graph:
             valid = next_ >= 0
             safe = np.where(valid, next_, 0)
             valid &= ~seen[active[:, None], safe]
-            seen[active[:, None], safe] |= valid
+            row, column = np.nonzero(valid)
+            seen[active[row], safe[row, column]] = True
             score = np.where(valid, np.einsum("qd,qrd->qr", queries[active], self.unit[safe]), -np.inf)
             all_near = np.concatenate([near[active], score], axis=1)
             top = np.argsort(-all_near, axis=1, kind="stable")[:, :beam]
@@ -263,11 +268,22 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM,
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """`rows` with one vector an id. Only ids and digests are dealt, and the rows of ids that have several vectors."""
+    digest = F.xxhash64("v")
+    several = durable(rows.groupBy("vec_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low != high").select("vec_id"))
+    if not several.limit(1).count():
+        return rows
+    several = bounded(several)
+    least = rows.join(several, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.join(several, "vec_id", "left_anti").unionByName(least)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """Both sides as `usable` gives them."""
-    return search(build(rows, k), queries.groupBy("vec_id").agg(F.min("v").alias("v")), k)
+    """Both sides as `usable` gives them, one vector an id."""
+    return search(build(rows, k), queries.dropDuplicates(["vec_id"]), k)
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = usable(read(spark, sf_dir, "embeddings"))
+    rows = one_each(usable(read(spark, sf_dir, "embeddings")))
     return nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
