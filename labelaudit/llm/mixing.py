@@ -6,8 +6,10 @@ threshold. Rows below the threshold are taken once more than the others; nothing
 worked out in one task over one row a source, which holds for up to some millions of sources.
 
 Defined cases: null text has size 0; null source is a source of its own and comes last; null doc_id
-hashes as the empty string; rows that repeat a doc_id share its hash and are taken alike; a source of
-size 0 has target 0; an empty table gives no rows; other columns are ignored.
+hashes as the empty string; rows are hashed by id and text, so those that repeat an id with other texts
+are taken one by one, and only rows that repeat both are taken alike; a document without words is taken
+as often as its whole source; a source of size 0 has target 0; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ def word_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).when(~text.rlike(rf"[^\x20\x09-\x0D]"), F.lit(0)).otherwise(pieces - edges).cast("long")
 
 
-def hashed(doc_id: Column, seed: int) -> Column:
-    """The first 32 bits of an MD5 over seed and id, as a long."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
+def hashed(doc_id: Column, text: Column, seed: int) -> Column:
+    """The first 32 bits of an MD5 over seed, id and text, as a long."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, share_pct: int = 150, weights: tuple = WEIGHTS, cap: int = 2) -> DataFrame:
@@ -100,17 +103,19 @@ def thresholds(units: DataFrame, goals: DataFrame) -> DataFrame:
 def planned(docs: DataFrame, seed: int, share_pct: int, weights: tuple) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes and hashes, and for each source its target, copies and thresholds."""
     units = durable(
-        docs.select("doc_id", null_safe_key("source").alias("src"), word_count(text_or_empty()).alias("size"), hashed(F.col("doc_id"), seed).alias("h"))
+        docs.select("doc_id", null_safe_key("source").alias("src"), word_count(text_or_empty()).alias("size"), hashed(F.col("doc_id"), F.col("text"), seed).alias("h"))
     )
     goals = durable(targets(units.groupBy("src").agg(F.sum("size").alias("source_size")), share_pct, weights))
     return units, goals.join(thresholds(units, goals), "src", "left")
 
 
 def copies_of(plan: str | None, h: Column) -> Column:
-    """How often the mix takes a row: what all rows of its source are taken, and once more below the threshold."""
+    """How often the mix takes a row: what all rows of its source are taken, and once more below the threshold, if
+    the source's target leaves a rest."""
     of = lambda c: F.col(f"{plan}.{c}" if plan else c)
     whole = F.when(of("source_size") > 0, F.floor(of("target") / of("source_size"))).otherwise(F.lit(0))
-    return whole + F.coalesce((h < of("h_end")) | (h == of("h_last")), F.lit(False)).cast("long")
+    below = (of("target") > whole * of("source_size")) & ((h < of("h_end")) | (h == of("h_last")))
+    return whole + F.coalesce(below, F.lit(False)).cast("long")
 
 
 def mix(docs: DataFrame, seed: int = SEED, share_pct: int = SHARE_PCT, weights: tuple = WEIGHTS) -> DataFrame:
@@ -126,7 +131,7 @@ def take(docs: DataFrame, seed: int = SEED, share_pct: int = SHARE_PCT, weights:
     src, of, n = fresh(docs, "__src", "__plan", "__n")
     ends = plan.select(F.col("src").alias(src), F.struct("source_size", "target", "h_end", "h_last").alias(of))
     joined = docs.withColumn(src, null_safe_key("source")).join(bounded(ends), src)
-    copies = copies_of(of, hashed(F.col("doc_id"), seed))
+    copies = copies_of(of, hashed(F.col("doc_id"), F.col("text"), seed))
     repeated = joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -138,7 +143,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH u AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('29:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+         ('0x' || substr(md5('29:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM u GROUP BY source
@@ -165,7 +170,7 @@ g AS (
          sum(u.size) OVER (PARTITION BY u.source, u.h) AS cell
   FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source
 ), t AS (
-  SELECT *, base + CASE WHEN source_size = 0 THEN 0 WHEN upto <= rest THEN 1
+  SELECT *, base + CASE WHEN source_size = 0 OR rest <= 0 THEN 0 WHEN upto <= rest THEN 1
                         WHEN upto - cell <= rest AND upto - rest < rest - (upto - cell) THEN 1 ELSE 0 END AS copies
   FROM r
 )
