@@ -317,8 +317,9 @@ def fold(leaf: Column, path: Column) -> Column:
     return F.aggregate(path, leaf, up)
 
 
-def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = manifest(read(spark, sf_dir, "documents"))
+def proofs(docs: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """The manifest's digests, a digest of each proof, and what it gives for the row as tampered with."""
+    rows = manifest(docs, fanout)
     proof = F.sha2(F.array_join(F.transform("path", lambda x: F.lower(F.hex(x["others"]))), ""), 256)
     folded = rows.withColumn("folded_root", fold(F.coalesce("changed", "leaf"), F.col("path")))
     return folded.select(
@@ -326,6 +327,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs(read(spark, sf_dir, "documents"))
+
+
 def _sql(high: int = 7) -> str:
     """One level after the other, written out; `high` of them hold 16 ** high leaves."""
 

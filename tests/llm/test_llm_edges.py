@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from labelaudit.llm import exact_dedup, language, mixing, neighbours, packing, quality, queries, sharding, simhash, substring_dedup, token_files, tokens
+from labelaudit.llm import exact_dedup, language, merkle, mixing, neighbours, packing, quality, queries, resampling, sharding, simhash, substring_dedup, token_files, tokens
 from labelaudit.llm.common import skew_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, __own string, __digest string, __text string, h long, `a.b` string"
@@ -74,7 +74,16 @@ def test_edge_rows_against_sql(docs, name):
     """Null ids, texts and sources, empty texts, repeated rows and ids."""
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text", "lang", "source", "n_chars").toArrow())
-    ours = {"op2_sharding": sharding.shard_rows, "op7_exact_dedup": exact_dedup.exact_dedup, "op8_mixing": mixing.mix}[name](docs)
+    target = docs.sparkSession.createDataFrame([(t,) for t in ("Price of rice3 and oil", None, "", "the PRICE of")], "text string")
+    con.register("benchmark", target.toArrow())
+    operators = {
+        "op2_sharding": sharding.shard_rows,
+        "op7_exact_dedup": exact_dedup.exact_dedup,
+        "op8_mixing": mixing.mix,
+        "op12_merkle": merkle.proofs,
+        "op13_resampling": lambda d: resampling.resample(d, target, long=300, chunk=20),
+    }
+    ours = operators[name](docs)
     names = sorted(ours.columns)
     shown = lambda rows: Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
     assert shown(map(tuple, ours.select(*names).collect())) == shown(con.sql(f"SELECT {', '.join(names)} FROM ({queries.SQL[name]})").fetchall())
