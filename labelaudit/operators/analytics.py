@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelaudit.operators.joins import durable
+
 
 def _now(as_of: str) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
@@ -74,11 +76,12 @@ def summary(audits: DataFrame) -> DataFrame:
 
 
 def violation_report(audits: DataFrame, examples: int = 3) -> DataFrame:
-    """Per rule: how often, and the first examples by audit. Only numbered examples are gathered."""
-    v = exploded(audits)
+    """Per rule: how often, and the first examples by audit. Only numbered examples are gathered. The violations,
+    three short columns, are worked out once."""
+    v = durable(exploded(audits).select("rule_name", "audit_id", "message"))
     counts = v.groupBy("rule_name").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy("rule_name").orderBy("audit_id", "message"))
-    kept = v.select("rule_name", "audit_id", "message").withColumn("rn", rank).where(F.col("rn") <= examples)
+    kept = v.withColumn("rn", rank).where(F.col("rn") <= examples)
     shown = kept.groupBy("rule_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "audit_id"))), lambda x: x["audit_id"]), ",").alias("examples"))
     return counts.join(shown, "rule_name")
 
@@ -231,8 +234,8 @@ def search(audits: DataFrame, risk=None, low=None, high=None, seller=None, start
         (words, lambda v: F.contains(F.lower("product_name"), F.lit(v.lower()))),
     ):
         audits = audits.where(test(value)) if value is not None else audits
-    total = audits.agg(F.count("*").alias("total"))
-    return page(audits, skip, min(limit, 500)).crossJoin(F.broadcast(total))  # one row
+    matched = durable(audits)  # worked out once, for the total and the page
+    return page(matched, skip, min(limit, 500)).withColumn("total", F.lit(matched.count()).cast("long"))
 
 
 def page(audits: DataFrame, skip: int = 0, limit: int = 20) -> DataFrame:

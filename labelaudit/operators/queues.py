@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,26 +47,6 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
 
 
-def anchored_limit(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """key, seq, ts -> allowed. A key's window opens at its first hit and closes after `seconds`; the first
-    hit after that opens the next. Hits are sorted by key and time inside each partition and folded batch by
-    batch; from one to the next only the key, the opening and the count are kept."""
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, opened, used = None, 0, 0
-        for frame in frames:
-            allowed = []
-            for key, ts in zip(frame["key"].tolist(), frame["ts"].astype("datetime64[us]").astype("int64").tolist(), strict=True):
-                if key != at or ts - opened >= seconds * 1_000_000:
-                    at, opened, used = key, ts, 0
-                used += 1
-                allowed.append(used <= limit)
-            yield frame.assign(allowed=allowed)
-
-    dealt = hits.select("key", "seq", "ts").repartition("key").sortWithinPartitions("key", "ts", "seq")
-    return dealt.mapInPandas(fold, "key long, seq long, ts timestamp_ntz, allowed boolean")
-
-
 def keyword_quota(found: DataFrame, keywords: int, most: int) -> DataFrame:
     """keyword, url, seq: at most max(2, most // keywords) of each keyword, each address once, `most` in all."""
     quota = max(2, most // keywords)

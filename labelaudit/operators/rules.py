@@ -7,11 +7,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from labelaudit.operators.joins import keyed_join
 
 Operator = Callable[[Column, Any, Column], Column]
 NUMERIC = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -251,11 +251,16 @@ def select_rules(rules: DataFrame, rule_id: str | None = None, rule_ids: list[st
         return rules.where(F.col("id") == rule_id)
     if rule_ids:
         wanted = rules.sparkSession.createDataFrame(list(enumerate(rule_ids)), "position int, id string")
-        return wanted.join(rules, "id").orderBy("position").drop("position")
+        return rules_by_ids(rules, wanted).orderBy("position").drop("position")
     active = rules.where(F.col("status") == "active")
     return active.where((F.col("category") == category) | F.array_contains("applicable_to", category)) if category else active
 
 
+def rules_by_ids(rules: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rules that a table of ids names, with that table's other columns: repeats kept, unknown ids left out."""
+    return keyed_join(wanted, rules, "id")
+
+
 def filter_rules(rules: DataFrame, category=None, status=None, severity=None, rule_type=None, tag=None, skip: int = 0, limit: int = 50) -> DataFrame:
     for name, value in (("category", category), ("status", status), ("severity", severity), ("rule_type", rule_type)):
         rules = rules.where(F.col(name) == value) if value else rules
@@ -263,17 +268,10 @@ def filter_rules(rules: DataFrame, category=None, status=None, severity=None, ru
     return rules.orderBy(F.desc("rule_no")).offset(skip).limit(min(limit, 100))
 
 
-@F.pandas_udf(T.BooleanType())
-def compiles(patterns: pd.Series) -> pd.Series:
-    """Whether each pattern is a regular expression; null for null."""
-
-    def ok(p: str | None) -> bool | None:
-        try:
-            return None if p is None else bool(re.compile(p))
-        except re.error:
-            return False
-
-    return patterns.map({p: ok(p) for p in patterns.unique()}).astype("boolean")
+def compiles(pattern: Column) -> Column:
+    """Whether a text is a regular expression for the engine that will run it; null for null."""
+    tried = F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+    return F.when(pattern.isNotNull(), tried.isNotNull())
 
 
 def value_type_ok(operator: Column, value: Column) -> Column:
@@ -321,9 +319,6 @@ def rule_errors(rules: DataFrame) -> DataFrame:
         F.when(F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.length(t) < 2), "Tags must be at least 2 characters"),
     ]
     known = list(OPERATORS)
-    patterns = rules.select("id", F.explode("conditions").alias("c")).where(F.col("c.operator") == "regex").select("id", F.col("c.value").alias("p"))
-    bad = patterns.where(~_false(compiles("p"))).groupBy("id").agg(F.collect_set("p").alias("__bad"))
-    rules = rules.join(bad, "id", "left").withColumn("__bad", F.coalesce("__bad", F.array().cast("array<string>")))
     per_condition = F.flatten(
         F.transform(
             "conditions",
@@ -334,7 +329,7 @@ def rule_errors(rules: DataFrame) -> DataFrame:
                     F.when((c["operator"] == "exists") & ~F.coalesce(c["value"].isin("true", "false"), F.lit(False)), "exists needs true or false"),
                     F.when((c["operator"] == "between") & (F.size(F.split(c["value"], ",")) != 2), "between needs two values"),
                     F.when(c["operator"].isin("in", "not_in") & blank(c["value"]), F.concat(c["operator"], F.lit(" needs a list"))),
-                    F.when((c["operator"] == "regex") & F.array_contains("__bad", c["value"]), F.concat(F.lit("Invalid regex pattern: "), c["value"])),
+                    F.when((c["operator"] == "regex") & ~F.coalesce(compiles(c["value"]), F.lit(True)), F.concat(F.lit("Invalid regex pattern: "), c["value"])),
                 )
             ),
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelaudit.functions import explain
@@ -11,29 +11,7 @@ from labelaudit.functions import text as X
 from labelaudit.operators import regions as G
 from labelaudit.operators import scoring as S
 from labelaudit.operators.audits import once
-
-#: A clause table that travels with the products has at most this many rows.
-CLAUSES = 10_000
-
-
-def terms(text: Column) -> Column:
-    """Distinct lower-case words."""
-    return F.filter(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")), lambda w: w != "")
-
-
-def with_clauses(rows: DataFrame, clauses: DataFrame, query: Column, k: int = 3, key: str = "item_id", text: str = "text") -> DataFrame:
-    """`rows` with `clauses`: the keys of the k clauses that share most words with the query, the smaller key on ties.
-
-    The clauses, CLAUSES at most, travel as one broadcast row; a row is compared with them where it is.
-    """
-    if clauses.limit(CLAUSES + 1).count() > CLAUSES:
-        raise ValueError(f"more than {CLAUSES} clauses")
-    table = clauses.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), terms(F.col(text)).alias("words")))).alias("__clauses"))
-    asked = once(rows, __words=terms(query)).join(F.broadcast(table))  # one row
-    scored = F.transform("__clauses", lambda c: F.struct((-F.size(F.array_intersect(F.col("__words"), c["words"]))).alias("score"), c["key"].alias("key")))
-    best = F.transform(F.slice(F.array_sort(scored), 1, k), lambda c: c["key"])
-    return asked.withColumn("clauses", best).drop("__clauses", "__words")
-
+from labelaudit.operators.clauses import with_clauses
 
 def scan(products: DataFrame, clauses: DataFrame, k: int = 3) -> DataFrame:
     """products (key, product_name, text) -> the four simple fields, violations of the four static rules, clauses,
@@ -105,6 +83,14 @@ def joined_texts(texts: DataFrame, key: str, order: str, text: str = "text") ->
     return kept.select(key, F.array_join(F.transform("t", lambda x: x[text]), "\n").alias("text"))
 
 
+def first_pictures(pictures: DataFrame, key: str, arrived: str, picture: str, most: int = 20) -> DataFrame:
+    """key, pictures: the first of each key in order of arrival. Each task passes on `most` of a key at most."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(arrived))
+    first = pictures.withColumn("__rank", rank).where(F.col("__rank") <= most)
+    ordered = F.array_sort(F.collect_list(F.struct("__rank", F.col(picture).alias("p"))))
+    return first.groupBy(key).agg(F.transform(ordered, lambda x: x["p"]).alias("pictures"))
+
+
 def usable_picture(content_type: Column, size: Column) -> Column:
     """Not what is too small for a picture: under 500 bytes, or under 1000 without a picture's type."""
     typed = F.coalesce(F.contains(F.lower(content_type), F.lit("image")), F.lit(False))

@@ -9,6 +9,7 @@ from labelaudit.functions import extract as E
 from labelaudit.functions import html as H
 from labelaudit.functions import patterns as P
 from labelaudit.operators import queues as Q
+from labelaudit.operators import rate_limits
 from labelaudit.operators import regions as G
 from labelaudit.operators import retrieval as V
 from labelaudit.plans.registry import query
@@ -69,7 +70,7 @@ def _(spark, d):
 )
 def _(spark, d):
     hits = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts")
-    return Q.anchored_limit(hits, 3, 3600)
+    return rate_limits.anchored_limit(hits, 3, 3600)
 
 
 @query("snk_unique_idx", "SELECT l_orderkey * 10 + l_linenumber AS key, count(*) AS rows FROM lineitem GROUP BY 1 HAVING count(*) > 1")

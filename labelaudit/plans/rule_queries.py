@@ -83,61 +83,6 @@ def _(spark, d):
     return rows.select("id", "r.rule_id", "r.status", "r.passed", F.array_join("r.messages", "|").alias("messages"))
 
 
-RULES = """WITH rules(rule_no, id, rule_type, category, severity, tags, applicable_to, status) AS (VALUES
-  (1, 'rule_000001', 'required_field', 'food_safety', 'critical', ['fssai', 'mandatory'], ['food', 'beverages'], 'active'),
-  (2, 'rule_000002', 'format_validation', 'food_safety', 'high', ['fssai', 'format'], ['food', 'beverages'], 'active'),
-  (3, 'rule_000003', 'required_field', 'pricing', 'critical', ['mrp', 'mandatory'], ['all'], 'active'),
-  (4, 'rule_000004', 'required_field', 'food_safety', 'critical', ['expiry', 'mandatory'], ['food', 'beverages', 'medicine'], 'active'),
-  (5, 'rule_000005', 'required_field', 'packaging', 'high', ['weight', 'mandatory'], ['food', 'beverages'], 'active'))
-"""
-
-
-@query("src_rules_seed", RULES + " SELECT rule_no, id, rule_type, category, severity, status FROM rules")
-def _(spark, d):
-    return R.rules_frame(spark).select("rule_no", "id", "rule_type", "category", "severity", "status")
-
-
-@query("flt_rule_select", RULES + " SELECT id FROM rules WHERE status = 'active' AND (category = 'beverages' OR list_contains(applicable_to, 'beverages'))")
-def _(spark, d):
-    return R.select_rules(R.rules_frame(spark), category="beverages").select("id")
-
-
-@query("join_ids", RULES + ", w(position, id) AS (VALUES (0, 'rule_000005'), (1, 'rule_000001'), (2, 'none'), (3, 'rule_000005')) SELECT rules.id, severity FROM w JOIN rules USING (id)")
-def _(spark, d):
-    return R.select_rules(R.rules_frame(spark), rule_ids=["rule_000005", "rule_000001", "none", "rule_000005"]).select("id", "severity")
-
-
-@query("flt_rules", RULES + " SELECT id FROM rules WHERE severity = 'critical' AND list_contains(tags, 'mandatory') ORDER BY rule_no DESC LIMIT 2 OFFSET 1")
-def _(spark, d):
-    return R.filter_rules(R.rules_frame(spark), severity="critical", tag="mandatory", skip=1, limit=2).select("id")
-
-
-@query(
-    "agg_rule_stats",
-    RULES
-    + """ SELECT 'total' AS dimension, 'all' AS value, count(*) AS count FROM rules UNION ALL SELECT 'status', status, count(*) FROM rules GROUP BY status
-    UNION ALL SELECT 'severity', severity, count(*) FROM rules GROUP BY severity UNION ALL SELECT 'rule_type', rule_type, count(*) FROM rules GROUP BY rule_type
-    UNION ALL SELECT 'category', category, count(*) FROM rules GROUP BY category""",
-)
-def _(spark, d):
-    from labelaudit.operators.analytics import grouped_counts
-
-    return grouped_counts(R.rules_frame(spark), ["status", "severity", "rule_type", "category"])
-
-
-@query("agg_rule_categories", RULES + " SELECT DISTINCT category FROM rules WHERE category <> '' ORDER BY 1")
-def _(spark, d):
-    return R.rules_frame(spark).where(F.col("category") != "").select("category").distinct().orderBy("category")
-
-
-@query("rule_operators", "SELECT unnest(['eq', 'ne', 'gt', 'lt', 'gte', 'lte', 'contains', 'not_contains', 'regex', 'exists', 'in', 'not_in', 'between', 'length_eq', 'length_gt', 'length_lt', 'is_expired', 'days_until_expiry']) AS operator")
-def _(spark, d):
-    return spark.createDataFrame([(n,) for n in list(R.OPERATORS)[:18]], "operator string")
-
-
-_DRAFTS = "name string, description string, rule_type string, category string, severity string, status string, conditions array<struct<field:string,operator:string,value:string>>, actions array<struct<type:string,message:string,fix_value:string>>, tags array<string>"
-
-
 @query(
     "rv_rule",
     """SELECT c_custkey::VARCHAR AS id, c_custkey % 3 <> 0 AND c_mktsegment <> 'BUILDING' AND c_custkey % 5 <> 0 AS valid,
@@ -231,8 +176,3 @@ def _(spark, d):
     k = F.col("o_orderkey")
     cats = F.array(F.char(k % 5 + 65), F.char(k % 3 + 97), F.lit("x"))
     return table(spark, d, "orders").select(k.alias("id"), S.deduction_score(cats).alias("score"))
-
-
-@query("sc_guide", "SELECT * FROM (VALUES ('A', 25), ('B', 20), ('C', 10), ('D', 5)) t(category, points)")
-def _(spark, d):
-    return spark.createDataFrame(list(S.POINTS.items()), "category string, points int")

@@ -10,7 +10,6 @@ from labelaudit.functions import extract as E
 from labelaudit.functions import html as H
 from labelaudit.functions import market as M
 from labelaudit.functions import patterns as P
-from labelaudit.operators import declarations as L
 from labelaudit.operators import rules as R
 from labelaudit.operators import scan as C
 from labelaudit.operators.audits import once
@@ -37,13 +36,13 @@ _TERMS = "list_filter(list_distinct(regexp_split_to_array(lower({x}), '\\s+')),
 @query(
     "scan_product",
     LISTINGS
-    + f""", s AS MATERIALIZED (SELECT k, product_name, label_text, {', '.join(f'{e} AS {n}' for n, e in SIMPLE_SQL.items())} FROM listings WHERE k % 10 = 0 OR k % 10 <> 0),
+    + f""", s AS MATERIALIZED (SELECT k, product_name, label_text, {', '.join(f'{e} AS {n}' for n, e in SIMPLE_SQL.items())} FROM listings),
     p AS (SELECT *, concat_ws(',', {_CODES}) AS codes, 100 - 20 * (mrp IS NULL)::INT - 20 * (quantity IS NULL)::INT - 20 * (manufacturer IS NULL)::INT - 10 * (country_of_origin IS NULL)::INT AS score FROM s),
     w AS (SELECT k, {_TERMS.format(x="concat_ws(' ', product_name, label_text)")} AS words FROM s), b AS (SELECT item_id, {_TERMS.format(x='text')} AS words FROM benchmark),
     m AS (SELECT k, item_id, len(list_intersect(w.words, b.words)) AS n FROM w, b), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, item_id) AS rn FROM m),
     c AS (SELECT k, string_agg(item_id::VARCHAR, ',' ORDER BY rn) AS clauses FROM r WHERE rn <= 3 GROUP BY k)
     SELECT k AS key, mrp, quantity, manufacturer, country_of_origin, codes, clauses, CASE WHEN codes = '' THEN {q(X.NO_VIOLATIONS[0])} ELSE {q(X.NO_MODEL[0])} END AS explanation, score,
-           CASE WHEN score >= 85 THEN 'Compliant' WHEN score >= 60 THEN 'Moderate Risk' ELSE 'High Risk' END AS risk FROM p JOIN c USING (k)""".replace(" WHERE k % 10 = 0 OR k % 10 <> 0", ""),
+           CASE WHEN score >= 85 THEN 'Compliant' WHEN score >= 60 THEN 'Moderate Risk' ELSE 'High Risk' END AS risk FROM p JOIN c USING (k)""",
 )
 def _(spark, d):
     rows = listings(spark, d).select(T("k").alias("key"), "product_name", T("label_text").alias("text"))
@@ -55,7 +54,7 @@ def _(spark, d):
 
 
 @query(
-    "join_chunk_sim",
+    "join_chunk_overlap",
     f"""WITH w AS (SELECT p_partkey, {_TERMS.format(x="concat_ws(' ', p_name, p_type)")} AS words FROM part), b AS (SELECT item_id, {_TERMS.format(x='text')} AS words FROM benchmark),
     r AS (SELECT p_partkey, item_id, row_number() OVER (PARTITION BY p_partkey ORDER BY len(list_intersect(w.words, b.words)) DESC, item_id) AS rn FROM w, b)
     SELECT p_partkey, string_agg(item_id::VARCHAR, ',' ORDER BY rn) AS clauses FROM r WHERE rn <= 2 GROUP BY 1""",
@@ -309,23 +308,6 @@ def _(spark, d):
     return R.rule_errors(drafts).select("id", F.array_join("errors", "; ").alias("errors"))
 
 
-_SCHEMA_ROWS = [(n, i, v) for n, values in R.validation_schema().items() for i, v in enumerate(values)]
-
-
-def constant(name: str, columns: str, rows: list[tuple]) -> None:
-    """A query that is a fixed table."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    shown = ", ".join("(" + ", ".join(q(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::INTEGER" for v in r) + ")" for r in rows)
-    query(name, f"SELECT * FROM (VALUES {shown}) t({', '.join(names)})")(lambda spark, d: spark.createDataFrame(rows, columns))
-
-
-constant("rv_schema", "list string, position int, value string", _SCHEMA_ROWS)
-constant("prj_category_list", "id string, name string, description string, rule_count int", [(c, *C.CATEGORY_NAMES[c], len(rules)) for c, (_, rules) in L.PACKS.items()])
-constant("oe_lang_table", "language string, code string, available boolean", [(n, c, c in ("eng", "hin", "tam")) for n, c in C.LANGUAGES.items()])
-constant("supported_fields", "name string, description string, category string", list(C.SUPPORTED_FIELDS))
-constant("cat_keywords", "category string, position int, keyword string", [(c, i, w) for c, words in C.SEARCH_WORDS.items() for i, w in enumerate(words)])
-
-
 # --- gates and small steps -----------------------------------------------------------------------------------------
 
 
@@ -390,8 +372,8 @@ def _(spark, d):
     return n.select("l_orderkey", C.refuse_over(50, "URLs", T("n")).alias("error"))
 
 
-@query("lim_images", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS images FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rn FROM lineitem) WHERE rn <= 3 GROUP BY 1")
+@query("lim_images", "SELECT l_suppkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY rn) AS images FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn <= 20 GROUP BY 1")
 def _(spark, d):
-    """The first pictures of each listing (here three; twenty in use)."""
-    first = F.slice(F.array_sort(F.collect_list("l_partkey")), 1, 3)
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("images"))
+    """The first twenty pictures of each listing in order of arrival."""
+    pictures = table(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("arrived"), T("l_partkey").cast("string").alias("picture"))
+    return C.first_pictures(pictures, "l_suppkey", "arrived", "picture").select("l_suppkey", F.array_join("pictures", ",").alias("images"))

@@ -67,11 +67,6 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.words(T("text"))).alias("words"))
 
 
-@query("tn_languages", "SELECT unnest(['english', 'hindi', 'tamil', 'telugu', 'kannada', 'marathi', 'bengali', 'gujarati', 'punjabi', 'malayalam']) AS language")
-def _(spark, d):
-    return spark.createDataFrame([(x,) for x in X.LANGUAGES], "language string")
-
-
 @query(
     "ui_clean_ocr",
     LISTINGS
@@ -226,11 +221,6 @@ def _(spark, d):
     return listings(spark, d).select("audit_id", c[0]["found"].alias("found_0"), c[0]["value"].alias("value_0"), c[1]["found"].alias("found_1"))
 
 
-@query("pm_describe", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(r).lower()})" for n, (r, _) in P.LABEL.items()) + ") t(name, required)")
-def _(spark, d):
-    return spark.createDataFrame([(n, r) for n, (r, _) in P.LABEL.items()], "name string, required boolean")
-
-
 # --- OCR dialect --------------------------------------------------------------------------------------------
 
 _on(
@@ -424,12 +414,6 @@ def _detect_sql(x: str) -> str:
 _on("vs_detect", f"{_detect_sql('label_text')} AS detected", lambda t: E.detect_category(t).alias("detected"))
 
 
-@query("prj_category_summary", "SELECT * FROM (VALUES ('food', 14, 12, 225), ('electronics', 14, 11, 185), ('cosmetics', 15, 12, 200), ('generic', 9, 7, 120)) t(category, rules, mandatory, mandatory_penalty)")
-def _(spark, d):
-    always = T("required") == "always"
-    return L.pack_frame(spark).groupBy("category").agg(F.count("*").cast("int").alias("rules"), F.count_if(always).cast("int").alias("mandatory"), F.sum(F.when(always, T("penalty"))).cast("int").alias("mandatory_penalty"))
-
-
 # --- simple dialect ---------------------------------------------------------------------------------------------
 
 _v, _u = D.cap("label_text", P.SIMPLE["quantity"]) + "::DOUBLE", f"lower({D.cap('label_text', P.SIMPLE['quantity'], 2)})"

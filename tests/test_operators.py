@@ -11,6 +11,7 @@ from labelaudit.functions import html as H
 from labelaudit.functions import market as M
 from labelaudit.functions import text as X
 from labelaudit.operators import queues as Q
+from labelaudit.operators import rate_limits
 from labelaudit.operators import regions as G
 from labelaudit.operators import retrieval as V
 from labelaudit.operators import rules as R
@@ -128,7 +129,7 @@ def test_html():
 def test_rate_limit(spark):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     hits = spark.createDataFrame(pd.DataFrame({"key": [1] * 5, "seq": range(5), "ts": [t(s) for s in (0, 10, 20, 59, 61)]})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    assert [r.allowed for r in Q.anchored_limit(hits, 2, 60).orderBy("seq").collect()] == [True, True, False, False, True]
+    assert [r.allowed for r in rate_limits.anchored_limit(hits, 2, 60).orderBy("seq").collect()] == [True, True, False, False, True]
 
 
 def test_csv_round_trip(spark, tmp_path):
