@@ -37,6 +37,21 @@ def bounded_queue(jobs: DataFrame, size: int, evict_highest: bool = False, order
     return first_seen(jobs, order=order).orderBy(by, order).limit(size)
 
 
+def arriving_queue(jobs: DataFrame, size: int, evict_highest: bool = True, order: str = "job_id") -> DataFrame:
+    """What a queue of `size` holds after jobs have come one by one, each address once: a job that finds it full drives out
+    one of the highest priority, the latest of these, or with `evict_highest` false one of the lowest.
+
+    The newcomer itself stays until the next one comes. So each arrival leaves, of all before it, the `size` - 1
+    that are last to be driven out, and the end state is these and the last arrival, without a walk through the jobs.
+    """
+    come = first_seen(jobs, order=order)
+    last = come.agg(F.max(order).alias("__last"))
+    seen = come.join(F.broadcast(last))  # one row
+    stays = [F.asc("priority") if evict_highest else F.desc("priority"), F.asc(order)]
+    before = seen.where(F.col(order) < F.col("__last")).orderBy(*stays).limit(size - 1)
+    return before.unionByName(seen.where(F.col(order) == F.col("__last"))).drop("__last")
+
+
 def stats(jobs: DataFrame) -> DataFrame:
     names = ("pending", "processing", "completed", "failed")
     return jobs.agg(*[F.count_if(F.col("status") == n).alias(n) for n in names], F.count_if(F.col("status").isin(*names)).alias("total"))

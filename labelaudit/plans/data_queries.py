@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,11 @@ from labelaudit.operators.analytics import grouped_counts
 from labelaudit.operators.joins import shared_folder
 from labelaudit.plans.registry import query
 from labelaudit.plans.rule_queries import TRIED, tried
-from labelaudit.plans.views import NOW
+from labelaudit.plans.views import AUDITS, JOBS, NOW, audits, jobs
+from labelaudit.sources import files, queue
 from labelaudit.sources.tables import AS_OF, table
+from labelaudit.sources.transactions import DuplicateKeyError, Table
+from labelaudit.streaming import live
 
 #: What the rules made of nations ask, one after the other: field, operator, value, other field.
 ASKED = (
@@ -235,3 +241,105 @@ def _(spark, d):
     """For each turn of a conversation the three documents that share most words with it."""
     found = C.with_clauses(table(spark, d, "conversations"), table(spark, d, "documents"), F.col("text"), 3, key="doc_id")
     return found.select("conv_id", "turn", F.array_join(F.transform("clauses", lambda c: c.cast("string")), ",").alias("clauses"))
+
+
+# --- sources and sinks that keep count ----------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@query(
+    "q_pop",
+    "WITH " + JOBS + """, p AS (SELECT job_id, url, row_number() OVER (ORDER BY job_id) - 1 AS place, count(*) OVER () AS n FROM jobs)
+    SELECT CASE WHEN place < 10 THEN 1 ELSE 2 END::INTEGER AS pop, place, job_id, url, CASE WHEN place < 10 THEN n - 10 ELSE 0 END AS left_over FROM p""",
+)
+def _(spark, d):
+    """All jobs are pushed in two segments; ten are popped, then, as if after a restart, all others."""
+    path, j = _folder(spark, "queue"), jobs(spark, d).select("job_id", "url")
+    half = j.agg(F.expr("percentile_approx(job_id, 0.5)")).first()[0] or 0
+    queue.push(j.where(F.col("job_id") <= half), path, "job_id")
+    queue.push(j.where(F.col("job_id") > half), path, "job_id")
+    shown = None
+    for number, n in ((1, 10), (2, 1 << 40)):
+        popped, left = queue.pop(spark, path, n), queue.length(spark, path)
+        rows = popped.select(F.lit(number).alias("pop"), "place", F.from_json("value", "job_id long, url string").alias("j"), F.lit(left).cast("long").alias("left_over"))
+        shown = rows if shown is None else shown.unionByName(rows)
+    return shown.select("pop", "place", "j.job_id", "j.url", "left_over")
+
+
+@query("snk_insert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_orderdate AS changed FROM orders WHERE o_orderkey % 7 <> 0")
+def _(spark, d):
+    """Orders inserted in two commits, an insert of keys that are there refused whole, some changed and some deleted."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("changed"))
+    kept = Table(spark, _folder(spark, "orders"), "id", 8)
+    kept.insert(rows.where("id % 2 = 0"))
+    kept.insert(rows.where("id % 2 = 1"))
+    try:
+        kept.insert(rows.where("id % 3 = 0").withColumn("status", F.lit("never")))
+    except DuplicateKeyError:
+        pass
+    kept.upsert(rows.where("id % 5 = 0").withColumn("status", F.lit("X")), "changed")
+    kept.delete(rows.where("id % 7 = 0"))
+    return kept.read()
+
+
+@query(
+    "src_csv_batch",
+    """WITH p AS (SELECT p_partkey AS k, p_name, p_type, p_brand FROM part)
+    SELECT 'listing' AS kind, 's' || k::VARCHAR AS seller_id, CASE WHEN k % 5 = 0 THEN 'a "b", ' || p_name ELSE p_name END AS product_name,
+           CASE WHEN k % 6 = 0 THEN 'two' || chr(10) || 'lines' WHEN k % 9 = 0 THEN '' ELSE p_type END AS description FROM p WHERE k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0
+    UNION ALL SELECT 'number of cells', 's' || k::VARCHAR, NULL, NULL FROM p WHERE k % 7 = 0 OR k % 11 = 0
+    UNION ALL SELECT 'not UTF-8', 's' || k::VARCHAR, NULL, NULL FROM p WHERE k % 13 = 0 AND k % 7 <> 0 AND k % 11 <> 0""",
+)
+def _(spark, d):
+    """Parts as uploaded CSV files, some lines with a cell too many or too few, quotes, line breaks and torn letters;
+    read back as listings and as rejected lines with the reason."""
+    k, c = F.col("p_partkey"), F.concat
+    seller = c(F.lit("s"), k.cast("string"))
+    product = F.when(k % 5 == 0, c(F.lit('"a ""b"", '), "p_name", F.lit('"'))).otherwise(F.col("p_name"))
+    about = F.when(k % 6 == 0, F.lit('"two\nlines"')).when(k % 9 == 0, "").otherwise(F.col("p_type"))
+    torn = F.when(k % 13 == 0, c(product, F.lit("\ufffd"))).otherwise(product)
+    line = F.when(k % 7 == 0, c(seller, F.lit(",a,b,c"))).when(k % 11 == 0, c(seller, F.lit(",a"))).otherwise(c(seller, F.lit(","), torn, F.lit(","), about))
+    path = _folder(spark, "uploads")
+    table(spark, d, "part").select(line.alias("value")).mapInArrow(_under_header, "value string").write.text(path)
+    _named_csv(spark, path)
+    good = files.read_batch_csv(spark, path).select(F.lit("listing").alias("kind"), "seller_id", "product_name", "description")
+    bad = files.rejected_csv(spark, path).select(F.col("reason").alias("kind"), F.regexp_extract("line", r"(s\d+)", 1).alias("seller_id"), F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("description"))
+    return good.unionByName(bad)
+
+
+def _under_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's lines, with the header before them."""
+    yield pa.RecordBatch.from_arrays([pa.array(["seller_id,product_name,description"])], names=["value"])
+    yield from batches
+
+
+def _named_csv(spark: SparkSession, path: str) -> None:
+    """Give the text files of a folder names that end with .csv."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(at):
+        name = s.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(s.getPath(), at.suffix(f"/{name[:-4]}.csv"))
+
+
+# --- the streams' aggregates, over a table -----------------------------------------------------------------------
+
+
+@query(
+    "live_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS events FROM s GROUP BY user_id, n""",
+)
+def _(spark, d):
+    found = live.sessions(table(spark, d, "events"))
+    return found.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "events")
+
+
+@query("live_trend", AUDITS + " SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS audits, round(avg(compliance_score), 6) AS average_score FROM audits GROUP BY 1")
+def _(spark, d):
+    return live.daily_trend(audits(spark, d)).select("date", "audits", F.round("average_score", 6).alias("average_score"))

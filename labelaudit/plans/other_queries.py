@@ -35,11 +35,28 @@ def _(spark, d):
     return Q.priority_order(jobs(spark, d), 10).select("url", "job_id", "priority")
 
 
-@query("q_overflow", _W + " SELECT url, job_id, priority FROM jobs QUALIFY row_number() OVER (PARTITION BY url ORDER BY job_id) = 1 ORDER BY priority DESC, job_id LIMIT 20")
+@query("q_bounded", _W + " SELECT url, job_id, priority FROM jobs QUALIFY row_number() OVER (PARTITION BY url ORDER BY job_id) = 1 ORDER BY priority DESC, job_id LIMIT 20")
 def _(spark, d):
     return Q.bounded_queue(jobs(spark, d), 20).select("url", "job_id", "priority")
 
 
+@query(
+    "q_overflow",
+    """WITH RECURSIVE """
+    + JOBS
+    + """, c AS (SELECT rtrim(url, '/') AS url, min(job_id) AS job_id, arg_min(priority, job_id) AS priority FROM jobs GROUP BY 1),
+    n AS (SELECT *, row_number() OVER (ORDER BY job_id) AS i FROM c),
+    q(i, held) AS (
+      SELECT 0::BIGINT, []::STRUCT(p INTEGER, j BIGINT, u VARCHAR)[]
+      UNION ALL
+      SELECT n.i, list_append(CASE WHEN len(held) >= 20 THEN list_sort(held)[:19] ELSE held END, {p: n.priority, j: n.job_id, u: n.url}) FROM q JOIN n ON n.i = q.i + 1
+    ) SELECT x.u AS url, x.j AS job_id, x.p AS priority FROM (SELECT unnest(held) AS x FROM q WHERE i = (SELECT max(i) FROM q))""",
+)
+def _(spark, d):
+    """A queue of twenty that drives one out at each arrival once it is full."""
+    return Q.arriving_queue(jobs(spark, d), 20).select("url", "job_id", "priority")
+
+
 @query("q_peek", _W + " SELECT job_id FROM jobs ORDER BY job_id LIMIT 10")
 def _(spark, d):
     return jobs(spark, d).select("job_id").orderBy("job_id").limit(10)

@@ -4,14 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CSV = {"seller_id": "unknown", "product_name": "Unnamed Product", "description": "", "packaging_text": ""}
 
 
-def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded listings; a column that is missing takes its default, a blank cell is the empty text."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").option("escape", "\"").csv(path)
-    return raw.select(*[(F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit(v)).alias(c) for c, v in CSV.items()])
+def read_batch_csv(spark: SparkSession, path: str, blank: str = "") -> DataFrame:
+    """Uploaded listings; a column that is missing takes its default, a blank cell `blank`. Rows that `rejected_csv`
+    names are left out."""
+    rows = _uploaded(spark, path)
+    there = set(rows.columns)
+    cells = [(F.coalesce(F.col(c), F.lit(blank)) if c in there else F.lit(v)).alias(c) for c, v in CSV.items()]
+    return rows.where(F.col("__reason").isNull()).select(*cells)
+
+
+def rejected_csv(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, reason of the uploaded rows that are no listing: too many or too few cells, or bytes that are no
+    UTF-8. What was uploaded is kept as it is, so it can be put right and uploaded again."""
+    rows = _uploaded(spark, path).where(F.col("__reason").isNotNull())
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.coalesce("__line", F.to_csv(F.struct(*[c for c in rows.columns if c not in ("__line", "__reason")]))).alias("line"), F.col("__reason").alias("reason"))
+
+
+def _uploaded(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of CSV files with the columns of their header, what is wrong with them, and the line if it could not be
+    read. Cells may hold line breaks between quotes, so a file is read by one task; uploads are many files."""
+    options = {"header": True, "pathGlobFilter": "*.csv", "escape": '"', "multiLine": True}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("__line", T.StringType())])
+    # without pruning, so that a row's cells are counted whichever columns are asked for
+    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="__line", columnPruning=False, enforceSchema=True).schema(schema).csv(path)
+    torn = F.exists(F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]), lambda c: F.contains(c, F.lit("\ufffd")))
+    return rows.withColumn("__reason", F.when(F.col("__line").isNotNull(), "number of cells").when(torn, "not UTF-8"))
 
 
 def merged_text(*parts: F.Column) -> F.Column:
