@@ -224,7 +224,7 @@ SIMPLE = {
 
 # --- category detection -------------------------------------------------------------------------------
 CATEGORY_KEYWORDS = {
-    "food": "food edible oil snack biscuit juice beverage drink cereal flour rice dal spice sauce chocolate candy milk dairy cheese butter ghee tea coffee water noodle pasta".split(),
+    "food": ["food", "edible", "oil", "snack", "biscuit", "juice", "beverage", "drink", "cereal", "flour", "rice", "dal", "spice", "sauce", "chocolate", "candy", "milk", "dairy", "cheese", "butter", "ghee", "tea", "coffee", "water", "noodle", "pasta"],
     "electronics": ["phone", "mobile", "laptop", "computer", "charger", "cable", "earphone", "headphone", "speaker", "television", "tv", "refrigerator", "fridge", "washing machine", "ac", "air conditioner", "fan", "heater", "iron", "mixer", "grinder", "microwave", "camera", "printer", "router", "power bank", "tablet", "watch", "smart"],
     "cosmetics": ["cream", "lotion", "serum", "shampoo", "conditioner", "soap", "facewash", "face wash", "moisturizer", "sunscreen", "lipstick", "mascara", "foundation", "perfume", "deodorant", "body wash", "hair oil", "gel", "makeup", "nail polish", "skincare", "haircare", "beauty", "cosmetic", "toiletry"],
 }
@@ -233,18 +233,22 @@ IMPORTED = r"\bimport(?:ed|er)?\b"
 
 # --- region dialect: alternatives in the order of their groups ---------------------------------------
 _R_DATE = r"[0-9]{1,2}[\/\-\.][0-9]{1,2}[\/\-\.][0-9]{2,4}|[0-9]{1,2}[\/\-][0-9]{2,4}|[A-Za-z]{3,9}[\s,]*[0-9]{1,2}[,]?\s*[0-9]{2,4}|[0-9]{1,2}[\s\-]*[A-Za-z]{3,9}[\s,]*[0-9]{2,4}"
-_FIRM = r"(?:Ltd\.?|Pvt\.?|Inc\.?|LLC|Co\.?|Corporation|Industries)?"
 REGION = {
     "mrp": r"(?:MRP|M\.R\.P\.?|Price|PRICE)[\s:₹.]*[₹Rs.]*\s*([0-9,]+(?:\.[0-9]{1,2})?)|[₹][\s]*([0-9,]+(?:\.[0-9]{1,2})?)|Rs\.?\s*([0-9,]+(?:\.[0-9]{1,2})?)",
     "net_quantity": r"(?:Net\s*(?:Wt\.?|Weight|Qty\.?|Quantity|Contents?)|Contents?)[\s:]*([0-9]+(?:\.[0-9]+)?\s*(?:g|gm|gms|kg|kgs|ml|mL|l|L|ltr|litre|liters?|oz|lb)s?)|([0-9]+(?:\.[0-9]+)?\s*(?:g|gm|gms|kg|kgs|ml|mL|l|L|ltr|litre|liters?))\b",
     "manufacture_date": r"(?:Mfg\.?|Mfd\.?|Manufacturing|Manufactured|Packed|Packing|Pkg\.?)[\s:]*(?:Date)?[\s:]*(" + _R_DATE + ")",
     "expiry_date": r"(?:Exp\.?|Expiry|Expires?|Best\s*Before|BB|Use\s*By|Use\s*Before)[\s:]*(?:Date)?[\s:]*(" + _R_DATE + r"|[0-9]+\s*(?:months?|days?|years?)\s*(?:from\s*(?:mfg|manufacturing|packing))?)",
     "country_of_origin": r"(?:Country\s*of\s*Origin|Made\s*in|Product\s*of|Manufactured\s*in|Origin)[\s:]*([A-Za-z]+(?:\s+[A-Za-z]+)?)",
-    "manufacturer": r"(?:Mfg\.?\s*(?:by)?|Manufactured\s*by|Packed\s*by|Packer|Marketer|Marketed\s*by)[\s:]*([A-Za-z0-9][A-Za-z0-9\s,\.&\-]+" + _FIRM + ")",
+    "manufacturer": r"(?:Mfg\.?\s*(?:by)?|Manufactured\s*by|Packed\s*by|Packer|Marketer|Marketed\s*by)[\s:]*([A-Za-z0-9][A-Za-z0-9\s,\.&\-]+(?:Ltd\.?|Pvt\.?|Inc\.?|LLC|Co\.?|Corporation|Industries)?)",
     "importer": r"(?:Imported\s*by|Importer)[\s:]*([A-Za-z0-9][A-Za-z0-9\s,\.&\-]+(?:Ltd\.?|Pvt\.?|Inc\.?|LLC|Co\.?)?)",
     "consumer_care": r"(?:Consumer\s*Care|Customer\s*Care|Helpline|Contact|Toll\s*Free)[\s:]*([0-9\-\+\s\(\)]{8,20})|(?:1800[\-\s]*[0-9\-\s]{6,12})",
     "batch_number": r"(?:Batch|Lot|B\.?\s*No\.?|L\.?\s*No\.?)[\s:]*([A-Za-z0-9\-\/]{4,20})",
     "fssai_license": r"(?:FSSAI|Lic\.?\s*No\.?|License\s*No\.?)[\s:]*([0-9]{10,14})|\b([0-9]{14})\b",
     "bis_certification": r"(?:BIS|ISI|IS[\s:]*[0-9]+)[\s:]*([A-Za-z0-9\-\/]+)|(?:R-[0-9]{7,})",
 }
-REGION_DATES = "(" + _R_DATE.replace("|", ")|(") + ")"
+REGION_DATES = (
+    r"([0-9]{1,2}[\/\-\.][0-9]{1,2}[\/\-\.][0-9]{2,4})|"
+    r"([0-9]{1,2}[\/\-][0-9]{2,4})|"
+    r"([A-Za-z]{3,9}[\s,]*[0-9]{1,2}[,]?\s*[0-9]{2,4})|"
+    r"([0-9]{1,2}[\s\-]*[A-Za-z]{3,9}[\s,]*[0-9]{2,4})"
+)

@@ -2,79 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelaudit.operators.scoring import ocr_level
 
-BOXES = "image_id long, box_no int, x int, y int, width int, height int"
+_RECT = "struct<l: int, t: int, r: int, b: int>"
+
+
+def _per_picture(boxes: DataFrame) -> DataFrame:
+    """image_id, boxes: a picture's boxes, some dozens, in order of their numbers."""
+    names = ["box_no", "x", "y", "width", "height"]
+    return boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(n).cast("int").alias(n) for n in names]))).alias("boxes"))
+
+
+def _area(r: Column) -> Column:
+    return (r["r"] - r["l"]) * (r["b"] - r["t"])
 
 
-def _merged(boxes: list[tuple[int, int, int, int]], share: float) -> list[tuple[int, int, int, int]]:
-    """Left to right over the list: a box takes in each later one that it overlaps by more than `share` of the smaller."""
-    gone: set[int] = set()
-    out = []
-    for i, box in enumerate(boxes):
-        if i in gone:
-            continue
-        l, t, r, b = box
-        for j in range(i + 1, len(boxes)):
-            if j in gone:
-                continue
-            l2, t2, r2, b2 = boxes[j]
-            w, h = min(r, r2) - max(l, l2), min(b, b2) - max(t, t2)
-            if w > 0 and h > 0 and w * h / min((r - l) * (b - t), (r2 - l2) * (b2 - t2)) > share:
-                l, t, r, b = min(l, l2), min(t, t2), max(r, r2), max(b, b2)
-                gone.add(j)
-        out.append((l, t, r, b))
-    return out
+def _takes_in(a: Column, b: Column, share: float) -> Column:
+    """Whether two boxes overlap by more than `share` of the smaller."""
+    w = F.least(a["r"], b["r"]) - F.greatest(a["l"], b["l"])
+    h = F.least(a["b"], b["b"]) - F.greatest(a["t"], b["t"])
+    return (w > 0) & (h > 0) & (w * h / F.least(_area(a), _area(b)) > share)
 
 
-def _per_picture(boxes: DataFrame, work, schema: str) -> DataFrame:
-    """Rows of `work(image_id, boxes)` for each picture; its boxes, some dozens, travel as one array."""
-    rows = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_no", "x", "y", "width", "height"))).alias("boxes"))
-    names = [c.split()[0] for c in schema.split(", ")]
+def _around(a: Column, b: Column) -> Column:
+    low, high = ("l", "t"), ("r", "b")
+    return F.struct(*[F.least(a[n], b[n]).alias(n) for n in low], *[F.greatest(a[n], b[n]).alias(n) for n in high])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [r for image, b in zip(f["image_id"], f["boxes"], strict=True) for r in work(image, [(x["box_no"], x["x"], x["y"], x["width"], x["height"]) for x in b])]
-            yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(run, schema)
+def merged_rects(rects: Column, share: float = 0.5) -> Column:
+    """From left to right over the list: a box takes in each later one that it overlaps, growing as it does. A fold whose
+    steps take the first box that is left and fold the others into it."""
+    none = F.array().cast(f"array<{_RECT}>")
 
+    def one(state: Column, _: Column) -> Column:
+        head, others = F.get(state["left"], F.lit(0)), F.slice(state["left"], F.lit(2), F.greatest(F.size(state["left"]) - 1, F.lit(0)))
 
-def merged_boxes(image: int, boxes: list[tuple], share: float = 0.5) -> list[tuple]:
-    found = _merged([(x, y, x + w, y + h) for _, x, y, w, h in boxes], share)
-    return [(image, n, l, t, r - l, b - t) for n, (l, t, r, b) in enumerate(found)]
+        def against(held: Column, box: Column) -> Column:
+            hit = _takes_in(held["now"], box, share)
+            return F.struct(
+                F.when(hit, _around(held["now"], box)).otherwise(held["now"]).alias("now"), F.when(hit, held["kept"]).otherwise(F.array_append(held["kept"], box)).alias("kept")
+            )
 
+        run = F.aggregate(others, F.struct(head.alias("now"), none.alias("kept")), against)
+        step = F.transform(F.array(run), lambda x: F.struct(x["kept"].alias("left"), F.array_append(state["out"], x["now"]).alias("out")))
+        return F.when(F.size(state["left"]) > 0, F.get(step, F.lit(0))).otherwise(state)
 
-def merge_boxes(boxes: DataFrame) -> DataFrame:
-    """Merged boxes of each picture."""
-    return _per_picture(boxes, merged_boxes, BOXES)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(rects), F.lit(1))), F.struct(rects.alias("left"), none.alias("out")), one, lambda s: s["out"])
 
 
-def ordered_boxes(image: int, boxes: list[tuple]) -> list[tuple]:
-    reach = sum(b[4] for b in boxes) / len(boxes) * 0.5
-    rows: list[list[tuple]] = []
-    at = None
-    for box in sorted(boxes, key=lambda b: b[2]):
-        centre = box[2] + box[4] // 2
-        if rows and abs(centre - at) < reach:
-            rows[-1].append(box)
-        else:
-            rows.append([box])
-            at = centre
-    flat = [(n, b) for n, row in enumerate(rows) for b in sorted(row, key=lambda b: b[1])]
-    return [(image, b[0], n, position) for position, (n, b) in enumerate(flat)]
+def merge_boxes(boxes: DataFrame, share: float = 0.5) -> DataFrame:
+    """image_id, box_no, x, y, width, height: merged boxes of each picture."""
+    rect = lambda b: F.struct(b["x"].alias("l"), b["y"].alias("t"), (b["x"] + b["width"]).alias("r"), (b["y"] + b["height"]).alias("b"))
+    found = _per_picture(boxes).withColumn("rects", F.transform("boxes", rect)).withColumn("rects", F.col("rects").cast(f"array<{_RECT}>"))
+    each = found.select("image_id", F.posexplode(merged_rects(F.col("rects"), share)).alias("box_no", "o"))
+    return each.select("image_id", "box_no", F.col("o.l").alias("x"), F.col("o.t").alias("y"), (F.col("o.r") - F.col("o.l")).alias("width"), (F.col("o.b") - F.col("o.t")).alias("height"))
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
-    """Boxes numbered row by row, each row left to right; a row's boxes have their centres within half the
-    mean height of the centre of its first."""
-    return _per_picture(boxes, ordered_boxes, "image_id long, box_no int, row int, position int")
+    """image_id, box_no, row, position: boxes numbered row by row, each row left to right; a row's boxes have their
+    centres within half the mean height of the centre of its first."""
+    heights = F.aggregate("boxes", F.lit(0).cast("long"), lambda s, b: s + b["height"])
+    reach = heights / F.size("boxes") * 0.5
+    down = F.array_sort(F.transform("boxes", lambda b, i: F.struct(b["y"].alias("y"), i.alias("i"), b["x"].alias("x"), b["height"].alias("height"), b["box_no"].alias("box_no"))))
+
+    def place(state: Column, box: Column) -> Column:
+        centre = box["y"] + F.floor(box["height"] / 2).cast("int")
+        same = (state["row"] >= 0) & (F.abs(centre - state["at"]) < F.col("reach"))
+        row = F.when(same, state["row"]).otherwise(state["row"] + 1)
+        spot = F.struct(row.alias("row"), box["x"].alias("x"), F.size(state["out"]).alias("nth"), box["box_no"].alias("box_no"))
+        return F.struct(row.alias("row"), F.when(same, state["at"]).otherwise(centre).alias("at"), F.array_append(state["out"], spot).alias("out"))
+
+    none = F.array().cast("array<struct<row: int, x: int, nth: int, box_no: int>>")
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0).alias("at"), none.alias("out"))
+    found = _per_picture(boxes).withColumn("reach", reach).withColumn("down", down)
+    placed = found.select("image_id", F.posexplode(F.array_sort(F.aggregate("down", start, place, lambda s: s["out"]))).alias("position", "o"))
+    return placed.select("image_id", "o.box_no", "o.row", "position")
 
 
 def region_text(words: DataFrame, least: float = 60.0) -> DataFrame:

@@ -234,12 +234,42 @@ def boxes(spark, d):
     )
 
 
-@query("ao_merge_boxes")
+_BOXES = """WITH RECURSIVE b AS (SELECT l_orderkey AS image_id, (l_partkey % 1000)::INTEGER AS box_no, (l_partkey % 97)::INTEGER AS x, (l_suppkey % 89)::INTEGER AS y,
+  (l_partkey % 40 + 5)::INTEGER AS width, (l_partkey % 20 + 5)::INTEGER AS height FROM lineitem)"""
+
+
+@query(
+    "ao_merge_boxes",
+    _BOXES
+    + """, p AS (SELECT image_id, list({l: x, t: y, r: x + width, b: y + height} ORDER BY box_no, x, y, width, height) AS rects FROM b GROUP BY image_id),
+    s(image_id, now, scan, kept, done) AS (
+      SELECT image_id, rects[1], rects[2:], []::STRUCT(l INTEGER, t INTEGER, r INTEGER, b INTEGER)[], []::STRUCT(l INTEGER, t INTEGER, r INTEGER, b INTEGER)[] FROM p
+      UNION ALL
+      SELECT image_id, CASE WHEN len(scan) = 0 THEN kept[1] WHEN hit THEN {l: least(now.l, o.l), t: least(now.t, o.t), r: greatest(now.r, o.r), b: greatest(now.b, o.b)} ELSE now END,
+             CASE WHEN len(scan) = 0 THEN kept[2:] ELSE scan[2:] END, CASE WHEN len(scan) = 0 THEN []::STRUCT(l INTEGER, t INTEGER, r INTEGER, b INTEGER)[] WHEN hit THEN kept ELSE list_append(kept, o) END,
+             CASE WHEN len(scan) = 0 THEN list_append(done, now) ELSE done END
+      FROM (SELECT *, w > 0 AND h > 0 AND w * h / least((now.r - now.l) * (now.b - now.t), (o.r - o.l) * (o.b - o.t))::DOUBLE > 0.5 AS hit
+            FROM (SELECT *, scan[1] AS o, least(now.r, scan[1].r) - greatest(now.l, scan[1].l) AS w, least(now.b, scan[1].b) - greatest(now.t, scan[1].t) AS h FROM s WHERE now IS NOT NULL))
+    ), f AS (SELECT image_id, unnest(done) AS o, generate_subscripts(done, 1) - 1 AS box_no FROM s WHERE now IS NULL)
+    SELECT image_id, box_no::INTEGER AS box_no, o.l AS x, o.t AS y, o.r - o.l AS width, o.b - o.t AS height FROM f""",
+)
 def _(spark, d):
     return G.merge_boxes(boxes(spark, d))
 
 
-@query("ao_sort_boxes")
+@query(
+    "ao_sort_boxes",
+    _BOXES
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY box_no, x, y, width, height) AS k, avg(height) OVER (PARTITION BY image_id) * 0.5 AS reach FROM b),
+    d AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, k) AS i, y + height // 2 AS centre FROM n),
+    r(image_id, i, line, mid) AS (
+      SELECT image_id, i, 0, centre FROM d WHERE i = 1
+      UNION ALL
+      SELECT d.image_id, d.i, CASE WHEN abs(d.centre - r.mid) < d.reach THEN line ELSE line + 1 END, CASE WHEN abs(d.centre - r.mid) < d.reach THEN r.mid ELSE d.centre END
+      FROM r JOIN d ON d.image_id = r.image_id AND d.i = r.i + 1
+    )
+    SELECT d.image_id, d.box_no, r.line::INTEGER AS row, (row_number() OVER (PARTITION BY d.image_id ORDER BY r.line, d.x, d.i) - 1)::INTEGER AS position FROM d JOIN r ON r.image_id = d.image_id AND r.i = d.i""",
+)
 def _(spark, d):
     return G.reading_order(boxes(spark, d))
 

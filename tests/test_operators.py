@@ -98,9 +98,13 @@ def test_deductions(spark):
     assert one(spark, F.size(S.flag_violations(flags)), s="") == 7
 
 
-def test_boxes():
-    assert G._merged([(0, 0, 10, 10), (1, 1, 9, 9), (20, 20, 30, 30)], 0.5) == [(0, 0, 10, 10), (20, 20, 30, 30)]
-    assert [r[1] for r in G.ordered_boxes(1, [(0, 50, 1, 10, 10), (1, 5, 2, 10, 10), (2, 0, 40, 10, 10)])] == [1, 0, 2]
+def test_boxes(spark):
+    boxes = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "image_id long, box_no int, x int, y int, width int, height int")
+    merged = G.merge_boxes(boxes([(0, 0, 0, 10, 10), (1, 1, 1, 8, 8), (2, 20, 20, 10, 10), (3, 9, 9, 3, 3), (4, 7, 7, 4, 4), (5, 9, 9, 2, 2)]))
+    assert sorted(tuple(r)[1:] for r in merged.collect()) == [(0, 0, 0, 11, 11), (1, 20, 20, 10, 10), (2, 9, 9, 3, 3)]
+    placed = G.reading_order(boxes([(0, 50, 1, 10, 10), (1, 5, 2, 10, 10), (2, 0, 40, 10, 10)]))
+    assert [(r.box_no, r.row) for r in placed.orderBy("position").collect()] == [(1, 0), (0, 0), (2, 1)]
+    assert G.merge_boxes(boxes([])).count() == 0 == G.reading_order(boxes([])).count()
 
 
 def test_split_text():
