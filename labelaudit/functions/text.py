@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -142,3 +143,31 @@ def sql_cleanup(x: str) -> str:
 def sql_normalise(x: str) -> str:
     """For text without composed forms, control characters and foreign numerals."""
     return sql_cleanup(sql_special(sql_units(sql_whitespace(f"coalesce({x}, '')"))))
+
+
+def _compatible() -> dict[str, str]:
+    """The characters that compatibility decomposition alone replaces, by Python's tables."""
+    forms = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return {c: k for c, k in forms if k != c and unicodedata.normalize("NFC", c) == c}
+
+
+def sql_nfkc(x: str) -> str:
+    """NFC of the text with those characters replaced, which is NFKC; looked up only in texts that hold one."""
+    table = _compatible()
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    held = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in table) + "]"
+    keys, values = (", ".join(map(quoted, part)) for part in (table.keys(), table.values()))
+    mapped = f"array_to_string(list_transform(string_split({x}, ''), lambda c: coalesce(map([{keys}], [{values}])[c], c)), '')"
+    return f"nfc_normalize(CASE WHEN regexp_matches({x}, {quoted(held)}) THEN {mapped} ELSE {x} END)"
+
+
+def sql_whole(x: str, lowercase: bool = False) -> str:
+    """The whole chain."""
+    x = f"translate({x}, '०१२३४५६७८९', '0123456789')"
+    x = rf"regexp_replace({sql_whitespace(x)}, '([\n\r\t ])|[\p{{C}}\p{{Z}}]', '\1', 'g')"
+    x = sql_special(sql_units(x))
+    return sql_cleanup(f"lower({x})" if lowercase else x)
+
+
+def sql_comparable(x: str) -> str:
+    return sql_strip(_sub(_sub(sql_whole(x, True), r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s]", ""), r"\s+", " "))

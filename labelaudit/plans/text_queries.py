@@ -42,13 +42,15 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", X.word_count(T("text")).alias("word_count"), F.length("text").alias("char_count"))
 
 
-@query("tn_normalize")
+_FORMS = f"WITH n AS MATERIALIZED (SELECT doc_id, {X.sql_nfkc("coalesce(text, '')")} AS t FROM documents)"
+
+
+@query("tn_normalize", _FORMS + f" SELECT doc_id, md5({X.sql_whole('t')}) AS digest FROM n")
 def _(spark, d):
-    """With NFKC, which DuckDB lacks."""
     return docs(spark, d).select("doc_id", F.md5(X.normalise(T("text"))).alias("digest"))
 
 
-@query("tn_compare")
+@query("tn_compare", _FORMS + f" SELECT doc_id, md5({X.sql_comparable('t')}) AS digest FROM n")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.md5(X.comparable(T("text"))).alias("digest"))
 
