@@ -97,7 +97,9 @@ def blocks_of(vectors: DataFrame, pivots: np.ndarray, block: int) -> tuple[DataF
     placed = durable(same.mapInArrow(assign, "id long, v array<double>, cell int, gap double, len double"))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
     rings = F.ceil(F.col("n") / block).cast("int")  # of equal numbers, by the distance to the pivot
-    cuts = placed.join(F.broadcast(sizes.select("cell", rings.alias("rings"))), "cell").groupBy("cell", "rings").agg(F.percentile_approx("gap", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 2000).alias("__cuts"))
+    shares = F.array(*[F.lit(i / 256) for i in range(1, 256)])
+    ringed = placed.join(F.broadcast(sizes.select("cell", rings.alias("rings"))), "cell")
+    cuts = ringed.groupBy("cell", "rings").agg(F.percentile_approx("gap", shares, 2000).alias("__cuts"))
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.col("rings"), F.lit(1))), lambda i: F.get("__cuts", F.least(F.floor(i * 256 / F.col("rings")).cast("int") - 1, F.lit(254))))
     cuts = cuts.select("cell", "rings", F.slice(every, 1, F.greatest(F.least("rings", F.lit(256)) - 1, F.lit(0))).alias("cuts"))
     ring = F.size(F.filter("cuts", lambda c: c < F.col("gap")))

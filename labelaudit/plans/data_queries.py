@@ -133,7 +133,11 @@ _PATHS = ("status", "detail.parts.0.no", "detail.parts.1.name", "detail.parts.5.
 
 @query(
     "prj_nested",
-    TRIED + _DOCS + ", p AS (SELECT id, [" + ", ".join(f"'{p}'" for p in _PATHS) + f"][id % {len(_PATHS)} + 1] AS path, doc FROM docs) SELECT id, path, json_extract_string(doc, '/' || replace(path, '.', '/')) AS value FROM p",
+    TRIED
+    + _DOCS
+    + ", p AS (SELECT id, ["
+    + ", ".join(f"'{p}'" for p in _PATHS)
+    + f"][id % {len(_PATHS)} + 1] AS path, doc FROM docs) SELECT id, path, json_extract_string(doc, '/' || replace(path, '.', '/')) AS value FROM p",
 )
 def _(spark, d):
     """What each order's document has at a path that the row itself names."""
@@ -230,7 +234,8 @@ _WORDS = "list_filter(list_distinct(regexp_split_to_array(lower({x}), '\\s+')),
 
 @query(
     "join_clause_index",
-    f"""WITH w AS (SELECT conv_id, turn, {_WORDS.format(x="coalesce(text, '')")} AS words FROM conversations), b AS (SELECT doc_id, unnest({_WORDS.format(x="coalesce(text, '')")}) AS word FROM documents),
+    f"""WITH w AS (SELECT conv_id, turn, {_WORDS.format(x="coalesce(text, '')")} AS words FROM conversations),
+    b AS (SELECT doc_id, unnest({_WORDS.format(x="coalesce(text, '')")}) AS word FROM documents),
     m AS (SELECT conv_id, turn, doc_id, count(*) AS n FROM (SELECT conv_id, turn, unnest(words) AS word FROM w) JOIN b USING (word) GROUP BY ALL),
     z AS (SELECT conv_id, turn, doc_id, 0 AS n FROM w, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3)),
     a AS (SELECT conv_id, turn, doc_id, max(n) AS n FROM (SELECT * FROM m UNION ALL SELECT * FROM z) GROUP BY ALL),
@@ -306,7 +311,9 @@ def _(spark, d):
     table(spark, d, "part").select(line.alias("value")).mapInArrow(_under_header, "value string").write.text(path)
     _named_csv(spark, path)
     good = files.read_batch_csv(spark, path).select(F.lit("listing").alias("kind"), "seller_id", "product_name", "description")
-    bad = files.rejected_csv(spark, path).select(F.col("reason").alias("kind"), F.regexp_extract("line", r"(s\d+)", 1).alias("seller_id"), F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("description"))
+    none = F.lit(None).cast("string")
+    seller = F.regexp_extract("line", r"(s\d+)", 1).alias("seller_id")
+    bad = files.rejected_csv(spark, path).select(F.col("reason").alias("kind"), seller, none.alias("product_name"), none.alias("description"))
     return good.unionByName(bad)
 
 

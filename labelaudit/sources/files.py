@@ -22,7 +22,8 @@ def rejected_csv(spark: SparkSession, path: str) -> DataFrame:
     """file, line, reason of the uploaded rows that are no listing: too many or too few cells, or bytes that are no
     UTF-8. What was uploaded is kept as it is, so it can be put right and uploaded again."""
     rows = _uploaded(spark, path).where(F.col("__reason").isNotNull())
-    return rows.select(F.col("_metadata.file_name").alias("file"), F.coalesce("__line", F.to_csv(F.struct(*[c for c in rows.columns if c not in ("__line", "__reason")]))).alias("line"), F.col("__reason").alias("reason"))
+    cells = F.to_csv(F.struct(*[c for c in rows.columns if c not in ("__line", "__reason")]))
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.coalesce("__line", cells).alias("line"), F.col("__reason").alias("reason"))
 
 
 def _uploaded(spark: SparkSession, path: str) -> DataFrame:
