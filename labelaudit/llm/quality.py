@@ -38,7 +38,7 @@ FIT_CHUNKS = 256
 THRESHOLD = 0.7
 PAD = 256
 #: Bytes worked off at once; a multiple of STEP.
-BLOCK = 384 * 512
+BLOCK = 384 * 128
 
 
 @dataclass
