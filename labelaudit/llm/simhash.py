@@ -20,8 +20,11 @@ split such keys over many tasks.
 The pipeline's stage links by the Jaccard similarity of the sets of shingles, and the trees only name
 candidates. Shards are dealt by bands of minima: sets similar to s agree on a band of k with chance s**k,
 whatever their size. Each candidate is held against the exact sets before it links. First every set is
-checked with a few of its candidates, which joins large groups at little cost; then all candidates that
-are not in one component yet are checked, so no candidate goes unchecked that could join two.
+checked with a few of its candidates, which joins large groups at little cost. Then come all pairs whose
+components differ: where a task finds some, their sets' sizes and parity bitmaps are fetched, by which most
+pairs that are not similar enough are refuted on the spot, without loss. What is left is checked, in rounds where
+it is much; a round leaves out the pairs whose components have met, so no candidate goes unchecked that could
+join two.
 
 Defined cases: null text is empty; texts without words have fingerprint zero and link like any other;
 fewer words than a shingle make one shingle of all; rows that repeat share a fingerprint and a
@@ -48,13 +51,15 @@ SHINGLE = 4
 RADIUS = 4
 CHUNK = 4096
 #: Pairs of a search held at a time.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 19
 #: Rows of whole shards searched at a time.
 HELD = 1 << 16
 #: Links of an item to others of its shard, beside the one to its parent.
 FANOUT = 16
 #: Rows of a label that are no burden for a task of the component loop.
 LOOPED = 200_000
+#: Partitions that are enough for so many rows.
+FEW = 8
 #: Fingerprints a shard may hold on average before more blocks are used.
 SHARD = 512
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -180,26 +185,35 @@ class Forest:
         return low, high
 
     def _search(self, asking, radius, label, low, high) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        stack = [(asking, self.root[asking])]
+        """Pairs within the radius of the items asking, at most FRONTIER pairs of item and node at a time. On the stack
+        are nodes to test, or ranges of children that are yet to become such."""
+        stack = [(asking, self.root[asking], None)]
         while stack:
-            q, node = stack.pop()
-            if len(q) > FRONTIER:
-                stack += [(q[FRONTIER:], node[FRONTIER:])]
-                q, node = q[:FRONTIER], node[:FRONTIER]
-            todo = ~((low[node] == high[node]) & (low[node] == label[q]))
-            q, node = q[todo], node[todo]
+            q, at, n = stack.pop()
+            if n is not None:  # children at .. at + n of a node that is tested already
+                fit = max(1, int(np.searchsorted(np.cumsum(n), FRONTIER, side="right")))
+                if fit < len(n):
+                    stack.append((q[fit:], at[fit:], n[fit:]))
+                    q, at, n = q[:fit], at[:fit], n[:fit]
+                total = int(n.sum())
+                child = np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
+                q, at = np.repeat(q, n), self.children[child]
+            elif len(q) > FRONTIER:
+                stack.append((q[FRONTIER:], at[FRONTIER:], None))
+                q, at = q[:FRONTIER], at[:FRONTIER]
+            todo = ~((low[at] == high[at]) & (low[at] == label[q]))
+            q, at = q[todo], at[todo]
             if not len(q):
                 continue
-            d = distance(self.items[q], self.items[node])
-            hit = (d <= radius) & (q != node)
+            d = distance(self.items[q], self.items[at])
+            hit = (d <= radius) & (q != at)
             if hit.any():
-                yield q[hit], node[hit]
-            lo = np.searchsorted(self.keys, node * self.span + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.keys, node * self.span + np.minimum(d + radius, self.span - 1), side="right")
-            n = hi - lo
-            if n.sum():
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                stack.append((np.repeat(q, n), self.children[at]))
+                yield q[hit], at[hit]
+            lo = np.searchsorted(self.keys, at * self.span + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.keys, at * self.span + np.minimum(d + radius, self.span - 1), side="right") - lo
+            more = n > 0
+            if more.any():
+                stack.append((q[more], lo[more], n[more]))
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -333,14 +347,17 @@ def connect(links: DataFrame) -> DataFrame:
     """fp, root for every fingerprint that has a link; the root is the smallest fingerprint reachable."""
     links = durable(links)
     both = durable(links.select(F.col("fp").alias("a"), F.col("other").alias("b")).unionByName(links.select(F.col("other").alias("a"), F.col("fp").alias("b"))))
-    label = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
-    # where all rows together are no burden for a task, no key of theirs can be
-    join = (lambda rows, table, key, by: rows.join(table, key)) if both.count() <= LOOPED else (lambda rows, table, key, by: skew_join(rows, table, key, [by], n=None, least=LOOPED))
+    # where all rows together are no burden for a task, no key of theirs can be, and a few files hold them
+    few = both.count() <= LOOPED
+    join = (lambda rows, table, key, by: rows.join(table, key)) if few else (lambda rows, table, key, by: skew_join(rows, table, key, [by], n=None, least=LOOPED))
+    kept = (lambda df: durable(df.coalesce(FEW))) if few else durable
+    both = kept(both)
+    label = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
     while True:
         heard = join(both, label.select(F.col("fp").alias("b"), "root"), "b", "a").groupBy("a").agg(F.min("root").alias("heard"))
-        hooked = durable(label.join(heard, label["fp"] == heard["a"]).select("fp", F.least("root", "heard").alias("new"), F.col("root").alias("old")))
+        hooked = kept(label.join(heard, label["fp"] == heard["a"]).select("fp", F.least("root", "heard").alias("new"), F.col("root").alias("old")))
         up = hooked.select(F.col("fp").alias("new"), F.col("new").alias("upper"))
-        jumped = durable(join(hooked, up, "new", "fp").select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
+        jumped = kept(join(hooked, up, "new", "fp").select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
         label = jumped.select("fp", "root")
         if not jumped.where("moved").limit(1).count():
             return label
@@ -373,8 +390,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius:
 #: (five shingles and four of them), beyond 72 of 256 with a chance of 0.0001 there and far less for longer texts.
 NEAR = {"shingle": 5, "bits": 256, "radius": 72, "band": 4, "tables": 16}
 SIMILAR = (4, 5)
-#: Candidates of a set that are checked first.
+#: Candidates of a set that are checked first, and candidates a set on average from which rounds are needed.
 FIRST = 4
+ROUND = 8
+#: Bits of a set's bitmap: a power of two of at least four a shingle, within these bounds.
+BITMAP = (256, 8192)
 
 
 def bands(h: np.ndarray, band: int, tables: int, seed: int = 3) -> list[int]:
@@ -393,8 +413,55 @@ def set_name(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
+def parity(h: np.ndarray) -> bytes:
+    """A bit for each remainder of the digests, set if an odd number has it. Two such bitmaps differ in no more bits
+    than the sets in members; the halves of one, combined by exclusive or, are the bitmap of half the size."""
+    m = BITMAP[0]
+    while m < min(4 * len(h), BITMAP[1]):
+        m *= 2
+    counts = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Refuted:
+    """Tells pairs of sets that cannot be similar enough, by their sizes and bitmaps."""
+
+    def __init__(self, sizes: np.ndarray, bitmaps: list[bytes]) -> None:
+        self.sizes = sizes.astype(np.int64)
+        self.width = np.array([len(b) for b in bitmaps])
+        self.place: dict[int, np.ndarray] = {}
+        self.maps: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            for own in (w, w // 2):  # sets of a similar size have half the width at least
+                self.place.setdefault(own, np.full(len(bitmaps), -1))
+        for w, place in self.place.items():
+            rows = []
+            for i in np.flatnonzero((self.width == w) | (self.width == 2 * w)).tolist():
+                data = np.frombuffer(bitmaps[i], np.uint64)
+                place[i] = len(rows)
+                rows.append(data if len(bitmaps[i]) == w else data[: w // 8] ^ data[w // 8 :])
+            self.maps[w] = np.array(rows, np.uint64).reshape(len(rows), -1)
+
+    def keep(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs may be similar enough. Sets of a similarity of at least p / q differ in at most
+        (q - p) / (q + p) of the sum of their sizes."""
+        part, whole = SIMILAR
+        x, y = self.sizes[a], self.sizes[b]
+        ok = np.minimum(x, y) * whole >= np.maximum(x, y) * part
+        width = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(width[ok]).tolist():
+            mine = np.flatnonzero(ok & (width == w))
+            for lo in range(0, len(mine), 1 << 15):
+                some = mine[lo : lo + (1 << 15)]
+                place, maps = self.place[w], self.maps[w]
+                apart = np.bitwise_count(maps[place[a[some]]] ^ maps[place[b[some]]]).sum(axis=1, dtype=np.int64)
+                ok[some] = apart * (whole + part) <= (x[some] + y[some]) * (whole - part)
+        return ok
+
+
 def sketches(docs: DataFrame, shingle: int, bits: int, band: int, tables: int) -> DataFrame:
-    """doc_id, tag, fp, print, keys for each row: name, fingerprint and bands of its set of shingles."""
+    """doc_id, tag, fp, print, keys, size, bitmap for each row: name, fingerprint and bands of its set of shingles,
+    and what pairs are refuted by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,33 +470,75 @@ def sketches(docs: DataFrame, shingle: int, bits: int, band: int, tables: int) -
                 pa.array([set_name(h) for h in sets], pa.binary()),
                 pa.array([bytes.fromhex(digest_bits(h, bits)) for h in sets], pa.binary()),
                 pa.array([bands(h, band, tables) for h in sets], pa.list_(pa.int64())),
+                pa.array([len(h) for h in sets], pa.int32()),
+                pa.array([parity(h) for h in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tag"), *columns], names=["doc_id", "tag", "fp", "print", "keys"])
+            names = ["doc_id", "tag", "fp", "print", "keys", "size", "bitmap"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tag"), *columns], names=names)
 
-    return docs.select("doc_id", text_tag().alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, fp binary, print binary, keys array<long>")
+    schema = "doc_id long, tag long, fp binary, print binary, keys array<long>, size int, bitmap binary"
+    return docs.select("doc_id", text_tag().alias("tag"), "text").mapInArrow(run, schema)
 
 
-def candidates(nodes: DataFrame, radius: int, every: bool, chunk: int = CHUNK) -> DataFrame:
-    """fp, other: within each shard, some pair within the radius for each fp, or every pair of different roots."""
-    keyed = cut_hot(nodes.select(F.explode("keys").alias("key"), "fp", "print", "root"), "fp", chunk)
+def prints_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+
+
+def partners(nodes: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """fp, other: some pair within the radius in a shard for each fp that has one there."""
+    keyed = cut_hot(nodes.select(F.explode("keys").alias("key"), "fp", "print"), "fp", chunk)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, shard in by_shard(batches):
+            name, partner = table.column("fp").combine_chunks(), np.full(len(shard), -1)
+            Forest(prints_of(table), shard).links(radius, partner)
+            has = np.flatnonzero(partner >= 0)
+            yield from _pairs(name, has, partner[has])
+
+    return _distinct_pairs(_by_key(keyed).mapInArrow(search, "fp binary, other binary"))
+
+
+def candidates(nodes: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """fp, other: every pair of different roots within the radius in a shard that sizes and bitmaps don't refute.
+
+    The rows that are dealt first are narrow; those with a partner of another root alone are dealt again, with
+    their sizes and bitmaps.
+    """
+    keyed = cut_hot(nodes.select(F.explode("keys").alias("key"), "fp", "print", "root"), "fp", chunk)
+
+    def roots_of(table: pa.Table) -> np.ndarray:
+        return table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, shard in by_shard(batches):
+            has = np.zeros(len(shard), bool)
+            for a, b in Forest(prints_of(table), shard).apart(radius, roots_of(table)):
+                has[a] = has[b] = True
+            yield from table.select(["key", "fp"]).take(pa.array(np.flatnonzero(has))).combine_chunks().to_batches()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, shard in by_shard(batches, HELD // 8):
             name = table.column("fp").combine_chunks()
-            prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(len(shard), -1)
-            forest = Forest(prints, shard)
-            if every:
-                found = forest.apart(radius, table.column("root").combine_chunks().dictionary_encode().indices.to_numpy())
-            else:
-                partner = np.full(len(shard), -1)
-                forest.links(radius, partner)
-                has = np.flatnonzero(partner >= 0)
-                found = [(has, partner[has])]
-            for a, b in found:
-                for lo in range(0, len(a), 20_000):
-                    yield pa.RecordBatch.from_arrays([name.take(pa.array(x[lo : lo + 20_000])) for x in (a, b)], names=["fp", "other"])
-
-    pairs = keyed.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(search, "fp binary, other binary")
+            refuted = Refuted(table.column("size").to_numpy(), table.column("bitmap").to_pylist())
+            for a, b in Forest(prints_of(table), shard).apart(radius, roots_of(table)):
+                keep = refuted.keep(a, b)
+                yield from _pairs(name, a[keep], b[keep])
+
+    marked = _by_key(keyed).mapInArrow(mark, "key long, fp binary")
+    wide = marked.join(nodes.select("fp", "print", "root", "size", "bitmap"), "fp").select("key", "fp", "print", "root", "size", "bitmap")
+    return _distinct_pairs(_by_key(wide).mapInArrow(search, "fp binary, other binary"))
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    return keyed.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+
+
+def _pairs(name: pa.Array, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(a), 20_000):
+        yield pa.RecordBatch.from_arrays([name.take(pa.array(x[lo : lo + 20_000])) for x in (a, b)], names=["fp", "other"])
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("fp") != F.col("other")).select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
 
 
@@ -455,16 +564,36 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -
     return durable(both.where(common * SIMILAR[1] >= union * SIMILAR[0]).select("fp", "other"))
 
 
+def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`nodes` with the root of their component."""
+    return durable(nodes.join(connect(links), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
+def apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose nodes have different roots."""
+    roots = nodes.select("fp", "root")
+    one = skew_join(pairs, roots, "fp", ["other"], n=None)
+    two = skew_join(one.withColumnRenamed("root", "left"), roots.select(F.col("fp").alias("other"), "root"), "other", ["fp"], n=None)
+    return durable(two.where(F.col("left") != F.col("root")).select("fp", "other"))
+
+
 def similar_classes(docs: DataFrame, shingle: int, bits: int, radius: int, band: int, tables: int, chunk: int = CHUNK) -> DataFrame:
     """doc_id, tag, fp, first, as in `classes`, linked by the similarity of sets."""
     sketched = durable(sketches(docs, shingle, bits, band, tables))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    nodes = durable(sketched.groupBy("fp").agg(F.min(row).alias("first"), F.first("print").alias("print"), F.first("keys").alias("keys"), F.count("*").alias("n")))
-    some = candidates(nodes.withColumn("root", F.col("fp")), radius, False, chunk).groupBy("fp").agg(F.slice(F.collect_set("other"), 1, FIRST).alias("others"))
+    of_set = [F.first(c).alias(c) for c in ("print", "keys", "size", "bitmap")]
+    nodes = durable(sketched.groupBy("fp").agg(F.min(row).alias("first"), *of_set, F.count("*").alias("n")))
+    some = partners(nodes, radius, chunk).groupBy("fp").agg(F.slice(F.collect_set("other"), 1, FIRST).alias("others"))
     links = checked(durable(some.select("fp", F.explode("others").alias("other"))), docs, nodes, shingle)
-    rooted = durable(nodes.join(connect(links), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    rest = checked(durable(candidates(rooted, radius, True, chunk)), docs, nodes, shingle)
-    return named(sketched.select("doc_id", "tag", "fp"), nodes.select("fp", "first", "n"), connect(links.unionByName(rest)))
+    left = durable(candidates(rooted(nodes, links), radius, chunk))
+    n, at_once = left.count(), ROUND * nodes.count()
+    while n > at_once:  # a share of the pairs, dealt by hash; the others wait for what these join
+        share = F.pmod(F.xxhash64("fp", "other"), F.lit(-(-n // at_once))) == 0
+        links = durable(links.unionByName(checked(left.where(share), docs, nodes, shingle)))
+        left = apart(left.where(~share), rooted(nodes.select("fp"), links))
+        n, at_once = left.count(), 4 * at_once
+    links = links.unionByName(checked(left, docs, nodes, shingle))
+    return named(sketched.select("doc_id", "tag", "fp"), nodes.select("fp", "first", "n"), connect(links))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
