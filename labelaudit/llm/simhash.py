@@ -392,7 +392,7 @@ NEAR = {"shingle": 5, "bits": 256, "radius": 72, "band": 4, "tables": 16}
 SIMILAR = (4, 5)
 #: Candidates of a set that are checked first, and candidates a set on average from which rounds are needed.
 FIRST = 4
-ROUND = 8
+ROUND = 1
 #: Bits of a set's bitmap: a power of two of at least four a shingle, within these bounds.
 BITMAP = (256, 8192)
 
