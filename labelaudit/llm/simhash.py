@@ -485,7 +485,7 @@ def prints_of(table: pa.Table) -> np.ndarray:
 
 
 def partners(nodes: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """fp, other: some pair within the radius in a shard for each fp that has one there."""
+    """fp, other: some partner within the radius for each fp that has one in a shard."""
     keyed = cut_hot(nodes.select(F.explode("keys").alias("key"), "fp", "print"), "fp", chunk)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,19 +495,17 @@ def partners(nodes: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
             has = np.flatnonzero(partner >= 0)
             yield from _pairs(name, has, partner[has])
 
-    return _distinct_pairs(_by_key(keyed).mapInArrow(search, "fp binary, other binary"))
+    return _by_key(keyed).mapInArrow(search, "fp binary, other binary")
 
 
-def candidates(nodes: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """fp, other: every pair of different roots within the radius in a shard that sizes and bitmaps don't refute.
+def roots_of(table: pa.Table) -> np.ndarray:
+    return table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
 
-    The rows that are dealt first are narrow; those with a partner of another root alone are dealt again, with
-    their sizes and bitmaps.
-    """
-    keyed = cut_hot(nodes.select(F.explode("keys").alias("key"), "fp", "print", "root"), "fp", chunk)
 
-    def roots_of(table: pa.Table) -> np.ndarray:
-        return table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+def marked(nodes: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """key, fp: rows of shards with a partner of another root within the radius. As roots only ever merge, rows
+    that are left out here stay out. The rows that are dealt for this are narrow."""
+    keyed = cut_hot(nodes.select(F.explode("keys").alias("key"), "fp", "print", "root"), "fp", chunk)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, shard in by_shard(batches):
@@ -516,17 +514,38 @@ def candidates(nodes: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
                 has[a] = has[b] = True
             yield from table.select(["key", "fp"]).take(pa.array(np.flatnonzero(has))).combine_chunks().to_batches()
 
+    return durable(_by_key(keyed).mapInArrow(mark, "key long, fp binary"))
+
+
+def candidates(rows: DataFrame, nodes: DataFrame, radius: int, one: bool = False) -> DataFrame:
+    """fp, other: of the `marked` rows, every pair of different roots within the radius in a shard that sizes and
+    bitmaps don't refute; with `one`, some such partner for each fp that has one in a shard."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, shard in by_shard(batches, HELD // 8):
-            name = table.column("fp").combine_chunks()
+            name, partner = table.column("fp").combine_chunks(), np.full(len(shard), -1)
             refuted = Refuted(table.column("size").to_numpy(), table.column("bitmap").to_pylist())
             for a, b in Forest(prints_of(table), shard).apart(radius, roots_of(table)):
+                if one:
+                    open_ = partner[a] < 0
+                    a, b = a[open_], b[open_]
                 keep = refuted.keep(a, b)
-                yield from _pairs(name, a[keep], b[keep])
+                if one:
+                    partner[a[keep]] = b[keep]
+                else:
+                    yield from _pairs(name, a[keep], b[keep])
+            has = np.flatnonzero(partner >= 0)
+            yield from _pairs(name, has, partner[has])
+
+    wide = rows.join(nodes.select("fp", "print", "root", "size", "bitmap"), "fp").select("key", "fp", "print", "root", "size", "bitmap")
+    found = _by_key(wide).mapInArrow(search, "fp binary, other binary")
+    return found if one else _distinct_pairs(found)
+
 
-    marked = _by_key(keyed).mapInArrow(mark, "key long, fp binary")
-    wide = marked.join(nodes.select("fp", "print", "root", "size", "bitmap"), "fp").select("key", "fp", "print", "root", "size", "bitmap")
-    return _distinct_pairs(_by_key(wide).mapInArrow(search, "fp binary, other binary"))
+def few_each(found: DataFrame) -> DataFrame:
+    """Pairs of each fp and at most FIRST of its partners; of a fp that is the partner of many, all of them stay."""
+    some = found.where(F.col("fp") != F.col("other")).groupBy("fp").agg(F.slice(F.collect_set("other"), 1, FIRST).alias("others"))
+    return durable(_distinct_pairs(some.select("fp", F.explode("others").alias("other"))))
 
 
 def _by_key(keyed: DataFrame) -> DataFrame:
@@ -583,9 +602,13 @@ def similar_classes(docs: DataFrame, shingle: int, bits: int, radius: int, band:
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     of_set = [F.first(c).alias(c) for c in ("print", "keys", "size", "bitmap")]
     nodes = durable(sketched.groupBy("fp").agg(F.min(row).alias("first"), *of_set, F.count("*").alias("n")))
-    some = partners(nodes, radius, chunk).groupBy("fp").agg(F.slice(F.collect_set("other"), 1, FIRST).alias("others"))
-    links = checked(durable(some.select("fp", F.explode("others").alias("other"))), docs, nodes, shingle)
-    left = durable(candidates(rooted(nodes, links), radius, chunk))
+    links = checked(few_each(partners(nodes, radius, chunk)), docs, nodes, shingle)
+    # partners are any within the radius; of those that nothing refutes most are links, so a few of them join large
+    # groups, and only then are all pairs named that are still apart
+    near = rooted(nodes, links)
+    rows = marked(near, radius, chunk)
+    links = durable(links.unionByName(checked(few_each(candidates(rows, near, radius, one=True)), docs, nodes, shingle)))
+    left = durable(candidates(rows, rooted(nodes, links), radius))
     n, at_once = left.count(), ROUND * nodes.count()
     while n > at_once:  # a share of the pairs, dealt by hash; the others wait for what these join
         share = F.pmod(F.xxhash64("fp", "other"), F.lit(-(-n // at_once))) == 0
