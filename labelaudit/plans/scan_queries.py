@@ -18,7 +18,7 @@ from labelaudit.plans.registry import query
 from labelaudit.plans.text_queries import DECLARED, SIMPLE_SQL, _ALL
 from labelaudit.plans.views import AUDITS, JOBS, LISTINGS, audits, jobs
 from labelaudit.sources import files as S
-from labelaudit.sources.tables import listings, table
+from labelaudit.sources.tables import listings, spread, table
 
 T = F.col
 
@@ -197,7 +197,7 @@ def _(spark, d):
 
 
 def _pages(spark, d, html):
-    return table(spark, d, "part").select(T("p_partkey").alias("page_id"), F.lit("https://shop.example/item").alias("url"), F.concat(*html).alias("html"))
+    return spread(table(spark, d, "part")).select(T("p_partkey").alias("page_id"), F.lit("https://shop.example/item").alias("url"), F.concat(*html).alias("html"))
 
 
 @query(

@@ -13,10 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task takes where each costs much work.
+TASK_ROWS = 30_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table of few file splits over all cores before per-row work; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal a table over tasks of some TASK_ROWS rows, over all cores at least, before per-row work: neither the number
+    of a table's files nor that of their row groups says how much a task gets. Counting reads the files' footers only."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks)
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
