@@ -16,7 +16,10 @@ def test_page_elements_are_slices():
     assert page.ids()["b"] is page.all("p")[0] and page.ids()["c"].walk() == [] and page.all("p")[1].walk() == []
 
 
-def test_pages_are_dealt_by_rows(spark, monkeypatch):
+def test_pages_and_listings_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 5)
-    parts = tables.table(spark, DATA, "part").count()
+    parts, orders = tables.table(spark, DATA, "part").count(), tables.table(spark, DATA, "orders").count()
     assert scan_queries._pages(spark, DATA, [F.lit("")]).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-parts // 5))
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    # a broadcast of the few parts and suppliers leaves the listings where they were dealt
+    assert tables.listings(spark, DATA).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-orders // 50))
