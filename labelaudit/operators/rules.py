@@ -245,15 +245,19 @@ def rules_frame(spark: SparkSession, rules: tuple[Rule, ...] = DEFAULT_RULES) ->
     )
 
 
-def select_rules(rules: DataFrame, rule_id: str | None = None, rule_ids: list[str] | None = None, category: str | None = None) -> DataFrame:
-    """By id, by ids in the order given (repeats kept, unknown ones skipped), by category, or all active."""
+def select_rules(rules: DataFrame, rule_id: str | None = None, rule_ids: list[str] | None = None, category: str | None = None, or_all: bool = False) -> DataFrame:
+    """By id, by ids in the order given (repeats kept, unknown ones skipped), by category (`or_all`: and those that apply
+    to all), or all active. Each row once, whatever ids repeat."""
     if rule_id:
         return rules.where(F.col("id") == rule_id)
     if rule_ids:
         wanted = rules.sparkSession.createDataFrame(list(enumerate(rule_ids)), "position int, id string")
         return rules_by_ids(rules, wanted).orderBy("position").drop("position")
     active = rules.where(F.col("status") == "active")
-    return active.where((F.col("category") == category) | F.array_contains("applicable_to", category)) if category else active
+    if not category:
+        return active
+    for_all = F.array_contains("applicable_to", "all") if or_all else F.lit(False)
+    return active.where((F.col("category") == category) | F.array_contains("applicable_to", category) | for_all)
 
 
 def rules_by_ids(rules: DataFrame, wanted: DataFrame) -> DataFrame:

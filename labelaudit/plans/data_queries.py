@@ -179,8 +179,7 @@ RULES = f"""WITH rules AS (
 @query("flt_rule_select", RULES + " SELECT id FROM rules WHERE status = 'active' AND (category = 'brand#1' OR list_contains(applicable_to, 'brand#1') OR list_contains(applicable_to, 'all'))")
 def _(spark, d):
     """The active rules for a category, or for all."""
-    rules = part_rules(spark, d)
-    return R.select_rules(rules, category="brand#1").unionByName(R.select_rules(rules, category="all")).select("id").distinct()
+    return R.select_rules(part_rules(spark, d), category="brand#1", or_all=True).select("id")
 
 
 @query(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from labelaudit.functions import market as M
+from labelaudit.operators import rules as R
 from labelaudit.plans import scan_queries
 from labelaudit.sources import tables
 
@@ -23,3 +24,10 @@ def test_pages_and_listings_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 50)
     # a broadcast of the few parts and suppliers leaves the listings where they were dealt
     assert tables.listings(spark, DATA).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-orders // 50))
+
+
+def test_rules_whose_ids_repeat_are_all_selected(spark):
+    rows = [("r1", "brand#1", ["all"], "active"), ("r1", "brand#2", ["x", "all"], "active"), ("r1", "brand#1", ["x"], "active"), ("r2", "brand#2", ["x"], "active"), ("r3", "brand#1", ["x"], "draft")]
+    rules = spark.createDataFrame(rows, "id string, category string, applicable_to array<string>, status string")
+    assert [r.id for r in R.select_rules(rules, category="brand#1", or_all=True).collect()] == ["r1"] * 3
+    assert R.select_rules(rules, category="brand#1").count() == 2
