@@ -27,8 +27,10 @@ def scan(products: DataFrame, clauses: DataFrame, k: int = 3) -> DataFrame:
 def picture_scan(regions: DataFrame, keep: list[str]) -> DataFrame:
     """Regions (image_id, region, text, confidence, and the columns in `keep`, which are one value a picture) ->
     what follows OCR: the text in reading order, confidence, its level and whether someone must look."""
-    parts = F.array_sort(F.collect_list(F.struct("region", "text")))
-    mean = F.avg("confidence")
+    parts = F.array_sort(F.collect_list(F.struct("region", "text", "confidence")))
+    # summed in the order of the regions, so that a mean on the edge of a level doesn't hang on who came first
+    known = F.filter(F.transform(parts, lambda r: r["confidence"]), lambda c: c.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, c: s + c.cast("double")) / F.size(known))
     level = S.ocr_level(mean)
     return regions.groupBy("image_id", *keep).agg(
         F.array_join(F.transform(parts, lambda r: r["text"]), " ").alias("combined_text"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from labelaudit.functions import market as M
 from labelaudit.operators import rules as R
+from labelaudit.operators import scan as C
 from labelaudit.plans import scan_queries
 from labelaudit.sources import tables
 
@@ -31,3 +32,11 @@ def test_rules_whose_ids_repeat_are_all_selected(spark):
     rules = spark.createDataFrame(rows, "id string, category string, applicable_to array<string>, status string")
     assert [r.id for r in R.select_rules(rules, category="brand#1", or_all=True).collect()] == ["r1"] * 3
     assert R.select_rules(rules, category="brand#1").count() == 2
+
+
+def test_mean_confidence_does_not_hang_on_the_order_of_arrival(spark):
+    rows = [(1, i, "t", c / 100.0) for i, c in enumerate((3, 95, 83, 99))] + [(2, 0, "t", None)]
+    for order in (rows, rows[::-1]):
+        regions = spark.createDataFrame(order, "image_id long, region int, text string, confidence double").coalesce(1)
+        found = {r.image_id: (r.confidence_level, r.needs_review, r.confidence_score) for r in C.picture_scan(regions, []).collect()}
+        assert found[1] == ("MEDIUM_CONFIDENCE", False, 0.7) and found[2][2] is None
