@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelaudit.functions import patterns as P
-from labelaudit.functions.text import strip
+from labelaudit.functions.text import let, strip
 
 
 def capture(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
@@ -55,47 +55,55 @@ def _formatted(price: Column) -> Column:
 def fssai(text: Column) -> Column:
     tries = []
     for pattern, confidence in P.SERVICE_FSSAI:
-        m = capture(text, pattern)
         kinds = F.create_map(*[F.lit(v) for kv in P.LICENCE_TYPES.items() for v in kv])
-        tries.append(
-            F.when(
-                licence_ok(m),
-                F.struct(
-                    m.alias("value"), F.lit(confidence).alias("confidence"), F.substring(m, 1, 2).alias("state_code"), kinds[F.substring(m, 3, 1)].alias("license_type")
-                ),
-            )
-        )
+        parts = lambda m: (m.alias("value"), F.lit(confidence).alias("confidence"), F.substring(m, 1, 2).alias("state_code"), kinds[F.substring(m, 3, 1)].alias("license_type"))  # noqa: E731, B023
+        tries.append(let(capture(text, pattern), lambda m: F.when(licence_ok(m), F.struct(*parts(m)))))
     return F.coalesce(*tries)
 
 
 def price(text: Column) -> Column:
     tries = []
     for pattern, confidence in P.SERVICE_PRICE:
-        v = number(capture(text, pattern))
-        tries.append(F.when(_price_ok(v), F.struct(v.alias("value"), F.lit("INR").alias("currency"), _formatted(v).alias("formatted"), F.lit(confidence).alias("confidence"))))
+        parts = lambda v: (v.alias("value"), F.lit("INR").alias("currency"), _formatted(v).alias("formatted"), F.lit(confidence).alias("confidence"))  # noqa: E731, B023
+        tries.append(let(number(capture(text, pattern)), lambda v: F.when(_price_ok(v), F.struct(*parts(v)))))
     return F.coalesce(*tries)
 
 
 def weight(text: Column, patterns=P.SERVICE_WEIGHT) -> Column:
     tries = []
     for pattern, confidence in patterns:
-        v, unit = capture(text, pattern, 1).cast("double"), unit_name(capture(text, pattern, 2))
-        tries.append(
-            F.when(v.isNotNull(), F.struct(v.alias("value"), unit.alias("unit"), F.concat_ws(" ", v.cast("string"), unit).alias("formatted"), F.lit(confidence).alias("confidence")))
-        )
+        unit = unit_name(capture(text, pattern, 2))
+        whole = lambda v, u: F.struct(v.alias("value"), u.alias("unit"), F.concat_ws(" ", v.cast("string"), u).alias("formatted"), F.lit(confidence).alias("confidence"))  # noqa: E731, B023
+        tries.append(let(capture(text, pattern, 1).cast("double"), lambda v: F.when(v.isNotNull(), let(unit, lambda u: whole(v, u)))))
     return F.coalesce(*tries)
 
 
+# The values alone, for those who ask for nothing else.
+
+
+def fssai_value(text: Column) -> Column:
+    return F.coalesce(*[let(capture(text, p), lambda m: F.when(licence_ok(m), m)) for p, _ in P.SERVICE_FSSAI])
+
+
+def price_value(text: Column) -> Column:
+    return F.coalesce(*[let(number(capture(text, p)), lambda v: F.when(_price_ok(v), v)) for p, _ in P.SERVICE_PRICE])
+
+
+def weight_value(text: Column, patterns=P.SERVICE_WEIGHT) -> Column:
+    return F.coalesce(*[capture(text, p, 1).cast("double") for p, _ in patterns])
+
+
 def full_month_date(line: Column, lenient: bool = False) -> Column:
     """Text and ISO form of the date in a line. Only a full month name and a four-digit year are read;
     `lenient` also reads day/month/year and short month names."""
     pattern = rf"(?:{P.MONTHS})[A-Z]*\s*[,\s]?\d{{2,4}}"
     raw = capture(line, pattern, 0)
-    flat = F.upper(squeeze(raw))
-    exact = F.when(flat.rlike(rf"^(?:{P.FULL_MONTHS}) \d{{4}}$"), F.try_to_timestamp(F.initcap(flat), F.lit("MMMM yyyy")))
-    found = F.when(exact.isNotNull(), F.struct(raw.alias("raw"), F.date_format(exact, "yyyy-MM-dd").alias("parsed")))
+    exact = lambda flat: F.when(flat.rlike(rf"^(?:{P.FULL_MONTHS}) \d{{4}}$"), F.try_to_timestamp(F.initcap(flat), F.lit("MMMM yyyy")))
+    dated = lambda r, e: F.when(e.isNotNull(), F.struct(r.alias("raw"), F.date_format(e, "yyyy-MM-dd").alias("parsed")))
+    found = let(raw, lambda r: let(let(F.upper(squeeze(r)), exact), lambda e: dated(r, e)))
     if not lenient:
         return found
+    flat = F.upper(squeeze(raw))
     day = capture(line, P.OCR_DATES[0], 0)
     parsed = F.try_to_timestamp(F.regexp_replace(day, r"[\-.]", "/"), F.lit("d/M/yyyy"))
     short = F.try_to_timestamp(F.initcap(flat), F.lit("MMM yyyy"))
@@ -115,13 +123,12 @@ def dates(text: Column, lenient: bool = False) -> Column:
     return F.struct(
         head(P.SERVICE_MADE).alias("manufacturing_date"),
         head(P.SERVICE_EXPIRES).alias("expiry_date"),
-        F.get(spans, F.size(spans) - 1).try_cast("int").alias("best_before_months"),
+        let(spans, lambda x: F.get(x, F.size(x) - 1)).try_cast("int").alias("best_before_months"),
     )
 
 
 def batch(text: Column) -> Column:
-    v = capture(text, P.SERVICE_BATCH)
-    return F.when(F.length(v) >= 4, v)
+    return let(capture(text, P.SERVICE_BATCH), lambda v: F.when(F.length(v) >= 4, v))
 
 
 def address(text: Column) -> Column:
@@ -144,21 +151,22 @@ def contact(text: Column) -> Column:
 
 
 def country(text: Column) -> Column:
-    v = F.initcap(squeeze(strip(capture(text, P.SERVICE_COUNTRY))))
-    return F.when(F.length(v).between(4, 50), v)
-
-
-def entities(text: Column, lenient: bool = False) -> Column:
-    return F.struct(
-        fssai(text).alias("fssai"),
-        price(text).alias("price"),
-        dates(text, lenient).alias("dates"),
-        weight(text).alias("weight"),
-        batch(text).alias("batch"),
-        address(text).alias("address"),
-        contact(text).alias("contact"),
-        country(text).alias("country"),
-    )
+    return let(F.initcap(squeeze(strip(capture(text, P.SERVICE_COUNTRY)))), lambda v: F.when(F.length(v).between(4, 50), v))
+
+
+def entities(text: Column, lenient: bool = False, only: Iterable[str] | None = None) -> Column:
+    """The eight entities, or `only` some of them."""
+    made = {
+        "fssai": fssai(text),
+        "price": price(text),
+        "dates": dates(text, lenient),
+        "weight": weight(text),
+        "batch": batch(text),
+        "address": address(text),
+        "contact": contact(text),
+        "country": country(text),
+    }
+    return F.struct(*[made[n].alias(n) for n in (made if only is None else only)])
 
 
 def completeness(e: Column) -> Column:
@@ -253,39 +261,42 @@ def custom_patterns(text: Column, patterns: list[str]) -> Column:
 def ocr_fssai(text: Column) -> Column:
     tries = []
     for p in P.OCR_FSSAI:
-        m = capture(text, p)
-        tries.append(F.when(licence_ok(m), F.struct(m.alias("value"), F.lit("high").alias("confidence"))))
+        tries.append(let(capture(text, p), lambda m: F.when(licence_ok(m), F.struct(m.alias("value"), F.lit("high").alias("confidence")))))
     any_run = F.get(F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{14})\b"), F.lit(1)), licence_ok), F.lit(0))
-    return F.coalesce(*tries, F.when(any_run.isNotNull(), F.struct(any_run.alias("value"), F.lit("medium").alias("confidence"))))
+    return F.coalesce(*tries, let(any_run, lambda m: F.when(m.isNotNull(), F.struct(m.alias("value"), F.lit("medium").alias("confidence")))))
 
 
 def ocr_mrp(text: Column) -> Column:
     confidence_ = F.when(F.contains(F.upper(text), F.lit("MRP")), "high").otherwise("medium")
     tries = []
     for p in P.OCR_MRP:
-        v = number(capture(text, p))
-        tries.append(F.when(_price_ok(v), F.struct(v.alias("value"), _formatted(v).alias("formatted"), confidence_.alias("confidence"))))
+        parts = lambda v: F.struct(v.alias("value"), _formatted(v).alias("formatted"), confidence_.alias("confidence"))
+        tries.append(let(number(capture(text, p)), lambda v: F.when(_price_ok(v), parts(v))))
     return F.coalesce(*tries)
 
 
 def ocr_date(line: Column) -> Column:
     """ISO form of the first layout whose text parses: d/m/y (two-digit years 1969-2068), month names, y/m/d."""
-    tries = []
-    for n, p in enumerate(P.OCR_DATES):
-        raw = squeeze(capture(line, p, 0))
+    def slashed(flat: Column) -> Column:
+        year = F.regexp_extract(flat, r"(\d+)$", 1)
+        full = let(
+            year,
+            lambda y: F.when(F.length(y) == 2, F.concat(F.regexp_extract(flat, r"^(.*/)\d+$", 1), F.when(y.cast("int") < 69, "20").otherwise("19"), y)).when(F.length(y) == 4, flat),
+        )
+        return F.try_to_timestamp(full, F.lit("d/M/yyyy"))
+
+    def parsed(n: int, raw: Column) -> Column:
         if n == 0:
-            flat = F.regexp_replace(raw, r"[\-.]", "/")
-            year = F.regexp_extract(flat, r"(\d+)$", 1)
-            full = F.when(F.length(year) == 2, F.concat(F.regexp_extract(flat, r"^(.*/)\d+$", 1), F.when(year.cast("int") < 69, "20").otherwise("19"), year)).when(F.length(year) == 4, flat)
             same = raw.rlike(r"^\d+([/\-.])\d+\1\d+$")  # one separator throughout
-            parsed = F.when(same, F.try_to_timestamp(full, F.lit("d/M/yyyy")))
-        elif n == 3:
-            parsed = F.try_to_timestamp(F.regexp_replace(raw, "-", "/"), F.lit("yyyy/M/d"))
-        else:
-            text = F.initcap(raw)
-            layouts = ("d MMM yyyy", "d MMMM yyyy") if n == 1 else ("MMM yyyy", "MMMM yyyy")
-            parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in layouts])
-        tries.append(F.date_format(parsed, "yyyy-MM-dd"))
+            return F.when(same, let(F.regexp_replace(raw, r"[\-.]", "/"), slashed))
+        if n == 3:
+            return F.try_to_timestamp(F.regexp_replace(raw, "-", "/"), F.lit("yyyy/M/d"))
+        # the month's letters say which of both layouts can read it; a try that fails is dear
+        day, head = (r"^\d{1,2} ", "d ") if n == 1 else ("^", "")
+        read = lambda layout: F.try_to_timestamp(F.initcap(raw), F.lit(head + layout))
+        return F.when(raw.rlike(day + r"[A-Za-z]{3} \d"), read("MMM yyyy")).when(raw.rlike(day + r"[A-Za-z]{4,} \d"), read("MMMM yyyy"))
+
+    tries = [let(squeeze(capture(line, p, 0)), lambda raw: F.date_format(parsed(n, raw), "yyyy-MM-dd")) for n, p in enumerate(P.OCR_DATES)]  # noqa: B023
     return F.coalesce(*tries)
 
 
@@ -295,23 +306,22 @@ def ocr_dates(text: Column) -> Column:
 
     def last(words: str) -> Column:
         found = F.filter(F.transform(F.filter(lines, lambda s: s.rlike("(?i)" + words)), ocr_date), lambda d: d.isNotNull())
-        return F.get(found, F.size(found) - 1)
+        return let(found, lambda x: F.get(x, F.size(x) - 1))
 
-    made, expires = last(P.OCR_MADE), last(P.OCR_EXPIRES)
-    return F.struct(
-        made.alias("manufacturing_date"),
-        expires.alias("expiry_date"),
-        F.when(made.isNotNull() & expires.isNull(), capture(text, P.OCR_SHELF_LIFE)).try_cast("int").alias("shelf_life_months"),
-    )
+    def found(made: Column, expires: Column) -> Column:
+        months = F.when(made.isNotNull() & expires.isNull(), capture(text, P.OCR_SHELF_LIFE)).try_cast("int")
+        return F.struct(made.alias("manufacturing_date"), expires.alias("expiry_date"), months.alias("shelf_life_months"))
+
+    return let(last(P.OCR_MADE), lambda made: let(last(P.OCR_EXPIRES), lambda expires: found(made, expires)))
 
 
 def ocr_batch(text: Column) -> Column:
-    return F.coalesce(*[F.when(F.length(capture(text, p)) >= 4, capture(text, p)) for p in P.OCR_BATCH])
+    return F.coalesce(*[let(capture(text, p), lambda v: F.when(F.length(v) >= 4, v)) for p in P.OCR_BATCH])
 
 
 def ocr_country(text: Column) -> Column:
     tries = [F.initcap(squeeze(strip(capture(text, p)))) for p in P.OCR_COUNTRY]
-    return F.coalesce(*[F.when(F.length(v) >= 4, v) for v in tries])
+    return F.coalesce(*[let(v, lambda x: F.when(F.length(x) >= 4, x)) for v in tries])
 
 
 def ocr_care(text: Column) -> Column:
@@ -335,17 +345,19 @@ def ocr_allergens(text: Column) -> Column:
     return F.coalesce(*tries)
 
 
-def ocr_fields(text: Column) -> Column:
-    return F.struct(
-        ocr_fssai(text).alias("fssai"),
-        ocr_mrp(text).alias("mrp"),
-        ocr_dates(text).alias("dates"),
-        weight(text, [(p, "high") for p in P.OCR_WEIGHT]).alias("net_weight"),
-        ocr_batch(text).alias("batch_number"),
-        ocr_country(text).alias("country_of_origin"),
-        ocr_care(text).alias("customer_care"),
-        ocr_allergens(text).alias("allergens"),
-    )
+def ocr_fields(text: Column, only: Iterable[str] | None = None) -> Column:
+    """The eight fields, or `only` some of them."""
+    made = {
+        "fssai": ocr_fssai(text),
+        "mrp": ocr_mrp(text),
+        "dates": ocr_dates(text),
+        "net_weight": weight(text, [(p, "high") for p in P.OCR_WEIGHT]),
+        "batch_number": ocr_batch(text),
+        "country_of_origin": ocr_country(text),
+        "customer_care": ocr_care(text),
+        "allergens": ocr_allergens(text),
+    }
+    return F.struct(*[made[n].alias(n) for n in (made if only is None else only)])
 
 
 def ocr_found(f: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,8 +29,13 @@ KEPT = r"\s.,;:!?'\"()\[\]{}\-_/\\@#$%&*+=₹°"
 SCRIPTS = r"ऀ-ॿঀ-৿਀-੿଀-୿ఀ-౿ഀ-ൿ"
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"\A\s+|\s+\z", "")
+    return F.trim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def numerals(x: Column) -> Column:
@@ -47,9 +52,14 @@ def control(x: Column) -> Column:
 
 
 def units(x: Column) -> Column:
-    for pattern, unit in UNIT_SPELLINGS:
-        x = F.regexp_replace(x, "(?i)" + pattern, unit)
-    return x
+    def replaced(t: Column) -> Column:
+        for pattern, unit in UNIT_SPELLINGS:
+            t = F.regexp_replace(t, "(?i)" + pattern, unit)
+        return t
+
+    # a text without any of the spellings is left by every step, so one look is enough for it
+    some = "(?i)" + "|".join(pattern for pattern, _ in UNIT_SPELLINGS)
+    return let(x, lambda t: F.when(t.rlike(some), replaced(t)).otherwise(t))
 
 
 def special(x: Column) -> Column:

@@ -17,11 +17,11 @@ def rule_fields(text: Column, lenient: bool = False) -> dict[str, Column]:
     """The seven fields the rules read; nothing else is extracted for them."""
     dates = E.dates(text, lenient)
     return {
-        "fssai": E.fssai(text)["value"],
-        "mrp": E.price(text)["value"],
+        "fssai": E.fssai_value(text),
+        "mrp": E.price_value(text),
         "expiry_date": dates["expiry_date"]["parsed"],
         "manufacturing_date": dates["manufacturing_date"]["parsed"],
-        "net_weight": E.weight(text)["value"],
+        "net_weight": E.weight_value(text),
         "batch": E.batch(text),
         "country": E.country(text),
     }

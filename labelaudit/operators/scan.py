@@ -55,6 +55,11 @@ def text_confidence(text: Column, fields: dict[str, Column], category: Column) -
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(G.text_confidence(X.word_count(text), there, total))
 
 
+#: What `merged_entities` reads of each side.
+FROM_OCR = ("fssai", "mrp", "dates", "net_weight", "batch_number", "country_of_origin")
+FROM_ENTITIES = ("fssai", "dates")
+
+
 def merged_entities(ocr: Column, found: Column) -> dict[str, Column]:
     """The seven rule fields of a picture: OCR's own fields, with an entity of the same name where OCR has none.
     Only licence and dates go by one name in both."""

@@ -189,7 +189,7 @@ def _rule_data_img_sql() -> str:
 @query("prj_rule_data_img", _rule_data_img_sql())
 def _(spark, d):
     """OCR's fields with the entities it lacks, as the rules read them; also join_merge_entities."""
-    both = once(listings(spark, d).select("audit_id", "label_text"), ocr=E.ocr_fields(T("label_text")), found=E.entities(T("label_text")))
+    both = once(listings(spark, d).select("audit_id", "label_text"), ocr=E.ocr_fields(T("label_text"), C.FROM_OCR), found=E.entities(T("label_text"), only=C.FROM_ENTITIES))
     return both.select("audit_id", *[c.alias(n) for n, c in C.merged_entities(T("ocr"), T("found")).items()])
 
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from labelaudit.functions import extract as E
 from labelaudit.functions import market as M
+from labelaudit.functions import text as X
 from labelaudit.operators import rules as R
 from labelaudit.operators import scan as C
 from labelaudit.plans import scan_queries
@@ -40,3 +42,19 @@ def test_mean_confidence_does_not_hang_on_the_order_of_arrival(spark):
         regions = spark.createDataFrame(order, "image_id long, region int, text string, confidence double").coalesce(1)
         found = {r.image_id: (r.confidence_level, r.needs_review, r.confidence_score) for r in C.picture_scan(regions, []).collect()}
         assert found[1] == ("MEDIUM_CONFIDENCE", False, 0.7) and found[2][2] is None
+
+
+def test_a_field_is_captured_once(spark):
+    """Plans name a pattern once per use; each use runs it over the text."""
+    label = spark.createDataFrame([("MFG Jan 2001\nEXP 5 March 2002\nBest Before May 2003\nMFD 3 Sept 2001",)], "t string")
+    plan = lambda c: label.select(F.inline(F.array(F.struct(c.alias("c")))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(E.price_value(F.col("t"))).count("MRP") == 1 and plan(E.country(F.col("t"))).count("Made") == 1
+    assert plan(E.ocr_dates(F.col("t"))).count("PKD") == 1
+    dates = label.select(E.ocr_dates(F.col("t")).alias("d")).first().d
+    assert (dates.manufacturing_date, dates.expiry_date, dates.shelf_life_months) == ("2001-01-01", "2003-05-01", None)
+
+
+def test_units_of_texts_with_and_without_spellings(spark):
+    rows = spark.createDataFrame([("5 Gms, 2 KGS 3 ltrs",), ("9 g",), ("",), (None,)], "t string")
+    assert [r.t for r in rows.select(X.units(F.col("t")).alias("t")).collect()] == ["5 g, 2 kg 3 L", "9 g", "", None]
+    assert rows.select(X.strip(F.lit(" \n\t\x0b\f\ra b\r\n ")).alias("t")).first().t == "a b"
