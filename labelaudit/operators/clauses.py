@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelaudit.operators.joins import durable, keyed_join
+from labelaudit.operators.joins import durable, keyed_join, stored
 
 #: Postings a query's rarest words may have together in the first pass; it only estimates.
 BUDGET = 2_000
@@ -30,21 +30,22 @@ def terms(text: Column) -> Column:
 
 def index(clauses: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """term, key of each word of each clause; and term, df: how many clauses have it."""
-    postings = durable(clauses.where(F.col(key).isNotNull()).select(F.explode(terms(F.col(text))).alias("term"), F.col(key).alias("key")).distinct())
+    postings = stored(clauses.where(F.col(key).isNotNull()).select(F.explode(terms(F.col(text))).alias("term"), F.col(key).alias("key")).distinct())
     return postings, postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def effective(queries: DataFrame, df: DataFrame) -> DataFrame:
     """words -> known: a query's distinct words, and those that clauses have, rarest first, as (df, term)."""
-    wanted = queries.select(F.array_sort("words").alias("words")).distinct()
-    found = keyed_join(wanted.select("words", F.explode("words").alias("term")), df, "term")
-    return found.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("known"))
+    wanted = stored(queries.select(F.array_sort("words").alias("words")).distinct().select(F.monotonically_increasing_id().alias("__no"), "words"))
+    found = keyed_join(wanted.select("__no", F.explode("words").alias("term")), df, "term")  # a number, not all words, goes with each
+    known = found.groupBy("__no").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("known"))
+    return wanted.hint("merge").join(known.hint("merge"), "__no").select("words", "known")
 
 
 def _hits(sets: DataFrame, some: Column, postings: DataFrame) -> DataFrame:
     """set, key, n: how many of the words in `some` a clause has, for the clauses that have one."""
     asked = sets.select("set", F.explode(some).alias("__w")).select("set", F.col("__w.term").alias("term"))
-    return keyed_join(asked, postings, "term").groupBy("set", "key").agg(F.count("*").alias("n"))
+    return keyed_join(asked, postings, "term", wide=True).groupBy("set", "key").agg(F.count("*").alias("n"))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -65,9 +66,9 @@ def best_clauses(sets: DataFrame, postings: DataFrame, clauses: DataFrame, key:
     able = hits.where(F.col("n") + F.col("rest") >= F.col("least"))
     whole = able.where(F.col("rest") == 0).select("set", "key", "n")
     # what else these few clauses share with their query
-    open_ = able.where(F.col("rest") > 0).join(known.select("set", F.slice("known", needed + 1, F.size("known")).alias("others")), "set")
+    open_ = able.where(F.col("rest") > 0).join(known.select("set", F.slice("known", needed + 1, F.size("known")).alias("others")).hint("merge"), "set")
     asked = open_.select("set", "key", "n", F.explode("others").alias("__w")).select("set", "key", "n", F.col("__w.term").alias("term"))
-    held = asked.join(postings.withColumn("has", F.lit(1)), ["term", "key"], "left")
+    held = asked.join(postings.withColumn("has", F.lit(1)).hint("merge"), ["term", "key"], "left")
     rest = held.groupBy("set", "key").agg((F.first("n") + F.sum(F.coalesce("has", F.lit(0)))).alias("n"))
     top = _best(whole.unionByName(rest), k)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "key")))
@@ -78,14 +79,15 @@ def with_clauses(rows: DataFrame, clauses: DataFrame, query: Column, k: int = 3,
     """`rows` with `clauses`: the keys of the k clauses that share most words with the query, the smaller key on ties."""
     asked = rows.withColumn("__words", F.array_sort(terms(query)))
     postings, df = index(clauses, key, text)
-    known = durable(effective(asked.select(F.col("__words").alias("words")), durable(df)))
-    sets = durable(known.groupBy("known").agg(F.count("*").alias("__n")).select(F.monotonically_increasing_id().alias("set"), "known"))
-    found = best_clauses(sets, postings, clauses, key, text, k, budget).join(sets, "set").select("known", "found")
-    by_words = durable(known.join(found, "known").select(F.col("words").alias("__words"), F.col("found").alias("__found")))
+    known = stored(effective(asked.select(F.col("__words").alias("words")), durable(df)))
+    sets = stored(known.groupBy("known").agg(F.count("*").alias("__n")).select(F.monotonically_increasing_id().alias("set"), "known"))
+    found = best_clauses(sets, postings, clauses, key, text, k, budget).join(sets.hint("merge"), "set").select("known", "found")
+    # lists of words are long and none of these tables is broadcast; many queries may share their known words
+    by_words = stored(keyed_join(known, found, "known", wide=True).select(F.col("words").alias("__words"), F.col("found").alias("__found")))
     smallest = [r.k for r in clauses.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct().orderBy("k").limit(k).collect()]
     kind = clauses.schema[key].dataType
     none = F.array().cast(by_words.schema["__found"].dataType)
     fill = F.array(*[F.lit(x).cast(kind) for x in smallest]).cast(by_words.schema["__found"].dataType) if smallest else none
     have = F.coalesce("__found", none)
     filled = F.slice(F.concat(have, F.array_except(fill, have)), 1, k)
-    return keyed_join(asked, by_words, "__words", "left").withColumn("clauses", filled).drop("__words", "__found")
+    return keyed_join(asked, by_words, "__words", "left", wide=True).withColumn("clauses", filled).drop("__words", "__found")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +34,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as files in the shared folder: what many rows repeat takes little room there, unlike in a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def keyed_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", heavy: int = 100_000) -> DataFrame:
+def keyed_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", heavy: int = 100_000, wide: bool = False) -> DataFrame:
     """`rows` with the rows of `table` that have their key.
 
-    A table of at most BROADCAST_ROWS rows goes to the rows. Otherwise keys of more than `heavy` rows, of which there
+    A table of at most BROADCAST_ROWS rows goes to the rows, but not one of `wide` rows, whose number says little of what
+    the driver would hold. Otherwise keys of more than `heavy` rows, of which there
     can be few, are cut into numbered pieces; their rows of `table` go to each piece.
     """
-    if at_most(table):
+    if wide:
+        table = table.hint("merge")
+    elif at_most(table):
         return rows.join(F.broadcast(table), key, how)
     hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") > heavy)
     hot = durable(hot.select("__hot", F.ceil(F.col("__n") / heavy).cast("int").alias("__pieces")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from labelaudit.functions import extract as E
 from labelaudit.functions import market as M
 from labelaudit.functions import text as X
+from labelaudit.operators import clauses as K
 from labelaudit.operators import rules as R
 from labelaudit.operators import scan as C
 from labelaudit.plans import scan_queries
@@ -58,3 +59,10 @@ def test_units_of_texts_with_and_without_spellings(spark):
     rows = spark.createDataFrame([("5 Gms, 2 KGS 3 ltrs",), ("9 g",), ("",), (None,)], "t string")
     assert [r.t for r in rows.select(X.units(F.col("t")).alias("t")).collect()] == ["5 g, 2 kg 3 L", "9 g", "", None]
     assert rows.select(X.strip(F.lit(" \n\t\x0b\f\ra b\r\n ")).alias("t")).first().t == "a b"
+
+
+def test_word_lists_are_not_broadcast(spark):
+    turns, documents = tables.table(spark, DATA, "conversations"), tables.table(spark, DATA, "documents")
+    found = K.with_clauses(turns.limit(40), documents.limit(30), F.col("text"), 3, key="doc_id")
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all(len(r.clauses) == 3 for r in found.collect())
