@@ -44,6 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """`df` as files in the shared folder, and their folder. A checkpoint keeps the estimated size of the plan behind it,
+    which for a join is the product of its sides': in a loop of joins its digits multiply with each round until the
+    driver's memory is full of them. Files have the size that they have."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side whose row count is checked; a plain join beyond the bound."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import bounded, durable, fresh, partitions, read, skew_join
+from labelaudit.llm.common import bounded, durable, fresh, partitions, read, remove_folder, skew_join, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -345,21 +345,24 @@ def key_numbers(key: np.ndarray) -> np.ndarray:
 
 def connect(links: DataFrame) -> DataFrame:
     """fp, root for every fingerprint that has a link; the root is the smallest fingerprint reachable."""
-    links = durable(links)
-    both = durable(links.select(F.col("fp").alias("a"), F.col("other").alias("b")).unionByName(links.select(F.col("other").alias("a"), F.col("fp").alias("b"))))
+    spark, links = links.sparkSession, durable(links)
+    both = links.select(F.col("fp").alias("a"), F.col("other").alias("b")).unionByName(links.select(F.col("other").alias("a"), F.col("fp").alias("b")))
     # where all rows together are no burden for a task, no key of theirs can be, and a few files hold them
     few = both.count() <= LOOPED
     join = (lambda rows, table, key, by: rows.join(table, key)) if few else (lambda rows, table, key, by: skew_join(rows, table, key, [by], n=None, least=LOOPED))
-    kept = (lambda df: durable(df.coalesce(FEW))) if few else durable
-    both = kept(both)
-    label = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
+    kept = lambda df: written(df.coalesce(FEW) if few else df, "links")
+    both, mine = kept(both)
+    label, last = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
     while True:
         heard = join(both, label.select(F.col("fp").alias("b"), "root"), "b", "a").groupBy("a").agg(F.min("root").alias("heard"))
-        hooked = kept(label.join(heard, label["fp"] == heard["a"]).select("fp", F.least("root", "heard").alias("new"), F.col("root").alias("old")))
+        hooked, hooks = kept(label.join(heard, label["fp"] == heard["a"]).select("fp", F.least("root", "heard").alias("new"), F.col("root").alias("old")))
         up = hooked.select(F.col("fp").alias("new"), F.col("new").alias("upper"))
-        jumped = kept(join(hooked, up, "new", "fp").select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
-        label = jumped.select("fp", "root")
+        jumped, now = kept(join(hooked, up, "new", "fp").select("fp", F.least("new", "upper").alias("root"), (F.least("new", "upper") < F.col("old")).alias("moved")))
+        for folder in (hooks, last):
+            remove_folder(spark, folder)
+        label, last = jumped.select("fp", "root"), now
         if not jumped.where("moved").limit(1).count():
+            remove_folder(spark, mine)
             return label
 
 

@@ -290,3 +290,13 @@ def test_near_copies_in_rounds(spark, monkeypatch):
         assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(first.values())
     monkeypatch.setattr(simhash, "partners", lambda nodes, radius, chunk: nodes.select("fp", F.col("fp").alias("other")).limit(0))
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(first.values())
+
+
+def test_components_of_a_long_chain_keep_a_small_plan(spark):
+    n = 16
+    names = [f"{(i * 7919) % 10007:05d}" for i in range(n)]  # along the chain in no order, so there are several rounds
+    links = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "fp string, other string")
+    label = simhash.connect(links)
+    assert {r.fp: r.root for r in label.collect()} == dict.fromkeys(names, min(names))
+    # each round's estimated size was the product of those before it: a number of thousands of digits
+    assert label._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
