@@ -26,17 +26,25 @@ from pyspark.sql import functions as F
 
 from labelaudit.operators.joins import durable, partitions
 
-PIVOTS = 64
+PIVOTS = 16
 #: Vectors of a block, and of all blocks how many there may be.
 BLOCK = 65_536
-LEAST_BLOCK = 512
+LEAST_BLOCK = 8_192
 MAX_BLOCKS = 65_536
+#: Blocks besides one a pivot, as long as these hold no more than BLOCK: a query may have to be sent to each block, so
+#: their number must not grow with the vectors'.
+BLOCKS = 32
 #: Queries of a batch that meet a block at once.
 BATCH = 256
 #: Rounding of a distance in double precision, as a share of the lengths involved.
 SLACK = 1e-9
 
 
+def block_size(n: int) -> int:
+    """Vectors of a block, of n in all."""
+    return max(min(BLOCK, max(LEAST_BLOCK, n // BLOCKS)), n // MAX_BLOCKS)
+
+
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """id, v: the rows that take part, as doubles."""
     v = F.col("v")
@@ -210,7 +218,7 @@ def vector_join(queries: DataFrame, vectors: DataFrame, k: int = 3, key: str = "
     chosen = [r.v for r in chosen if len(r.v) == len(chosen[0].v)]
     if not chosen:
         return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
-    size = block or max(min(BLOCK, max(LEAST_BLOCK, n // (4 * partitions(spark)))), n // MAX_BLOCKS)
+    size = block or block_size(n)
     placed, blocks = blocks_of(rows, np.array(chosen), size)
     placed, asked = durable(placed), asked.where(F.size("v") == len(chosen[0]))
     first = durable(merged(met(placed, routed(asked, blocks, True), k), k))
