@@ -201,17 +201,17 @@ def label_match(text: Column, name: str) -> Column:
     """Of the first pattern that matches: value, the whole match, where it starts and ends (from 0), and which it was."""
     import re
 
-    tries = []
-    for n, p in enumerate(P.LABEL[name][1]):
+    def found(n: int, p: str) -> Column:
         pattern = f"(?is){p}"
-        whole, at = F.regexp_extract(text, pattern, 0), F.regexp_instr(text, F.lit(pattern)) - 1
         value = F.regexp_extract(text, pattern, min(1, re.compile(p.replace(r"\z", r"\Z")).groups))
-        tries.append(
-            F.when(
-                text.rlike(pattern),
-                F.struct(value.alias("value"), whole.alias("full_match"), at.alias("start"), (at + F.length(whole)).alias("end"), F.lit(n).alias("pattern_no"), F.lit(p).alias("pattern_used")),
-            )
-        )
+
+        def parts(at: Column, whole: Column) -> Column:
+            return F.struct(value.alias("value"), whole.alias("full_match"), at.alias("start"), (at + F.length(whole)).alias("end"), F.lit(n).alias("pattern_no"), F.lit(p).alias("pattern_used"))
+
+        # its place says whether the pattern matches at all
+        return let(F.regexp_instr(text, F.lit(pattern)), lambda i: F.when(i > 0, let(F.regexp_extract(text, pattern, 0), lambda w: parts(i - 1, w))))
+
+    tries = [found(n, p) for n, p in enumerate(P.LABEL[name][1])]
     return F.coalesce(*tries)
 
 

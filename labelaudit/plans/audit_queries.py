@@ -166,7 +166,8 @@ _INFER_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(product_nam
 
 @query("ca_infer", AUDITS + f" SELECT audit_id, {_INFER_SQL} AS inferred FROM audits")
 def _(spark, d):
-    return audits(spark, d).select("audit_id", N.infer_category(F.col("product_name")).alias("inferred"))
+    """Each audit's category by its product's name; an audit is one listing, and nothing that is extracted is asked for."""
+    return listings(spark, d).select("audit_id", N.infer_category(F.col("product_name")).alias("inferred"))
 
 
 _STATS = """ SELECT {by} AS category, count(*) AS total, count(*) FILTER (legacy_risk = 'Compliant') AS compliant, count(*) FILTER (legacy_risk = 'Moderate Risk') AS moderate,

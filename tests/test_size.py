@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from labelaudit import plans
 from labelaudit.functions import extract as E
 from labelaudit.functions import market as M
 from labelaudit.functions import text as X
 from labelaudit.operators import clauses as K
 from labelaudit.operators import rules as R
 from labelaudit.operators import scan as C
+from labelaudit.operators import vector_join as V
 from labelaudit.plans import scan_queries
 from labelaudit.sources import tables
 
@@ -51,6 +53,8 @@ def test_a_field_is_captured_once(spark):
     plan = lambda c: label.select(F.inline(F.array(F.struct(c.alias("c")))))._jdf.queryExecution().optimizedPlan().toString()
     assert plan(E.price_value(F.col("t"))).count("MRP") == 1 and plan(E.country(F.col("t"))).count("Made") == 1
     assert plan(E.ocr_dates(F.col("t"))).count("PKD") == 1
+    # a label's place: whether and where it matches, the match, its value
+    assert plan(E.label_match(F.col("t"), "batch")).count("(?is)") == 3
     dates = label.select(E.ocr_dates(F.col("t")).alias("d")).first().d
     assert (dates.manufacturing_date, dates.expiry_date, dates.shelf_life_months) == ("2001-01-01", "2003-05-01", None)
 
@@ -66,3 +70,14 @@ def test_word_lists_are_not_broadcast(spark):
     found = K.with_clauses(turns.limit(40), documents.limit(30), F.col("text"), 3, key="doc_id")
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert all(len(r.clauses) == 3 for r in found.collect())
+
+
+def test_blocks_of_vectors_do_not_grow_in_number():
+    """A query may go to every block, so with as many blocks as vectors / 512 what is shuffled was quadratic."""
+    assert all(n / V.block_size(n) <= V.BLOCKS for n in (1, 10_000, 600_000, 2_000_000))
+    assert V.block_size(10**12) * V.MAX_BLOCKS >= 10**12 - V.MAX_BLOCKS
+
+
+def test_a_category_is_inferred_without_extraction(spark):
+    plan = plans.QUERIES["ca_infer"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FSSAI" not in plan and "Generate" not in plan
