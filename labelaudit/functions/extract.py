@@ -12,13 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelaudit.functions import patterns as P
-from labelaudit.functions.text import let, strip
+from labelaudit.functions.needs import holds, let, where_possible
+from labelaudit.functions.text import strip
 
 
 def capture(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
     """The group of the first match, null where there is none or it is empty."""
-    found = F.regexp_extract(text, f"(?{flags}){pattern}", group)
-    return F.get(F.filter(F.array(found), lambda x: x != ""), F.lit(0))  # the pattern runs once
+    found = where_possible(text, pattern, F.regexp_extract(text, f"(?{flags}){pattern}", group))
+    return F.try_element_at(F.array_remove(F.array(found), ""), F.lit(1))  # the pattern runs once, as compiled code
 
 
 def first(text: Column, patterns: Iterable[str], group: int = 1, flags: str = "i") -> Column:
@@ -117,7 +118,7 @@ def full_month_date(line: Column, lenient: bool = False) -> Column:
 def dates(text: Column, lenient: bool = False) -> Column:
     """First date of each kind, by line; months of shelf life from the last line that gives any."""
     lines = F.split(text, "\n")
-    of = lambda words: F.filter(lines, lambda s: F.upper(s).rlike(words))
+    of = lambda words: F.filter(lines, lambda s: let(F.upper(s), lambda up: holds(up, words.split("|"))))
     head = lambda words: F.get(F.filter(F.transform(of(words), lambda s: full_month_date(s, lenient)), lambda d: d.isNotNull()), F.lit(0))
     spans = F.filter(F.transform(of(P.SERVICE_EXPIRES), lambda s: capture(s, P.SERVICE_SPAN)), lambda m: m.isNotNull())
     return F.struct(
@@ -209,7 +210,7 @@ def label_match(text: Column, name: str) -> Column:
             return F.struct(value.alias("value"), whole.alias("full_match"), at.alias("start"), (at + F.length(whole)).alias("end"), F.lit(n).alias("pattern_no"), F.lit(p).alias("pattern_used"))
 
         # its place says whether the pattern matches at all
-        return let(F.regexp_instr(text, F.lit(pattern)), lambda i: F.when(i > 0, let(F.regexp_extract(text, pattern, 0), lambda w: parts(i - 1, w))))
+        return let(where_possible(text, p, F.regexp_instr(text, F.lit(pattern))), lambda i: F.when(i > 0, let(F.regexp_extract(text, pattern, 0), lambda w: parts(i - 1, w))))
 
     tries = [found(n, p) for n, p in enumerate(P.LABEL[name][1])]
     return F.coalesce(*tries)
@@ -305,7 +306,7 @@ def ocr_dates(text: Column) -> Column:
     lines = F.split(text, "\n")
 
     def last(words: str) -> Column:
-        found = F.filter(F.transform(F.filter(lines, lambda s: s.rlike("(?i)" + words)), ocr_date), lambda d: d.isNotNull())
+        found = F.filter(F.transform(F.filter(lines, lambda s: where_possible(s, words, s.rlike("(?i)" + words))), ocr_date), lambda d: d.isNotNull())
         return let(found, lambda x: F.get(x, F.size(x) - 1))
 
     def found(made: Column, expires: Column) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from labelaudit.functions.needs import let, may_match
+
 # Unit spellings and what they become, in the order they are applied.
 UNIT_SPELLINGS = (
     (r"\bgms?\b", "g"),
@@ -29,11 +31,6 @@ KEPT = r"\s.,;:!?'\"()\[\]{}\-_/\\@#$%&*+=₹°"
 SCRIPTS = r"ऀ-ॿঀ-৿਀-੿଀-୿ఀ-౿ഀ-ൿ"
 
 
-def let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def strip(x: Column) -> Column:
     return F.trim(x, F.lit(" \t\n\x0b\f\r"))
 
@@ -42,9 +39,14 @@ def numerals(x: Column) -> Column:
     return F.translate(x, "०१२३४५६७८९", "0123456789")
 
 
+def spaces(x: Column) -> Column:
+    """Any run of spaces becomes one; single ones are left alone."""
+    return F.regexp_replace(x, " {2,}", " ")
+
+
 def whitespace(x: Column) -> Column:
     """Any run of tabs and line ends becomes one line end, any run of spaces one space."""
-    return strip(F.regexp_replace(F.regexp_replace(x, r"[\t\r\n\f\x0B]+", "\n"), " +", " "))
+    return strip(spaces(F.regexp_replace(x, r"[\t\r\n\f\x0B]+", "\n")))
 
 
 def control(x: Column) -> Column:
@@ -59,7 +61,8 @@ def units(x: Column) -> Column:
 
     # a text without any of the spellings is left by every step, so one look is enough for it
     some = "(?i)" + "|".join(pattern for pattern, _ in UNIT_SPELLINGS)
-    return let(x, lambda t: F.when(t.rlike(some), replaced(t)).otherwise(t))
+    spelt = [pattern for pattern, _ in UNIT_SPELLINGS]
+    return let(x, lambda t: F.when(may_match(t, *spelt) & t.rlike(some), replaced(t)).otherwise(t))
 
 
 def special(x: Column) -> Column:
@@ -68,7 +71,7 @@ def special(x: Column) -> Column:
 
 def cleanup(x: Column) -> Column:
     """One space between words, none before punctuation, one between punctuation and a letter."""
-    x = F.regexp_replace(F.regexp_replace(x, " +", " "), r" ([.,;:!?])", "$1")
+    x = F.regexp_replace(spaces(x), r" ([.,;:!?])", "$1")
     x = F.regexp_replace(x, r"([.,;:!?])([A-Za-z])", "$1 $2")
     return strip(F.regexp_replace(x, r"(?m)^[\s&&[^\n]]+|[\s&&[^\n]]+$", ""))
 

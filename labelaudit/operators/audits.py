@@ -29,8 +29,17 @@ def rule_fields(text: Column, lenient: bool = False) -> dict[str, Column]:
 
 def with_fields(listings: DataFrame, compose: bool = False, lenient: bool = False) -> DataFrame:
     """The listings with the rule fields; `compose` for text that is not plain ASCII."""
-    text = once(listings, norm=X.normalise(F.col("label_text"), compose))
-    return once(text, **rule_fields(F.col("norm"), lenient)).drop("norm")
+    text = listings.withColumn("norm", X.normalise(F.col("label_text"), compose))
+    return extracted(text, **rule_fields(F.col("norm"), lenient)).drop("norm")
+
+
+def extracted(frame: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns of many patterns, of which those that nobody asks for are left out. The optimiser merges no projection
+    whose dear columns are used more than once. Fused with others, so many patterns make one method that is too long for
+    Java to compile; beside a higher-order function, which is never fused, each makes methods of its own."""
+    (name, first), *others = columns.items()
+    apart = F.coalesce(first, X.let(F.col(frame.columns[0]), lambda _: F.lit(None)))
+    return frame.select("*", apart.alias(name), *[c.alias(n) for n, c in others])
 
 
 def once(frame: DataFrame, **columns: Column) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelaudit.functions import patterns as P
 from labelaudit.functions.extract import capture, number
+from labelaudit.functions.needs import may_match
 from labelaudit.operators.scoring import missing
 
 # Rule packs: code number, field, when it is required (always, imported, appliance, never), penalty.
@@ -43,11 +47,11 @@ FURTHER = {"007": 15, "008": 15, "009": 15, "010": 10, "011": 15, "012": 10, "01
 
 
 def imported(text: Column) -> Column:
-    return F.lower(text).rlike(P.IMPORTED)
+    return may_match(text, P.IMPORTED) & F.lower(text).rlike(P.IMPORTED)
 
 
 def appliance(text: Column) -> Column:
-    return F.lower(text).rlike(P.APPLIANCE)
+    return may_match(text, P.APPLIANCE) & F.lower(text).rlike(P.APPLIANCE)
 
 
 def price_format_ok(price: Column) -> Column:
@@ -66,18 +70,38 @@ def _entry(code: str, field: str, penalty: int) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), F.lit(penalty).alias("penalty"))
 
 
+def pack_of(category: Column) -> Column:
+    """The pack of a (lower-case) category, generic where it has none."""
+    return F.when(category.isin(*PACKS), category).otherwise("generic")
+
+
+def _needed(text: Column) -> dict[str, Column]:
+    return {"always": F.lit(True), "imported": imported(text), "appliance": appliance(text)}
+
+
+def asked(fields: dict[str, Column], text: Column, category: Column) -> dict[str, Column]:
+    """The fields that some pack asks for, null where the category's own does not ask for them."""
+    packs: dict[str, dict[str, list[str]]] = {}
+    for name, (_, rules) in PACKS.items():
+        for _, field, when, _ in rules:
+            if when != "never" and field in fields:
+                packs.setdefault(field, {}).setdefault(when, []).append(name)
+    needed, pack = _needed(text), pack_of(category)
+    return {field: F.when(reduce(or_, [pack.isin(*names) & needed[when] for when, names in of.items()]), fields[field]) for field, of in packs.items()}
+
+
 def pack_violations(fields: dict[str, Column], text: Column, category: Column) -> Column:
-    """Violations of the pack of a (lower-case) category, generic where it has none. A rule whose field no
-    dialect reads is always broken when it is required."""
-    known = F.when(category.isin(*PACKS), category).otherwise("generic")
-    needs = {"always": F.lit(True), "imported": imported(text), "appliance": appliance(text)}
-    tests = []
+    """Violations of the pack of a category. A rule whose field no dialect reads is always broken when it is
+    required."""
+    known, needs, own = pack_of(category), _needed(text), {}
     for name, (prefix, rules) in PACKS.items():
+        tests = []
         for number_, field, when, penalty in rules:
             if when != "never":
                 absent = missing(fields[field]) if field in fields else F.lit(True)
-                tests.append(F.when((known == name) & needs[when] & absent, _entry(f"{prefix}-{number_}", field, penalty)))
-    return F.array_compact(F.array(*tests))
+                tests.append(F.when(needs[when] & absent, _entry(f"{prefix}-{number_}", field, penalty)))
+        own[name] = F.array_compact(F.array(*tests))
+    return F.coalesce(*[F.when(known == name, found) for name, found in own.items()])  # only its own pack is looked at
 
 
 def further_violations(fields: dict[str, Column], text: Column) -> Column:

@@ -10,7 +10,7 @@ from labelaudit.functions import patterns as P
 from labelaudit.functions import text as X
 from labelaudit.operators import declarations as L
 from labelaudit.operators import scoring as S
-from labelaudit.operators.audits import once
+from labelaudit.operators.audits import extracted, once
 from labelaudit.plans.registry import query
 from labelaudit.plans.views import LISTINGS
 from labelaudit.sources.tables import listings, table
@@ -162,8 +162,8 @@ _MEAN = f"(CASE WHEN {_KNOWN} = 0 THEN 0.5 ELSE round((" + " + ".join(f"coalesce
 )
 def _(spark, d):
     """Entities, label summary, completeness, confidence and counts of each normalised listing."""
-    norm = once(listings(spark, d).select("audit_id", "label_text"), norm=X.normalise(T("label_text"), compose=False))
-    found = once(norm, entities=E.entities(T("norm")), labels=F.struct(*E.label_values(T("norm"))))
+    norm = extracted(listings(spark, d).select("audit_id", "label_text"), norm=X.normalise(T("label_text"), compose=False))
+    found = extracted(norm, entities=E.entities(T("norm")), labels=F.struct(*E.label_values(T("norm"))))
     values = {n: T("labels")[n] for n in P.LABEL}
     return found.select(
         "audit_id",
@@ -295,7 +295,7 @@ _NINE = {
     + " SELECT audit_id, n AS fields_found, 9 - n AS fields_missing, round(n / 9.0 * 100, 1)::DOUBLE AS completeness FROM f",
 )
 def _(spark, d):
-    found = once(listings(spark, d).select("audit_id", "label_text"), f=E.ocr_fields(T("label_text")))
+    found = extracted(listings(spark, d).select("audit_id", "label_text"), f=E.ocr_fields(T("label_text")))
     n = E.ocr_found(T("f"))
     return found.select("audit_id", n.alias("fields_found"), (9 - n).alias("fields_missing"), F.round(n / 9.0 * 100, 1).alias("completeness"))
 
@@ -358,8 +358,9 @@ def _pack_rows() -> str:
 
 @query("vs_pack", DECLARED.replace("declared AS (", "declared AS MATERIALIZED (") + " " + _pack_rows())
 def _(spark, d):
-    rows, fields = declared(spark, d)
-    return rows.select("audit_id", F.explode(L.pack_violations(fields, T("label_text"), T("category"))).alias("v")).select("audit_id", "v.code", "v.penalty")
+    rows = listings(spark, d).select("audit_id", "category", "label_text")
+    names = L.asked(E.declarations(T("label_text"), T("category")), T("label_text"), T("category"))
+    return extracted(rows, **names).select("audit_id", F.explode(L.pack_violations({n: T(n) for n in names}, T("label_text"), T("category"))).alias("v")).select("audit_id", "v.code", "v.penalty")
 
 
 _ASKED = D.num(D.cap("lower(label_text)", r"(?:selling\s*price|sale\s*price|price|offer\s*price|our\s*price)\s*[:\-₹rs\.]*\s*([0-9,]+(?:\.[0-9]+)?)"))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from labelaudit import plans
 from labelaudit.functions import extract as E
 from labelaudit.functions import market as M
+from labelaudit.functions import patterns as P
 from labelaudit.functions import text as X
+from labelaudit.functions.needs import may_match, needs
 from labelaudit.operators import clauses as K
 from labelaudit.operators import rules as R
 from labelaudit.operators import scan as C
@@ -81,3 +83,27 @@ def test_blocks_of_vectors_do_not_grow_in_number():
 def test_a_category_is_inferred_without_extraction(spark):
     plan = plans.QUERIES["ca_infer"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "FSSAI" not in plan and "Generate" not in plan
+
+
+def test_patterns_are_left_out_only_where_they_cannot_match(spark):
+    """Each pattern is asked for words first; every text it matches must hold them."""
+    assert needs(r"(?:Warranty|Guarantee)\s*[:\-]?\s*([0-9]+)") == (("guarantee", "warranty"),)
+    assert needs(r"(?:EXP|BB)\s*(?:JAN|FEB)?\d") == (("bb", "exp"),) and needs(r"\b(\d{14})\b") == () and needs(r"(?:x|₹)?a*") == ()
+    texts = ["Expiry Date: 01/02/2003", "exp 3 mar 2004", "ＭＲＰ mrp rs. 5", "price ₹ 7", "MADE IN INDİA", "NET WT 5 KG", "contents: 5 g", "b. no. AB12", "n.w. 3 ml", "नेट वजन 5 g", "", "S/N: ABC123"]
+    patterns = [p for fields in (P.UNIVERSAL, P.FOOD, P.ELECTRONICS, P.COSMETICS) for ps in fields.values() for p in ps] + [p for _, ps in P.LABEL.values() for p in ps]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        wrong = rows.select(F.col("t").rlike(f"(?i){p}").alias("found"), may_match(F.col("t"), p).alias("may")).where("found AND NOT may")
+        if needs(p):
+            assert wrong.count() == 0, p
+    assert "contains" in rows.select(E.capture(F.col("t"), r"Warranty\s*(\d+)"))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_only_what_a_pack_asks_for_is_extracted(spark):
+    plan = plans.QUERIES["vs_pack"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Voltage" not in plan and "Storage" not in plan and "Warranty" not in plan and "Manufacturer" in plan
+
+
+def test_runs_of_spaces_are_what_is_replaced(spark):
+    rows = spark.createDataFrame([("  a  b c   ",), (" ",), (None,)], "t string")
+    assert [r.t for r in rows.select(X.whitespace(F.col("t")).alias("t")).collect()] == ["a b c", "", None]
