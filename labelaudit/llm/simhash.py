@@ -50,8 +50,8 @@ from labelaudit.llm.common import bounded, durable, fresh, partitions, read, rem
 SHINGLE = 4
 RADIUS = 4
 CHUNK = 4096
-#: Pairs of a search held at a time.
-FRONTIER = 1 << 19
+#: Pairs of a search held at a time; some ten arrays of numbers are as long.
+FRONTIER = 1 << 17
 #: Rows of whole shards searched at a time.
 HELD = 1 << 16
 #: Links of an item to others of its shard, beside the one to its parent.
@@ -398,6 +398,8 @@ FIRST = 4
 ROUND = 1
 #: Bits of a set's bitmap: a power of two of at least four a shingle, within these bounds.
 BITMAP = (256, 8192)
+#: Bytes of bitmaps of one side compared at a time.
+COMPARED = 1 << 22
 
 
 def bands(h: np.ndarray, band: int, tables: int, seed: int = 3) -> list[int]:
@@ -454,8 +456,9 @@ class Refuted:
         width = np.minimum(self.width[a], self.width[b])
         for w in np.unique(width[ok]).tolist():
             mine = np.flatnonzero(ok & (width == w))
-            for lo in range(0, len(mine), 1 << 15):
-                some = mine[lo : lo + (1 << 15)]
+            step = max(1, COMPARED // w)
+            for lo in range(0, len(mine), step):
+                some = mine[lo : lo + step]
                 place, maps = self.place[w], self.maps[w]
                 apart = np.bitwise_count(maps[place[a[some]]] ^ maps[place[b[some]]]).sum(axis=1, dtype=np.int64)
                 ok[some] = apart * (whole + part) <= (x[some] + y[some]) * (whole - part)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -300,3 +301,22 @@ def test_components_of_a_long_chain_keep_a_small_plan(spark):
     assert {r.fp: r.root for r in label.collect()} == dict.fromkeys(names, min(names))
     # each round's estimated size was the product of those before it: a number of thousands of digits
     assert label._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
+
+
+def test_searches_for_near_copies_hold_little():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, 4, np.uint64)
+    items = base ^ (rng.integers(0, 2**64, (3000, 4), np.uint64) & rng.integers(0, 2**64, (3000, 4), np.uint64) & rng.integers(0, 2**64, (3000, 4), np.uint64))
+    forest = simhash.Forest(items, np.zeros(3000, np.int64))
+    refuted = simhash.Refuted(np.full(3000, 2000), [bytes(rng.integers(0, 256, 1024, np.uint8)) for _ in range(3000)])
+    a, b = rng.integers(0, 3000, (2, 100_000))
+    tracemalloc.start()
+    pairs = sum(len(x) for x, _ in forest.apart(72, np.arange(3000)))
+    searched = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    refuted.keep(a, b)
+    compared = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = np.array([simhash.distance(items, items[[i]]) for i in range(3000)])
+    assert pairs == np.triu(d <= 72, 1).sum() > 0
+    assert searched < 60e6 and compared < 40e6, (searched, compared)
