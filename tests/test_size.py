@@ -1,5 +1,8 @@
 """What must hold on larger tables: work is dealt over tasks, and nothing wide goes through the driver."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from labelaudit import plans
@@ -107,3 +110,43 @@ def test_only_what_a_pack_asks_for_is_extracted(spark):
 def test_runs_of_spaces_are_what_is_replaced(spark):
     rows = spark.createDataFrame([("  a  b c   ",), (" ",), (None,)], "t string")
     assert [r.t for r in rows.select(X.whitespace(F.col("t")).alias("t")).collect()] == ["a b c", "", None]
+
+
+def _shuffled(spark) -> int:
+    """Rows written to shuffles by all stages so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_clauses_that_share_common_words_are_no_rows(spark, monkeypatch):
+    """Each of the clauses shares words with each of the queries; many blocks of each meet."""
+    monkeypatch.setattr(K, "LEAST_BYTES", 9_000, raising=False)
+    monkeypatch.setattr(K, "QUERY_BYTES", 9_000, raising=False)
+    rng = random.Random(5)
+    texts = lambda n, most: [(i, " ".join(rng.sample([f"w{j}" for j in range(60)], rng.randrange(20, most)))) for i in range(n)]
+    clauses, queries = texts(400, 60), texts(300, 40)
+    before = _shuffled(spark)
+    found = K.with_clauses(spark.createDataFrame(queries, "k long, q string"), spark.createDataFrame(clauses, "item_id long, text string"), F.col("q"))
+    got = {r.k: r.clauses for r in found.collect()}
+    assert _shuffled(spark) - before < 40_000  # of 120,000 pairs, all of which share words
+    held = {i: set(t.split()) for i, t in clauses}
+    assert got == {i: [x for _, x in sorted((-len(set(t.split()) & held[x]), x) for x in held)[:3]] for i, t in queries}
+
+
+def test_a_block_is_worked_on_in_pieces(monkeypatch):
+    """Queries with and without a bound, words that no clause has, rare and common ones; one query or a few at once."""
+    rng = np.random.default_rng(2)
+    has = rng.random((90, 200)) < np.linspace(0.01, 0.9, 90)[:, None]
+    has = has[np.argsort(has.sum(axis=1), kind="stable")]
+    asks = rng.random((40, 90)) < 0.4
+    shared = asks.astype(int) @ has.astype(int)
+    who, word = np.nonzero(asks)
+    who, word = np.append(who, [0, 7]), np.append(word, [-1, -1])
+    starts, members = np.concatenate([[0], np.cumsum(has.sum(axis=1))]), np.nonzero(has)[1].astype(np.int32)
+    for least in (np.ones(40, np.int32), (np.sort(shared, axis=1)[:, -3] - np.arange(40) % 3).astype(np.int32), np.full(40, 99, np.int32)):
+        wanted = {(q, c, shared[q, c]) for q in range(40) for c in sorted(range(200), key=lambda c: (-shared[q, c], c))[:3] if shared[q, c] >= least[q]}
+        for step, size in ((1, 1), (5_000, 64), (1 << 20, 1 << 20)):
+            monkeypatch.setattr(K, "STEP", step)
+            monkeypatch.setattr(K, "STEP_BYTES", size)
+            assert set(zip(*[x.tolist() for x in K.best(starts, members, 200, who, word, least, 3)], strict=True)) == wanted
