@@ -1,8 +1,8 @@
 """Clause lookup by shared words, for any number of queries and clauses: blocks of queries meet blocks of clauses.
 
 Queries with the same words are one query. Clauses are dealt over blocks of bounded length, and so are queries; a block is
-one row that lies in files and holds its words once, from rare to common, so nothing is shuffled for each pair of blocks
-and what lies on disk grows with the tables. Each block of clauses meets each block of queries in a task of its own.
+one row of a checkpoint and holds its words once, from rare to common, so no block is shuffled for each that it meets and
+what lies on disk grows with the tables. Each block of clauses meets each block of queries in a task of its own.
 
 The longest clauses, met first, give each query a number of shared words that k clauses reach at least. A clause that
 reaches it (s of m words) must hold one of any m - s + 1 words of the query, and j of any m - s + j; so only the rarest of
@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelaudit.operators.joins import keyed_join, stored
+from labelaudit.operators.joins import durable, keyed_join, stored
 
 #: How many of the longest clauses are met first; it only estimates.
 BUDGET = 256
 #: Bytes of text in a block: at most, and below which there are no more blocks only to have work for each core.
-CLAUSE_BYTES, QUERY_BYTES, LEAST_BYTES = 32_000_000, 10_000_000, 1_000_000
+CLAUSE_BYTES, QUERY_BYTES, LEAST_BYTES = 32_000_000, 16_000_000, 1_000_000
 #: A word is common if more than one of so many clauses of a block hold it.
 COMMON = 32
 #: Postings and counters that are worked on at once, and bytes of bits.
@@ -56,7 +56,8 @@ def blocks(rows: DataFrame, number: int, by_word: bool) -> DataFrame:
 
     share = F.pmod(F.xxhash64("key"), F.lit(number)).cast("int")
     dealt = rows.select("key", "words", F.col("least").cast("int").alias("least"), share.alias("share")).repartitionById(number, "share")
-    return stored(dealt.mapInArrow(run, f"keys array<{rows.schema['key'].dataType.simpleString()}>, terms string, starts binary, members binary, least binary"))
+    # a checkpoint keeps one block a task, so that no task holds more than a pair at once; files are read some at a time
+    return durable(dealt.mapInArrow(run, f"keys array<{rows.schema['key'].dataType.simpleString()}>, terms string, starts binary, members binary, least binary"))
 
 
 def packed(rows: pa.Table, by_word: bool) -> pa.RecordBatch:
